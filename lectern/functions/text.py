@@ -169,10 +169,14 @@ def first_sentences(column: Column, n: int) -> Column:
 def arrow_udf(f: Callable, kind: T.DataType | str) -> Callable[..., Column]:
     """An Arrow-batched UDF of a plain function; a null argument gives null."""
 
+    struct = isinstance(kind, str) and kind.startswith("struct<")
+
     def run(*columns: pd.Series) -> pd.Series:
-        return pd.Series([None if any(x is None for x in row) else f(*row) for row in zip(*columns)], dtype=object)
+        out = [None if any(x is None for x in row) else f(*row) for row in zip(*columns)]
+        return pd.DataFrame([dict.fromkeys(names) if x is None else x for x in out], columns=names, dtype=object) if struct else pd.Series(out, dtype=object)
 
-    run.__annotations__ = {"columns": pd.Series, "return": pd.Series}
+    names = re.findall(r"(\w+):", kind) if struct else []
+    run.__annotations__ = {"columns": pd.Series, "return": pd.DataFrame if struct else pd.Series}
     made: list = []
 
     def call(*columns: Column) -> Column:
