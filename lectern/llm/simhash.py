@@ -77,6 +77,42 @@ def _masks(values: list[int]):
     return F.expr("array(" + ",".join(f"{v}L" if v != -(1 << 63) else "shiftleft(1L, 63)" for v in values) + ")")
 
 
+def _meet(radius: int, most_pairs_of: int, rows: int = 1 << 16):
+    """Links among the fingerprints under each value, which come sorted by (value, fingerprint), and as
+    (fp, fp) those under a value that more than ``most_pairs_of`` share. Rows are compared with those at
+    most ``most_pairs_of`` - 1 places on, all at once, so a value's rows are never gathered."""
+
+    def run(batches):
+        value, fp = np.zeros(0, np.int64), np.zeros(0, np.uint64)
+        done = 0  # rows that were compared before and stay for those that follow
+        for batch in batches:
+            value = np.append(value, batch.column("value").to_numpy())
+            fp = np.append(fp, batch.column("fp").to_numpy().view(np.uint64))
+            if len(value) - done < rows:
+                continue
+            keep = min(len(value), most_pairs_of)
+            yield from compare(value, fp, done)
+            done, value, fp = keep, value[-keep:], fp[-keep:]
+        yield from compare(value, fp, done)
+
+    def compare(value, fp, done):
+        for step in range(1, most_pairs_of + 1):
+            i = np.flatnonzero(value[step:] == value[:-step])
+            i = i[i + step >= done]
+            if not len(i):
+                if not (value[step:] == value[:-step]).any():
+                    break
+                continue
+            if step == most_pairs_of:
+                a = b = np.unique(np.append(fp[i], fp[i + step]))
+            else:
+                near = np.bitwise_count(fp[i] ^ fp[i + step]) <= radius
+                a, b = fp[i[near]], fp[i[near] + step]
+            yield pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], ["a", "b"])
+
+    return run
+
+
 def links(fps: DataFrame, radius: int = RADIUS, parts: int = PARTS, most_pairs_of: int = MOST_PAIRS_OF) -> DataFrame:
     """Links (a, b) between distinct fingerprints ``fp``: every pair within the radius is joined by a path
     of links, each of which is within the radius itself."""
@@ -85,23 +121,23 @@ def links(fps: DataFrame, radius: int = RADIUS, parts: int = PARTS, most_pairs_o
     fps = fps.select("fp").distinct()
     width, inner = 64 // parts, radius // parts  # one part of a linked pair differs in at most this many bits
     half = -(-inner // 2)
-    mask = (1 << width) - 1
-    pieces = [F.struct(F.lit(k).alias("part"), F.expr(f"shiftrightunsigned(fp, {k * width}) & {mask}L" if parts > 1 else "fp").alias("piece")) for k in range(parts)]
-    emitted = fps.select("fp", F.explode(F.array(*pieces)).alias("p")).select("fp", F.col("p.part").alias("part"), F.explode(F.transform(_masks(ball(width, half)), lambda m: F.col("p.piece").bitwiseXOR(m))).alias("value"))
-    met = emitted.groupBy("part", "value").agg(F.count(F.lit(1)).alias("n"), F.min("fp").alias("lo"), F.max("fp").alias("hi")).where("n > 1")
-    met = materialize(met, "simhash-met")
-    near = lambda a, b: F.bit_count(a.bitwiseXOR(b)) <= radius
-    two = met.where("n = 2").where(near(F.col("lo"), F.col("hi"))).select(F.col("lo").alias("a"), F.col("hi").alias("b"))
-    more = met.where("n > 2").select("part", "value", "n")
-    members = materialize(emitted.join(more, ["part", "value"]), "simhash-members")
-    few = members.where(F.col("n") <= most_pairs_of).groupBy("part", "value").agg(F.collect_list("fp").alias("fps"))  # of bounded size
-    pairs = few.select("fps", F.explode("fps").alias("a")).select("a", F.explode(F.filter("fps", lambda b: (b > F.col("a")) & near(F.col("a"), b))).alias("b"))
-    # Whole balls: all that meet at a value are within twice half the radius of one another.
-    crowded = members.where(F.col("n") > most_pairs_of).select("fp").distinct()
-    whole = crowded.select("fp", F.explode(F.transform(_masks(ball(64, radius // 2)), lambda m: F.col("fp").bitwiseXOR(m))).alias("value"))
+    # The part's number is added above the part's bits, or mixed in where these are all 64.
+    piece = lambda k: F.expr(f"shiftrightunsigned(fp, {k * width}) & {(1 << width) - 1}L | {k << width}L") if parts > 1 else F.col("fp")
+    masks = _masks(ball(width, half))
+    emitted = fps.select("fp", F.explode(F.flatten(F.array(*[_variants(piece(k), masks) for k in range(parts)]))).alias("value"))
+    n = int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    met = emitted.repartition(n, "value").sortWithinPartitions("value", "fp").mapInArrow(_meet(radius, most_pairs_of), "a long, b long")
+    met = materialize(met.distinct(), "simhash-met")
+    # Whole balls of those in crowds: all that meet at a value are within twice half the radius of one another.
+    crowd = met.where("a = b").select(F.col("a").alias("fp"))
+    whole = crowd.select("fp", F.explode(_variants(F.col("fp"), _masks(ball(64, radius // 2)))).alias("value"))
     centres = whole.groupBy("value").agg(F.min("fp").alias("a"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    stars = whole.join(centres, "value").where("fp != a").select("a", F.col("fp").alias("b"))
-    return two.unionByName(pairs).unionByName(stars).distinct()
+    stars = whole.join(centres.hint("merge"), "value").where("fp != a").select("a", F.col("fp").alias("b"))
+    return met.where("a != b").unionByName(stars).distinct()
+
+
+def _variants(value, masks):
+    return F.transform(masks, lambda m: value.bitwiseXOR(m))
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS, parts: int = PARTS, most_pairs_of: int = MOST_PAIRS_OF) -> DataFrame:
@@ -111,11 +147,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     found = materialize(fingerprints(docs, id_col, text_col), "simhash-fps")
     groups = found.groupBy("fp").agg(F.min("doc_id").alias("rep"))
-    nodes = components(links(groups, radius, parts, most_pairs_of))
+    nodes = components(links(groups, radius, parts, most_pairs_of)).hint("merge")
     named = groups.join(nodes, groups["fp"] == nodes["node"], "left").select("fp", "rep", F.coalesce("component", "fp").alias("component"))
     smallest = named.groupBy("component").agg(F.min("rep").alias("component_id"))
-    by_fp = named.select("fp", "component").join(smallest, "component").select(F.col("fp").alias("__fp"), "component_id")
-    return found.join(by_fp, F.col("fp") == F.col("__fp")).select(F.col("doc_id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    by_fp = named.select("fp", "component").join(smallest.hint("merge"), "component").select(F.col("fp").alias("__fp"), "component_id")
+    return found.join(by_fp.hint("merge"), F.col("fp") == F.col("__fp")).select(F.col("doc_id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def keep_representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
