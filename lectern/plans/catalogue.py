@@ -61,9 +61,9 @@ def _page(scores: DataFrame, limit: int = 10) -> DataFrame:
     return lexical.top(_scored(scores), limit)
 
 
-@query(_bm25_sql(["t = 'nation'"], "n0 > 0"))
+@query(_bm25_sql(["t = 'queen'"], "n0 > 0"))
 def bm25_topk(spark, d):
-    return _page(lexical.bm25(_index(table(spark, d, "documents")), "nation"))
+    return _page(lexical.bm25(_index(table(spark, d, "documents")), "queen"))
 
 
 @query(_bm25_sql(["t = 'the'", "t = 'from'"], "n0 > 0 AND n1 > 0"))
