@@ -131,7 +131,7 @@ def articles_of(members: DataFrame, articles: DataFrame, name: str, after: objec
     """The next articles with the name whose content is still what it was found in; stale ones vanish."""
     own = members.where(F.col("normalized_name") == normalize_name(name))
     live = articles.where("is_valid = 1").withColumn("content_sha256", F.sha2(F.coalesce("content", F.lit("")).cast("binary"), 256))
-    joined = own.select("article_id", "content_sha256", "char_start").join(live, ["article_id", "content_sha256"])
+    joined = own.select("article_id", "content_sha256", F.col("char_start").alias("mention_start")).join(live, ["article_id", "content_sha256"])
     joined = joined if scope is None else joined.where(scope)
     return (joined.where(F.col("article_id") > after) if after is not None else joined).orderBy("article_id").limit(limit)
 

@@ -58,7 +58,7 @@ def best_of_groups(scored: DataFrame, id_col: str, group_col: str, limit: int, o
     """The best row of each group, then the page. With ``candidates`` only so many best rows are looked at,
     so that fewer than ``limit`` groups may be left, as in the capped search."""
     rows = best(scored, id_col, candidates) if candidates else scored
-    top = rows.groupBy(group_col).agg(F.max_by(F.struct(id_col, "score"), F.struct("score", (-F.col(id_col)).alias("tie"))).alias("b"))
+    top = rows.groupBy(group_col).agg(F.min_by(F.struct(id_col, "score"), F.struct((-F.col("score")).alias("s"), id_col)).alias("b"))
     return best(top.select(F.col(f"b.{id_col}").alias(id_col), group_col, "b.score"), id_col, limit, offset)
 
 

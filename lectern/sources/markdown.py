@@ -49,7 +49,7 @@ def read_issues(spark: SparkSession, folder: str) -> DataFrame:
     """One row per Markdown file below ``folder`` (``*_metadata.md`` apart), with its sidecar's columns,
     nulls where it has none, and the newspaper's name as its folder gives it."""
     options = {"wholetext": "true", "recursiveFileLookup": "true"}
-    text = lambda pattern: spark.read.options(pathGlobFilter=pattern, **options).text(folder).withColumn("file", F.col("_metadata.file_path"))
+    text = lambda pattern: spark.read.format("text").options(pathGlobFilter=pattern, **options).load(folder).withColumn("file", F.col("_metadata.file_path"))
     root = F.lit("/" + folder.split("://", 1)[-1].strip("/") + "/")
     path = F.regexp_replace(F.url_decode(F.regexp_replace("file", r"\+", "%2B")), "^[a-z0-9]+:/*", "/")
     relative = F.substring(path, F.length(root) + 1, F.length(path))
