@@ -34,8 +34,8 @@ LENGTH = 200
 GRAM = 64
 STRIDE = 40
 HOT_RUNS = 20_000
-SHARD_BYTES = 1 << 20
-BATCH_BYTES = 3 << 20
+SHARD_BYTES = 1 << 18
+BATCH_BYTES = 1 << 20
 
 
 def _sliding_min(x: np.ndarray, w: int) -> np.ndarray:
