@@ -133,15 +133,15 @@ def write_archives(pages: DataFrame, folder: str, id_col: str = "page_id", url_c
     """Writes the pages as archives into ``folder`` and returns their list: path, records.
 
     Of equal payloads with ``revisit_min_bytes`` bytes or more the smallest id is the response and others
-    revisit it. A null html is empty; a page without an id is always a response; repeated rows with the
-    smallest id are all responses. The join on digests may be split where one payload is common.
+    revisit it. A null html is empty; a page without an id revisits the smallest id, if there is one; repeated rows
+    with the smallest id are all responses. The join on digests may be split where one payload is common.
     """
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), F.coalesce(F.col(html_col), F.lit("")).cast("binary").alias("payload"))
     keyed = rows.withColumn("sha256", F.unhex(F.sha2("payload", 256))).withColumn("size", F.octet_length("payload").cast("long"))
     firsts = keyed.where(F.col("size") >= revisit_min_bytes).groupBy("sha256").agg(F.min("page_id").alias("first_id"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
     joined = keyed.join(firsts, "sha256", "left")
     # A revisit's payload isn't stored, so it needn't travel further than this; its digest does.
-    slim = joined.select("page_id", "url", "size", "first_id", F.when(F.col("first_id").isNull() | F.col("page_id").isNull() | (F.col("first_id") == F.col("page_id")), F.col("payload")).alias("payload"), F.sha1("payload").alias("sha1"))
+    slim = joined.select("page_id", "url", "size", "first_id", F.when(F.col("first_id").isNull() | (F.col("first_id") == F.col("page_id")), F.col("payload")).alias("payload"), F.sha1("payload").alias("sha1"))
     return materialize(slim.mapInArrow(_writer(folder, level), "path string, records long"), "warc-list")
 
 
