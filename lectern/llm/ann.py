@@ -23,10 +23,10 @@ class ForestParams:
     #: Vectors that the trees' split points are fitted on, at most.
     sample_rows: int = 20_000
     #: Vectors in a leaf that the trees are made deep enough for, as far as the sample allows.
-    leaf_rows: int = 400
+    leaf_rows: int = 1600
     sample_leaf_rows: int = 32
     #: Leaves are visited until they hold this many times the index's rows, repeats counted.
-    visit_share: float = 1.1
+    visit_share: float = 1.2
     #: Rows, and queries, that are scored together at most.
     block_rows: int = 50_000
     block_queries: int = 20_000
@@ -93,10 +93,12 @@ def fit_forest(sample: np.ndarray, rows: int, p: ForestParams) -> Forest:
 
 
 def usable(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
-    """(vec_id, v) without null or zero vectors and those that hold null or non-finite components."""
+    """(vec_id, v) without null or zero vectors and those that hold null or non-finite components; of
+    repeated ids the least vector."""
     v = F.col(vector_col).cast("array<double>")
     bad = lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))
-    return vectors.select(F.col(id_col).cast("long").alias("vec_id"), v.alias("v")).where(F.col("vec_id").isNotNull() & F.col("v").isNotNull() & F.exists("v", lambda x: x != 0) & ~F.exists("v", bad))
+    good = vectors.select(F.col(id_col).cast("long").alias("vec_id"), v.alias("v")).where(F.col("vec_id").isNotNull() & F.col("v").isNotNull() & F.exists("v", lambda x: x != 0) & ~F.exists("v", bad))
+    return good.groupBy("vec_id").agg(F.min("v").alias("v"))
 
 
 def _matrix(batch: pa.RecordBatch, column: str) -> np.ndarray:
@@ -215,13 +217,13 @@ def search(vectors: DataFrame, k: int = 20, every: int = 20, p: ForestParams = F
     divisible by ``every``, by inner product, nearest first and ties to the smaller id.
 
     Rows with a null id and vectors that ``usable`` leaves out take no part; vectors must have one length.
-    Of repeated ids one row counts. With fewer candidates than k all that are in visited leaves are
+    Of repeated ids the least vector counts. With fewer candidates than k all that are in visited leaves are
     returned; a table that fits one leaf is searched in full.
     """
     rows = usable(vectors, id_col, vector_col)
     n, queries = rows.agg(F.count(F.lit(1)), F.sum((F.col("vec_id") % every == 0).cast("long"))).first()
     sample = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(p.sample_rows).toArrow()
-    sampled = np.array(sample.column("v").to_pylist(), np.float64).reshape(sample.num_rows, -1)
+    sampled = np.array(sample.column("v").to_pylist(), np.float64).reshape(sample.num_rows, -1 if sample.num_rows else 0)
     forest = fit_forest(sampled, n or 0, p)
     shape = (p.trees, 2**forest.depth)
 
