@@ -6,6 +6,8 @@ the plain functions.
 
 from __future__ import annotations
 
+import hashlib
+import json
 import re
 import unicodedata
 from collections.abc import Callable
@@ -210,3 +212,18 @@ def stable_id(prefix: str, *parts: Column) -> Column:
     """``prefix_`` and the first 24 hex digits of the SHA-256 of the parts, joined by NUL."""
     text = F.concat_ws("\0", *[p.cast("string") for p in parts])
     return F.concat(F.lit(prefix + "_"), F.substring(F.sha2(text.cast("binary"), 256), 1, 24))
+
+
+def compact_json(value: object) -> str:
+    """JSON with sorted keys and no spaces, the form that digests are taken of."""
+    return json.dumps(value, ensure_ascii=False, sort_keys=True, separators=(",", ":"))
+
+
+def json_digest(value: object) -> str:
+    return hashlib.sha256(compact_json(value).encode()).hexdigest()
+
+
+def lexical_digest(title: Column, content: Column) -> Column:
+    """``json_digest([title or "", content])`` in built-in functions."""
+    quoted = lambda c: F.substring(F.to_json(F.array(F.coalesce(c, F.lit("")))), 2, 1_000_000_000)
+    return F.sha2(F.concat(F.lit("["), F.regexp_replace(quoted(title), r"\]$", ","), quoted(content)).cast("binary"), 256)

@@ -188,3 +188,15 @@ def recursive_parts(text: str, size: int = 2000, overlap: int = 200, separators:
 def explode_chunks(rows: DataFrame, id_col: str, chunks: Column) -> DataFrame:
     """(id, chunk_index, chunk) of a column of arrays."""
     return rows.select(F.col(id_col), F.posexplode(chunks).alias("chunk_index", "chunk"))
+
+
+def token_id_windows(text: str, encode: Callable[[str], list[int]], decode: Callable[[list[int]], str], count: int = 512, overlap: int = 50) -> list[str]:
+    """Windows of token ids, decoded and trimmed; blank ones are skipped."""
+    if not 0 <= overlap < count:
+        raise ValueError("the overlap must be less than the count")
+    ids, out = encode(text), []
+    for first in range(0, len(ids), count - overlap):
+        out.append(decode(ids[first : first + count]).strip())
+        if first + count >= len(ids):
+            break
+    return [x for x in out if x]
