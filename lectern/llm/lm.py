@@ -93,47 +93,68 @@ _CANDIDATE = "grams int, key long, context long, suffix long, next long, n long"
 _CANDIDATE_ARROW = pa.schema([("grams", pa.int32()), ("key", pa.int64()), ("context", pa.int64()), ("suffix", pa.int64()), ("next", pa.int64()), ("n", pa.int64())])
 
 
-def _grams(t: Tokens, train: np.ndarray):
-    """(order, keys, contexts, suffixes' keys, next words) of the training tokens."""
-    keep = train[t.doc]
-    w = t.token
-    none = np.zeros(0, np.uint64)
-    yield 1, w[keep], None, None, None
-    at = np.flatnonzero(keep & (t.before >= 1))
-    p = pair_key(w[at - 1], w[at]) if len(at) else none
-    yield 2, p, w[at - 1], w[at], w[at]
-    at3 = np.flatnonzero(keep & (t.before >= 2))
-    if len(at3):
-        yield 3, triple_key(w[at3 - 2], w[at3 - 1], w[at3]), pair_key(w[at3 - 2], w[at3 - 1]), pair_key(w[at3 - 1], w[at3]), w[at3]
-    else:
-        yield 3, none, none, none, none
+def _grams(w: np.ndarray, before: np.ndarray, train: np.ndarray, order: int) -> tuple[np.ndarray, np.ndarray]:
+    """(places, keys) of the training tokens that end an n-gram."""
+    at = np.flatnonzero(train & (before >= order - 1))
+    if order == 1:
+        return at, w[at]
+    return at, pair_key(w[at - 1], w[at]) if order == 2 else triple_key(w[at - 2], w[at - 1], w[at])
+
+
+def _often(keys: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
+    """(key, count) of the keys with at least ``least`` places."""
+    keys = np.sort(keys)
+    more = max(0, math.ceil(least) - 1)
+    at = np.flatnonzero(keys[more:] == keys[: len(keys) - more])  # as many equal ones follow
+    first = at[(at == 0) | (keys[at - 1] != keys[at])]
+    return keys[first], np.searchsorted(keys, keys[first], "right") - first
+
+
+def _example(keys: np.ndarray, wanted: np.ndarray) -> np.ndarray:
+    """An index of each wanted key, all of which are there. A table of low bits sorts out most others."""
+    low = np.uint64((1 << 22) - 1)
+    table = np.zeros(1 << 22, bool)
+    table[wanted & low] = True
+    at = np.flatnonzero(table[keys & low])
+    place = np.searchsorted(wanted, keys[at])
+    place[place == len(wanted)] = 0
+    hit = wanted[place] == keys[at]
+    out = np.zeros(len(wanted), np.int64)
+    out[place[hit]] = at[hit]
+    return out
 
 
 def _candidates(p: TreeParams):
-    def flush(held: dict, n: int):
-        for order, parts in held.items():
-            cols = [np.concatenate([x[i] for x in parts]) if parts[0][i] is not None else None for i in range(4)]
-            key, first, count = np.unique(cols[0], return_index=True, return_counts=True)
+    def flush(parts: list):
+        w, before, train = (np.concatenate(x) for x in zip(*parts))
+        parts.clear()
+        n = int(train.sum())
+        for order in (1, 2, 3):
+            at, keys = _grams(w, before, train, order)
             # A pair or triple seen once in a stretch can't be told from chance, however short the stretch.
-            often = count >= max(2 if order > 1 else 1, p.frequency * n)
-            key, first, count = key[often], first[often], count[often]
-            if len(key):
-                zero = np.zeros(len(key), np.uint64)
-                other = [c[first] if c is not None else zero for c in cols[1:]]
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(key), order, np.int32)), *(pa.array(c.view(np.int64)) for c in (key, *other)), pa.array(count)], schema=_CANDIDATE_ARROW)
+            key, count = _often(keys, max(2 if order > 1 else 1, p.frequency * n))
+            if not len(key):
+                continue
+            i = at[_example(keys, key)]
+            if order == 1:
+                context = suffix = following = np.zeros(len(key), np.uint64)
+            elif order == 2:
+                context, suffix, following = w[i - 1], w[i], w[i]
+            else:
+                context, suffix, following = pair_key(w[i - 2], w[i - 1]), pair_key(w[i - 1], w[i]), w[i]
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(key), order, np.int32)), *(pa.array(c.view(np.int64)) for c in (key, context, suffix, following)), pa.array(count)], schema=_CANDIDATE_ARROW)
 
     def run(batches):
-        held, n = {1: [], 2: [], 3: []}, 0
+        parts, n = [], 0
         for t in tokens(batches):
-            train = np.array([not held_out(i) for i in t.ids], bool)
-            for order, *cols in _grams(t, train):
-                held[order].append(cols)
-            n += len(held[1][-1][0])
+            train = np.array([not held_out(i) for i in t.ids], bool)[t.doc]
+            parts.append((t.token, t.before, train))
+            n += int(train.sum())
             if n >= p.stretch:
-                yield from flush(held, n)
-                held, n = {1: [], 2: [], 3: []}, 0
-        if held[1]:
-            yield from flush(held, n)
+                yield from flush(parts)
+                parts, n = [], 0
+        if parts:
+            yield from flush(parts)
 
     return run
 
@@ -144,10 +165,10 @@ def _counter(known: np.ndarray):
     def run(batches):
         total, n = np.zeros(len(known), np.int64), 0
         for t in tokens(batches):
-            train = np.array([not held_out(i) for i in t.ids], bool)
-            for order, key, *_ in _grams(t, train):
-                if order == 1:
-                    n += len(key)
+            train = np.array([not held_out(i) for i in t.ids], bool)[t.doc]
+            n += int(train.sum())
+            for order in (1, 2, 3):
+                _, key = _grams(t.token, t.before, train, order)
                 if len(key) and len(known):
                     at = np.searchsorted(known, key)
                     at[at == len(known)] = 0
@@ -205,7 +226,7 @@ def build_tree(found: dict[str, np.ndarray], count: np.ndarray, total: int, p: T
         kl = np.bincount(index, share * np.log(np.maximum(share, 1e-300) / lower), minlength=len(state))
         left = np.maximum(1 - np.bincount(index, share, minlength=len(state)), 0)
         left_lower = np.maximum(1 - np.bincount(index, lower, minlength=len(state)), 1e-12)
-        kl += np.where(left > 0, left * np.log(np.maximum(left, 1e-300) / left_lower), 0)
+        kl = kl + np.where(left > 0, left * np.log(np.maximum(left, 1e-300) / left_lower), 0)
         g = 2 * total_own * kl
         stays = (kl >= p.divergence) & (g > size + p.deviations * np.sqrt(2 * size))
         weight = 1 - np.bincount(index, mass, minlength=len(state))
