@@ -11,7 +11,7 @@ from pyspark.sql import SparkSession
 def scratch_dir(spark: SparkSession, name: str) -> str:
     """A fresh folder under ``spark.checkpoint.dir``; a local one only where that is unset and Spark local."""
     base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base and not spark.sparkContext.master.startswith("local["):
+    if not base and not (spark.sparkContext.master + "[").startswith("local["):
         raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     base = base or "file://" + tempfile.mkdtemp(prefix="lectern-")
     return "/".join((base.rstrip("/"), "lectern", f"{name}-{uuid.uuid4().hex}"))
