@@ -96,8 +96,8 @@ def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
     Uses the groups' digests so that the texts are shuffled once, by id, to find the rows that stay.
     """
-    names = docs.columns
-    kept = exact_groups(docs, id_col, text_col).where("kept").select(F.col(id_col).alias("__id"), F.col("text_sha256").alias("__sha")).distinct()
-    keyed = docs.withColumn("__digest", F.sha2(normalized(F.col(text_col)).cast("binary"), 256))
-    rows = keyed.join(kept, keyed[id_col].eqNullSafe(kept["__id"]) & (keyed["__digest"] == kept["__sha"]))
-    return rows.dropDuplicates(["__digest"]).select(*[F.col(f"`{c}`") for c in names])
+    key = lambda i, digest: F.concat_ws(":", digest, F.coalesce(i.cast("string"), F.lit("null"))).alias("__key")
+    kept = exact_groups(docs, id_col, text_col).where("kept").select(key(F.col(id_col), F.col("text_sha256"))).distinct()
+    keyed = docs.select("*", key(F.col(id_col), F.sha2(normalized(F.col(text_col)).cast("binary"), 256)))
+    # Repeated rows share the join's key, so dropping them needs no shuffle of its own.
+    return keyed.join(kept.hint("merge"), "__key", "left_semi").dropDuplicates(["__key"]).select(*[F.col(f"`{c}`") for c in docs.columns])

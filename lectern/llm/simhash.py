@@ -157,6 +157,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 def keep_representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows whose id names their component; of repeated rows one stays. A row without an id stays if its
     component has no id at all."""
-    named = near_duplicates(docs, id_col, text_col).where(F.col(id_col).eqNullSafe(F.col("component_id"))).select(F.col(id_col).alias("__id")).distinct()
-    rows = docs.join(named, docs[id_col].eqNullSafe(F.col("__id")), "left_semi")
-    return rows.dropDuplicates([id_col])
+    key = lambda i: F.coalesce(i.cast("string"), F.lit("null")).alias("__key")
+    named = near_duplicates(docs, id_col, text_col).where(F.col(id_col).eqNullSafe(F.col("component_id"))).select(key(F.col(id_col))).distinct()
+    rows = docs.select("*", key(F.col(id_col)))
+    # Repeated rows share the join's key, so dropping them needs no shuffle of its own.
+    return rows.join(named.hint("merge"), "__key", "left_semi").dropDuplicates(["__key"]).select(*[F.col(f"`{c}`") for c in docs.columns])
