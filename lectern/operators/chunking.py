@@ -113,9 +113,13 @@ def _windows(items: Column, count: int, overlap: int) -> Column:
     if not 0 <= overlap < count:
         raise ValueError("the overlap must be less than the count")
     step = count - overlap
-    n = F.size(items)
-    last = F.greatest(F.lit(0), F.ceil((n - count) / F.lit(step))).cast("int")
-    return F.when(n > 0, F.transform(F.sequence(F.lit(0), last), lambda k: F.slice(items, k * step + 1, count))).otherwise(F.array().cast(T_NESTED))
+
+    def cut(own: Column) -> Column:
+        last = F.greatest(F.lit(0), F.ceil((F.size(own) - count) / F.lit(step))).cast("int")
+        return F.when(F.size(own) > 0, F.transform(F.sequence(F.lit(0), last), lambda k: F.slice(own, k * step + 1, count))).otherwise(F.array().cast(T_NESTED))
+
+    # Bound to a variable, so that the items are made once and not for each window.
+    return F.flatten(F.transform(F.array(items), cut))
 
 
 T_NESTED = "array<array<string>>"

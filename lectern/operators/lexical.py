@@ -220,22 +220,26 @@ def open_index(spark, path: str) -> Index:
     return Index(spark.read.parquet(f"{path}/postings"), stats["rows"], stats["tokens"])
 
 
-def in_memory_index(docs: DataFrame, id_col: str = "doc_id", title_col: str | None = None, text_col: str = "text", tokens=search_tokens_col) -> Index:
-    """An index that isn't written: postings are found anew for each query."""
-    found = tokenized(docs, id_col, title_col, text_col, tokens)
-    stats = found.agg(F.count(F.lit(1)), F.sum(F.size("title_tokens") + F.size("text_tokens"))).first()
-    return Index(postings(found), stats[0] or 0, stats[1] or 0)
+@dataclass
+class Scan:
+    """Documents that are searched without an index: ``tokens`` as ``tokenized`` gives them."""
+
+    tokens: DataFrame
+
+
+def scan(docs: DataFrame, id_col: str = "doc_id", title_col: str | None = None, text_col: str = "text", tokens=search_tokens_col) -> Scan:
+    return Scan(tokenized(docs, id_col, title_col, text_col, tokens))
 
 
 # -- matching ----------------------------------------------------------------------------------------
 
 
-def _wanted(query: Query) -> Column:
-    """Postings that any phrase needs."""
+def _wanted(query: Query, term: Column) -> Column:
+    """Whether any phrase needs the term."""
     exact = sorted({t for p in query.phrases for t in (p.tokens[:-1] if p.prefix else p.tokens)})
     starts = sorted({p.tokens[-1] for p in query.phrases if p.prefix and p.tokens})
-    conditions = [F.col("term").isin(exact)] if exact else []
-    conditions += [F.col("term").startswith(s) for s in starts]
+    conditions = [term.isin(exact)] if exact else []
+    conditions += [term.startswith(s) for s in starts]
     out = F.lit(False)
     for c in conditions:
         out = out | c
@@ -325,10 +329,24 @@ def _score(query: Query, tree: tuple, phrase_score) -> Column:
     return total if kind == "or" else F.when(_condition(query, tree), total).otherwise(0.0)
 
 
-def matches(index: Index, query: Query) -> DataFrame:
-    """doc_id, size and by phrase its hits in title (t0, ...) and text (x0, ...) and both (n0, ...), for
-    documents with any of the query's terms. One small shuffle, of the terms' postings by document."""
-    gathered = index.postings.where(_wanted(query)).groupBy("doc_id").agg(F.first("size").alias("size"), F.collect_list(F.struct("term", "title_at", "text_at")).alias("p"))
+def _gathered(index: Index | Scan, query: Query) -> DataFrame:
+    """doc_id, size and the places ``p`` of the query's terms. From an index only documents that have any,
+    after one small shuffle of these terms' postings; from a scan all documents, without one."""
+    if isinstance(index, Index):
+        return index.postings.where(_wanted(query, F.col("term"))).groupBy("doc_id").agg(F.first("size").alias("size"), F.collect_list(F.struct("term", "title_at", "text_at")).alias("p"))
+    none = F.array().cast("array<int>")
+
+    def places(column: str) -> Column:
+        own = lambda at: (at, none) if column == "title_tokens" else (none, at)
+        spots = F.transform(F.col(column), lambda t, i: F.when(_wanted(query, t), F.struct(t.alias("term"), *(x.alias(n) for x, n in zip(own(F.array(i + 1)), ("title_at", "text_at"))))))
+        return F.array_compact(spots)
+
+    return index.tokens.select("doc_id", (F.size("title_tokens") + F.size("text_tokens")).alias("size"), F.concat(places("title_tokens"), places("text_tokens")).alias("p"))
+
+
+def matches(index: Index | Scan, query: Query) -> DataFrame:
+    """doc_id, size and by phrase its hits in title (t0, ...) and text (x0, ...) and both (n0, ...)."""
+    gathered = _gathered(index, query)
     counts = []
     for i, phrase in enumerate(query.phrases):
         t, x = F.size(_hits(phrase, "title")), F.size(_hits(phrase, "text"))
@@ -346,17 +364,19 @@ def idf(rows: int, holding: int) -> float:
     return value if value > 0 else FLOOR_IDF
 
 
-def bm25(index: Index, text: str) -> DataFrame:
-    """(doc_id, score) of the matching documents; the statistics are those of the whole index."""
+def bm25(index: Index | Scan, text: str) -> DataFrame:
+    """(doc_id, score) of the matching documents; the statistics are those of all documents."""
     query = parse(text)
     found = matches(index, query)
-    k = len(query.phrases)
-    holding = found.agg(*[F.coalesce(F.sum((F.col(f"n{i}") > 0).cast("int")), F.lit(0)) for i in range(k)]).first() if k else ()
-    average = index.tokens / index.rows if index.rows else 1.0
+    holding = [F.coalesce(F.sum((F.col(f"n{i}") > 0).cast("long")), F.lit(0)) for i in range(len(query.phrases))]
+    rows, tokens, *holding = found.agg(F.count(F.lit(1)), F.coalesce(F.sum("size"), F.lit(0)), *holding).first()
+    if isinstance(index, Index):
+        rows, tokens = index.rows, index.tokens
+    average = tokens / rows if rows else 1.0
 
     def phrase_score(i: int) -> Column:
         f = F.lit(TITLE_WEIGHT) * F.col(f"t{i}") + F.lit(TEXT_WEIGHT) * F.col(f"x{i}")
-        return F.lit(idf(index.rows, holding[i])) * f * (K1 + 1) / (f + K1 * (1 - B + B * F.col("size") / F.lit(average)))
+        return F.lit(idf(rows, holding[i])) * f * (K1 + 1) / (f + K1 * (1 - B + B * F.col("size") / F.lit(average)))
 
     score = _score(query, query.tree, phrase_score)
     return found.where(_condition(query, query.tree)).select("doc_id", score.alias("score"))

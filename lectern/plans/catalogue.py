@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from lectern.functions.names import chunk_path
 from lectern.functions.text import ascii_tokens, first_sentences, plain_text, stable_id
 from lectern.operators import chunking, entities, lexical, relational, snippets, vectors
+from lectern.plans.scratch import scratch_dir, spread
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -35,6 +36,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def texts(spark: SparkSession, sf_dir: str, name: str = "documents") -> DataFrame:
+    """A table whose rows take long."""
+    return spread(table(spark, sf_dir, name))
+
+
 # -- ranked search -------------------------------------------------------------------------------------
 
 _TOK = "documents_tokens AS (SELECT doc_id, source, lang, regexp_extract_all(lower(coalesce(text, '')), '[\\p{L}\\p{N}]+') AS w FROM documents), stats AS (SELECT count(*) AS n, avg(len(w)) AS a FROM documents_tokens)"
@@ -49,8 +55,8 @@ def _bm25_sql(terms: list[str], where: str, extra: str = "", limit: str = "LIMIT
     return f"WITH {_TOK}, hits AS (SELECT *, {counts} FROM documents_tokens), dfs AS (SELECT {dfs} FROM hits) SELECT doc_id, round({score}, 6) AS score FROM hits, dfs, stats WHERE ({where}) {extra} ORDER BY score DESC, doc_id {limit}"
 
 
-def _index(docs: DataFrame) -> lexical.Index:
-    return lexical.in_memory_index(docs, tokens=ascii_tokens)
+def _index(docs: DataFrame) -> lexical.Scan:
+    return lexical.scan(docs, tokens=ascii_tokens)
 
 
 def _scored(scores: DataFrame) -> DataFrame:
@@ -63,37 +69,37 @@ def _page(scores: DataFrame, limit: int = 10) -> DataFrame:
 
 @query(_bm25_sql(["t = 'queen'"], "n0 > 0"))
 def bm25_topk(spark, d):
-    return _page(lexical.bm25(_index(table(spark, d, "documents")), "queen"))
+    return _page(lexical.bm25(_index(texts(spark, d)), "queen"))
 
 
 @query(_bm25_sql(["t = 'the'", "t = 'from'"], "n0 > 0 AND n1 > 0"))
 def bm25_and(spark, d):
-    return _page(lexical.bm25(_index(table(spark, d, "documents")), "the from"))
+    return _page(lexical.bm25(_index(texts(spark, d)), "the from"))
 
 
 @query(_bm25_sql(["t = 'queen'", "t = 'from'"], "n0 > 0 OR n1 > 0"))
 def bm25_or(spark, d):
-    return _page(lexical.bm25(_index(table(spark, d, "documents")), "queen OR from"))
+    return _page(lexical.bm25(_index(texts(spark, d)), "queen OR from"))
 
 
 @query(f"WITH {_TOK}, hits AS (SELECT *, len(list_filter(w, lambda t: t = 'the')) AS n0, len(list_filter(w, lambda t: t = 'from')) AS n1 FROM documents_tokens), dfs AS (SELECT count(*) FILTER (n0 > 0) AS d0 FROM hits) SELECT doc_id, round((CASE WHEN ln((n - d0 + 0.5) / (d0 + 0.5)) > 0 THEN ln((n - d0 + 0.5) / (d0 + 0.5)) ELSE 1e-6 END) * n0 * 2.2 / (n0 + 1.2 * (0.25 + 0.75 * len(w) / a)), 6) AS score FROM hits, dfs, stats WHERE n0 > 0 AND n1 = 0 ORDER BY score DESC, doc_id LIMIT 10")
 def bm25_not(spark, d):
-    return _page(lexical.bm25(_index(table(spark, d, "documents")), "the NOT from"))
+    return _page(lexical.bm25(_index(texts(spark, d)), "the NOT from"))
 
 
 @query(_bm25_sql(["starts_with(t, 'que')"], "n0 > 0"))
 def bm25_prefix(spark, d):
-    return _page(lexical.bm25(_index(table(spark, d, "documents")), "que*"))
+    return _page(lexical.bm25(_index(texts(spark, d)), "que*"))
 
 
 @query(f"WITH {_TOK}, hits AS (SELECT *, len(list_filter(generate_series(1, len(w) - 1), lambda i: w[i] = 'and' AND w[i + 1] = 'the')) AS n0 FROM documents_tokens), dfs AS (SELECT count(*) FILTER (n0 > 0) AS d0 FROM hits) SELECT doc_id, round((CASE WHEN ln((n - d0 + 0.5) / (d0 + 0.5)) > 0 THEN ln((n - d0 + 0.5) / (d0 + 0.5)) ELSE 1e-6 END) * n0 * 2.2 / (n0 + 1.2 * (0.25 + 0.75 * len(w) / a)), 6) AS score FROM hits, dfs, stats WHERE n0 > 0 ORDER BY score DESC, doc_id LIMIT 10")
 def bm25_phrase(spark, d):
-    return _page(lexical.bm25(_index(table(spark, d, "documents")), '"and the"'))
+    return _page(lexical.bm25(_index(texts(spark, d)), '"and the"'))
 
 
 @query(_bm25_sql(["t = 'from'"], "n0 > 0", "AND doc_id IN (SELECT doc_id FROM documents WHERE source = 'src3')"))
 def bm25_scoped(spark, d):
-    docs = table(spark, d, "documents")
+    docs = texts(spark, d)
     inside = docs.where(relational.in_scope("src3", title="lang", date="lang")).select("doc_id")
     return _page(lexical.bm25(_index(docs), "from").join(inside, "doc_id", "left_semi"))
 
@@ -102,7 +108,7 @@ def bm25_scoped(spark, d):
 b AS ({_bm25_sql(["starts_with(t, 'from')"], "n0 > 0", limit="LIMIT 50")})
 SELECT doc_id, round(coalesce(a.score, 0) + 0.5 * coalesce(b.score, 0), 6) AS score FROM a FULL JOIN b USING (doc_id) ORDER BY score DESC, doc_id LIMIT 10""")
 def bm25_combined_fusion(spark, d):
-    index = _index(table(spark, d, "documents"))
+    index = _index(texts(spark, d))
     return _scored(lexical.fuse(_scored(lexical.bm25(index, "from")), _scored(lexical.bm25(index, "from*")), 10, lemma_weight=0.5))
 
 
@@ -281,7 +287,7 @@ def analysable(spark, d):
 
 @query("WITH w AS (SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[ \\t\\n\\x0b\\f\\r]+'), lambda x: x <> '') AS a FROM documents), c AS (SELECT doc_id, a, unnest(generate_series(0, greatest(0, ceil((len(a) - 100) / 80.0))::BIGINT)) AS k FROM w WHERE len(a) > 0) SELECT doc_id, k::INT AS chunk_index, array_to_string(a[k * 80 + 1 : k * 80 + 100], ' ') AS chunk FROM c")
 def chunk_words(spark, d):
-    return chunking.explode_chunks(table(spark, d, "documents"), "doc_id", chunking.word_windows(F.coalesce("text", F.lit("")), 100, 20))
+    return chunking.explode_chunks(texts(spark, d), "doc_id", chunking.word_windows(F.coalesce("text", F.lit("")), 100, 20))
 
 
 @query(r"""WITH f AS (SELECT doc_id, trim(regexp_replace(coalesce(text, ''), '[ \t\n\x0b\f\r]+', ' ', 'g')) AS t FROM documents),
@@ -289,7 +295,7 @@ s AS (SELECT doc_id, list_filter(string_split(regexp_replace(t, '([.!?]) ', '\1'
 c AS (SELECT doc_id, a, unnest(generate_series(0, greatest(0, ceil((len(a) - 5) / 4.0))::BIGINT)) AS k FROM s WHERE len(a) > 0)
 SELECT doc_id, k::INT AS chunk_index, array_to_string(a[k * 4 + 1 : k * 4 + 5], ' ') AS chunk FROM c""")
 def chunk_sentences(spark, d):
-    return chunking.explode_chunks(table(spark, d, "documents"), "doc_id", chunking.sentence_windows(F.coalesce("text", F.lit(""))))
+    return chunking.explode_chunks(texts(spark, d), "doc_id", chunking.sentence_windows(F.coalesce("text", F.lit(""))))
 
 
 @query(r"""WITH p AS (SELECT conv_id, string_agg(text, chr(10) || chr(10) ORDER BY turn) AS t FROM conversations GROUP BY 1),
@@ -307,7 +313,7 @@ def chunk_whole(spark, d):
 
 @query()
 def chunk_token_spans(spark, d):
-    docs = table(spark, d, "documents").select(F.col("doc_id").cast("string").alias("newspaper_id"), F.concat(F.lit("d/"), "doc_id").alias("relative_path"), F.coalesce("text", F.lit("")).alias("content"))
+    docs = texts(spark, d).select(F.col("doc_id").cast("string").alias("newspaper_id"), F.concat(F.lit("d/"), "doc_id").alias("relative_path"), F.coalesce("text", F.lit("")).alias("content"))
     return chunking.chunk_articles(chunking.split_articles(docs), docs)
 
 
@@ -355,7 +361,7 @@ for _pattern, _to in ((r"(?s)```.*?```", ""), (r"`[^`]*`", ""), (r"!\[[^\]]*\]\(
 
 @query(f"SELECT page_id, {_PLAIN_SQL} AS plain FROM pages")
 def strip_markup(spark, d):
-    return table(spark, d, "pages").select("page_id", plain_text(F.col("html")).alias("plain"))
+    return texts(spark, d, "pages").select("page_id", plain_text(F.col("html")).alias("plain"))
 
 
 @query(r"SELECT doc_id, trim(array_to_string(list_transform(string_split(regexp_replace(coalesce(text, ''), '([.!?])\s+', '\1' || chr(1), 'g'), chr(1))[1:2], lambda s: trim(s)), ' ')) AS lead FROM documents")
@@ -467,8 +473,6 @@ def name_prefix(spark, d):
 
 @query(f"WITH {_MENTIONS}, c AS (SELECT normalized_name, count(*) AS article_count FROM n GROUP BY 1), r AS (SELECT row_number() OVER (ORDER BY article_count DESC, normalized_name) AS rank, * FROM c) SELECT * FROM r WHERE rank > 5 AND rank <= 15")
 def name_frequency_page(spark, d):
-    from lectern.plans.scratch import scratch_dir
-
     ranked = relational.global_rank(_members(spark, d)[0].select("normalized_name", "article_count"), [F.desc("article_count"), F.col("normalized_name")], scratch_dir(spark, "ranks"))
     return relational.page(ranked, "rank", 5, 10)
 
@@ -562,7 +566,7 @@ def hierarchy_rollup(spark, d):
 
 @query("SELECT b.item_id, count(*) AS documents, min(d.doc_id) AS first_id FROM benchmark b JOIN documents d ON contains(d.text, b.text) GROUP BY 1")
 def contained_passages(spark, d):
-    return _contained(table(spark, d, "documents"), table(spark, d, "benchmark"))
+    return _contained(texts(spark, d), table(spark, d, "benchmark"))
 
 
 def _contained(docs: DataFrame, items: DataFrame, width: int = 24) -> DataFrame:

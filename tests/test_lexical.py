@@ -55,3 +55,10 @@ def test_regex_search(spark):
     assert [r.doc_id for r in lexical.regex_search(docs, "ab1", 1, ignore_case=True).collect()] == [2]
     with pytest.raises(lexical.QueryError):
         lexical.regex_search(docs, "(", 1)
+
+
+@pytest.mark.parametrize("query", QUERIES[:10])
+def test_a_scan_scores_like_an_index(spark, index, query):
+    found = lexical.scan(spark.createDataFrame(DOCS, "doc_id long, title string, text string"), title_col="title")
+    rounded = lambda rows: sorted((r.doc_id, round(r.score, 9)) for r in rows.collect())
+    assert rounded(lexical.bm25(found, query)) == rounded(lexical.bm25(index, query))
