@@ -341,7 +341,7 @@ def _gathered(index: Index | Scan, query: Query) -> DataFrame:
         spots = F.transform(F.col(column), lambda t, i: F.when(_wanted(query, t), F.struct(t.alias("term"), *(x.alias(n) for x, n in zip(own(F.array(i + 1)), ("title_at", "text_at"))))))
         return F.array_compact(spots)
 
-    return index.tokens.select("doc_id", (F.size("title_tokens") + F.size("text_tokens")).alias("size"), F.concat(places("title_tokens"), places("text_tokens")).alias("p"))
+    return index.tokens.select("doc_id", (F.size("title_tokens") + F.size("text_tokens")).alias("size"), F.concat(places("title_tokens"), places("text_tokens")).alias("p"), F.spark_partition_id().alias("fence"))
 
 
 def matches(index: Index | Scan, query: Query) -> DataFrame:
@@ -379,7 +379,9 @@ def bm25(index: Index | Scan, text: str) -> DataFrame:
         return F.lit(idf(rows, holding[i])) * f * (K1 + 1) / (f + K1 * (1 - B + B * F.col("size") / F.lit(average)))
 
     score = _score(query, query.tree, phrase_score)
-    return found.where(_condition(query, query.tree)).select("doc_id", score.alias("score"))
+    # Of a scan the condition would be pushed below what it is made of, and all that be done twice.
+    matched = _condition(query, query.tree) if isinstance(index, Index) else _condition(query, query.tree) & (F.col("fence") >= 0)
+    return found.where(matched).select("doc_id", score.alias("score"))
 
 
 def top(scores: DataFrame, limit: int, offset: int = 0) -> DataFrame:
