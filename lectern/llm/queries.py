@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lectern.llm import ann, exact_dedup, langid, lm, mixing, packing, repeats, secrets, simhash, warc
+from lectern.plans.scratch import spread
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -19,7 +20,7 @@ def tokenizer_files() -> tuple[str, str]:
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return spread(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
 def op1_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -35,7 +36,7 @@ def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = warc.round_trip(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+    found = warc.round_trip(spread(spark.read.parquet(f"{sf_dir}/pages.parquet")))
     return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
