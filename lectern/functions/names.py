@@ -9,14 +9,17 @@ from pathlib import PurePosixPath
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from lectern.functions.text import compact_json
+
 CHUNK_SCHEMA = "lectern.chunk.v1"
 _DATE = re.compile(r"(\d{4})(?: +(\d\d)(?: +(\d\d))?)?")
-COLUMNS = ("date", "publisher", "source", "rights", "title", "urn", "issue", "volume")
+_IDENTIFIER = re.compile("(?i)(?:gf-)?urn:")
+COLUMNS = tuple("date publisher source rights title urn issue volume".split())
 
 
 def chunk_name(path: str, chunk: str | int) -> str:
     """A chunk's id as JSON with sorted keys."""
-    return json.dumps({"article": PurePosixPath(path).stem, "chunk": str(chunk), "path": path, "schema": CHUNK_SCHEMA}, ensure_ascii=False, separators=(",", ":"))
+    return compact_json({"article": PurePosixPath(path).stem, "chunk": str(chunk), "path": path, "schema": CHUNK_SCHEMA})
 
 
 def parse_chunk_name(value: str) -> dict[str, str]:
@@ -67,11 +70,17 @@ def iso_date(value: str | None) -> str | None:
     return "-".join(filter(None, found.groups())) if found else value
 
 
+def _record(metadata: object) -> dict:
+    """The record, or an empty one where the metadata has another shape."""
+    outer = metadata if isinstance(metadata, dict) else {}
+    inner = outer.get("Record")
+    return inner if isinstance(inner, dict) else {}
+
+
 def newspaper_columns(metadata: object) -> dict[str, str | None]:
     """The eight text columns of an issue from its metadata record, whose fields may be texts, lists or
     objects. A typed URN wins over a bare one."""
-    record = metadata.get("Record") if isinstance(metadata, dict) else None
-    record = record if isinstance(record, dict) else {}
+    record = _record(metadata)
     identifiers = record.get("identifier")
     typed = _of_type(identifiers, "@identifier_type", "urn")
     bare = (t for t in map(_text, _entries(identifiers)) if t and t.casefold().startswith("urn:"))
@@ -83,7 +92,6 @@ def newspaper_columns(metadata: object) -> dict[str, str | None]:
 
 def source_identifiers(metadata: object) -> list[str]:
     """Lower-cased ``urn:`` and ``gf-urn:`` identifiers, sorted."""
-    record = metadata.get("Record") if isinstance(metadata, dict) else None
-    values = _entries(record.get("identifier", [])) if isinstance(record, dict) else []
+    values = _entries(_record(metadata).get("identifier", []))
     texts = (v.get("#text") if isinstance(v, dict) else v for v in values)
-    return sorted({t.casefold() for t in texts if isinstance(t, str) and t.casefold().startswith(("urn:", "gf-urn:"))})
+    return sorted({t.casefold() for t in texts if isinstance(t, str) and _IDENTIFIER.match(t)})

@@ -23,7 +23,8 @@ _LOOKALIKE = str.maketrans("l10", "iio")
 
 def normalize_name(value: str) -> str:
     """NFC, case-folded, white space collapsed."""
-    return " ".join(unicodedata.normalize("NFC", value).casefold().split())
+    folded = unicodedata.normalize("NFC", value).casefold()
+    return " ".join(folded.split())
 
 
 def comparison_key(value: str) -> str:
@@ -31,22 +32,26 @@ def comparison_key(value: str) -> str:
     return _MARKS.sub("", normalize_name(value))
 
 
+def _confused(key: str) -> str:
+    return key.translate(_LOOKALIKE).replace("rn", "m")
+
+
 def ocr_key(value: str) -> str:
     """A comparison key in which characters that scanners confuse are one."""
-    return comparison_key(value).replace("rn", "m").translate(_LOOKALIKE)
+    return _confused(comparison_key(value))
 
 
 def letters_signature(value: str) -> str:
     """Letters and digits without diacritics."""
     split = unicodedata.normalize("NFKD", normalize_name(value))
-    return "".join(c for c in split if c.isalnum() and not unicodedata.combining(c))
+    return "".join(filter(str.isalnum, (c for c in split if unicodedata.combining(c) == 0)))
 
 
 def ocr_signature(value: str) -> str:
-    return letters_signature(value).replace("rn", "m").translate(_LOOKALIKE)
+    return _confused(letters_signature(value))
 
 
-# -- the full-text tokenizer --------------------------------------------------------------------------
+# the full-text tokenizer
 
 
 def _folded(char: str) -> str:
@@ -82,13 +87,20 @@ def search_tokens(text: str | None) -> list[str]:
     return out
 
 
-# -- Markdown and HTML --------------------------------------------------------------------------------
+# Markdown and HTML
+
+_GAP = r"\s*"
+_TABLE = re.compile(f"(?i)<{_GAP}(?P<close>/?){_GAP}table" + r"\b[^>]*>")
+_PLAIN = r"[^()\r\n"
+_TARGET = rf"(?:{_PLAIN}\\]|\\.|\\|[(]{_PLAIN}]*[)])*"
+_BLANKS = "[ \t]"
+_IMAGE = re.compile(r"(?<!\\)!\[(?:[^\]\\]|\\.)*\][(]" + rf"{_BLANKS}*(?:{_TARGET}|<[^>\r\n]*>){_BLANKS}*[)]")
 
-_TABLE = re.compile(r"(?i)<\s*(?P<close>/?)\s*table\b[^>]*>")
-_IMAGE = re.compile(r"(?<!\\)!\[(?:[^\]\\]|\\.)*\]\([ \t]*(?:<[^>\r\n]*>|(?:[^()\r\n\\]|\\.|\\|\([^()\r\n]*\))*)[ \t]*\)")
 
+Spans = list[tuple[int, int]]
 
-def text_outside_tables(text: str) -> list[tuple[int, int]]:
+
+def text_outside_tables(text: str) -> Spans:
     """Spans that lie in no HTML table. Nested tables count as part of the outer one; a closing tag without
     an open table is text; a table that never closes stays, in one span with the text in front of it."""
     kept: list[tuple[int, int]] = []
@@ -134,7 +146,7 @@ def masked_tables(text: str) -> str:
 def without_images(text: str) -> str:
     """Inline images removed; lines of blanks emptied; repeated blanks within a line collapsed."""
     text = _IMAGE.sub(" ", text)
-    text = re.sub(r"(?m)^[ \t]+(?=\r?$)", "", text)
+    text = re.sub(rf"(?m)^{_BLANKS}+(?=\r?$)", "", text)
     return re.sub(r"(?<=\S)[ \t][ \t]+(?=\S)", " ", text)
 
 
@@ -142,13 +154,13 @@ def without_images(text: str) -> str:
 PLAIN_STEPS = (
     (r"(?s)```.*?```", ""),
     (r"`[^`]*`", ""),
-    (r"!\[[^\]]*\]\([^)]*\)", ""),
-    (r"\[([^\]]+)\]\([^)]*\)", r"$1"),
+    (r"!\[[^\]]*\][(][^)]*[)]", ""),
+    (r"\[([^\]]+)\][(][^)]*[)]", "$1"),
     (r"(?m)^#+\s*", ""),
     (r"<[^>]+>", ""),
     (r"\r\n?", "\n"),
     (r"[ \t]+", " "),
-    (r"\n{3,}", "\n\n"),
+    ("\n\n\n+", "\n\n"),
 )
 
 
@@ -161,11 +173,11 @@ def plain_text(column: Column) -> Column:
 
 def first_sentences(column: Column, n: int) -> Column:
     """The first n sentences (one at least), each trimmed."""
-    parts = F.slice(F.split(column, r"(?<=[.!?])\s+"), 1, max(1, n))
+    parts = F.slice(F.split(column, r"(?<=[!.?])\s+"), 1, max(1, n))
     return F.trim(F.array_join(F.transform(parts, lambda s: F.trim(s)), " "))
 
 
-# -- as columns ---------------------------------------------------------------------------------------
+# as columns
 
 
 def arrow_udf(f: Callable, kind: T.DataType | str) -> Callable[..., Column]:
@@ -214,9 +226,12 @@ def stable_id(prefix: str, *parts: Column) -> Column:
     return F.concat(F.lit(prefix + "_"), F.substring(F.sha2(text.cast("binary"), 256), 1, 24))
 
 
+_COMPACT = (",", ":")
+
+
 def compact_json(value: object) -> str:
     """JSON with sorted keys and no spaces, the form that digests are taken of."""
-    return json.dumps(value, ensure_ascii=False, sort_keys=True, separators=(",", ":"))
+    return json.dumps(value, separators=_COMPACT, sort_keys=True, ensure_ascii=False)
 
 
 def json_digest(value: object) -> str:

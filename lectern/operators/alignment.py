@@ -9,7 +9,9 @@ from collections.abc import Iterable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-_REFERENCE = {"&amp;": "&", "&lt;": "<", "&gt;": ">"}
+from lectern.functions.text import Spans
+
+_REFERENCE = {f"&{name};": c for name, c in zip(("amp", "lt", "gt"), "&<>")}
 _PIECE = re.compile("|".join(_REFERENCE) + "|.", re.S)
 
 
@@ -18,7 +20,7 @@ def _silent(c: str) -> bool:
     return ord(c) < 32 or 127 <= ord(c) <= 159
 
 
-def align(tokens: Iterable[str], text: str) -> list[tuple[int, int]]:
+def align(tokens: Iterable[str], text: str) -> Spans:
     """Source spans of tokens that stand in the text's order. The tokenizer may have decoded the three basic
     character references, written soft hyphens as hyphens and dropped control characters; white space
     only separates. Text that no token covers is an error."""
@@ -65,12 +67,12 @@ def words_of_subwords(predictions: list[dict]) -> list[dict]:
     return [{"start": e["start"], "end": e["end"], "label": e["label"], "score": sum(e["scores"]) / len(e["scores"])} for e in out]
 
 
-def highlight(text: str, entities: list[dict], start: int, end: int) -> str:
+def highlight(text: str, marks: list[dict], begin: int, stop: int) -> str:
     """The excerpt as HTML with a mark on each stretch, titled by the labels that cover it."""
-    cuts = sorted({start, end, *(min(max(x, start), end) for e in entities for x in (e["start"], e["end"]))})
+    cuts = sorted({begin, stop, *(min(max(x, begin), stop) for m in marks for x in (m["start"], m["end"]))})
     out = ""
     for a, b in zip(cuts, cuts[1:]):
-        labels = ", ".join(sorted({e["label"] for e in entities if e["start"] <= a and b <= e["end"]}))
+        labels = ", ".join(sorted({m["label"] for m in marks if m["start"] <= a and b <= m["end"]}))
         shown = html.escape(text[a:b])
         out += f'<mark title="{html.escape(labels)}">{shown}</mark>' if labels else shown
     return out

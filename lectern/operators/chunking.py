@@ -10,9 +10,11 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lectern.functions.text import stable_id, text_outside_tables
+from lectern.functions.text import Spans, stable_id, text_outside_tables
 
-_HEADING = re.compile(r"(?m)^[\t ]{0,3}#[\t ]*(?P<title>.*?)[\t ]*$")
+Span = tuple[int, int]
+_BLANK = "[\t ]"
+_HEADING = re.compile(f"(?m)^{_BLANK}{{0,3}}#{_BLANK}*(?P<title>.*?){_BLANK}*$")
 ARTICLES = "newspaper_id string, article_id string, title string, content string, article_index int, char_start int, char_end int, content_start int, line_start int, line_end int, is_valid int"
 CHUNKS = "article_id string, chunk_id string, chunk_index int, text string, char_start int, char_end int, line_start int, line_end int"
 
@@ -23,11 +25,11 @@ class Lines:
     def __init__(self, text: str):
         self.ends = [m.start() for m in re.finditer("\n", text)]
 
-    def of(self, start: int, end: int) -> tuple[int, int]:
-        return tuple(bisect.bisect_left(self.ends, max(0, x)) + 1 for x in (start, max(start, end - 1)))
+    def of(self, begin: int, stop: int) -> tuple[int, ...]:
+        return tuple(bisect.bisect_left(self.ends, max(0, x)) + 1 for x in (begin, max(begin, stop - 1)))
 
 
-def trimmed(text: str, start: int, end: int) -> tuple[int, int]:
+def trimmed(text: str, start: int, end: int) -> Span:
     """The span without white space at its ends; empty spans collapse at the right end."""
     inner = text[start:end]
     lead = len(inner) - len(inner.lstrip())
@@ -65,11 +67,11 @@ def split_articles(issues: DataFrame) -> DataFrame:
     return named.select(*[c.split()[0] for c in ARTICLES.split(", ")])
 
 
-def whitespace_offsets(text: str) -> list[tuple[int, int]]:
+def whitespace_offsets(text: str) -> Spans:
     return [m.span() for m in re.finditer(r"\S+", text)]
 
 
-def token_windows(text: str, offsets: Callable[[str], list[tuple[int, int]]] = whitespace_offsets, count: int = 256, overlap: int = 64, skip_tables: bool = False) -> Iterator[tuple[int, int]]:
+def token_windows(text: str, offsets: Callable[[str], Spans] = whitespace_offsets, count: int = 256, overlap: int = 64, skip_tables: bool = False) -> Iterator[tuple[int, int]]:
     """Spans of windows of ``count`` tokens, each ``count - overlap`` after the last; a window that reaches
     the end is the last one. With ``skip_tables`` the windows start anew behind each table."""
     if not 0 <= overlap < count:
@@ -85,7 +87,7 @@ def token_windows(text: str, offsets: Callable[[str], list[tuple[int, int]]] = w
                 break
 
 
-def chunk_articles(articles: DataFrame, sources: DataFrame, offsets: Callable[[str], list[tuple[int, int]]] = whitespace_offsets, count: int = 256, overlap: int = 64, skip_tables: bool = False) -> DataFrame:
+def chunk_articles(articles: DataFrame, sources: DataFrame, offsets: Callable[[str], Spans] = whitespace_offsets, count: int = 256, overlap: int = 64, skip_tables: bool = False) -> DataFrame:
     """Token windows of articles with offsets and lines of their issue (newspaper_id, content). Chunks are
     numbered as they are emitted."""
 
@@ -98,14 +100,14 @@ def chunk_articles(articles: DataFrame, sources: DataFrame, offsets: Callable[[s
                     first, last = lines.of(base + a, base + b)
                     rows.append((article, i, content[a:b], base + a, base + b, first, last))
             if rows:
-                yield pd.DataFrame(rows, columns=["article_id", "chunk_index", "text", "char_start", "char_end", "line_start", "line_end"])
+                yield pd.DataFrame(rows, columns="article_id chunk_index text char_start char_end line_start line_end".split())
 
     joined = articles.select("newspaper_id", "article_id", "content", "content_start").join(sources.select("newspaper_id", F.col("content").alias("source_text")), "newspaper_id")
     found = joined.mapInPandas(run, "article_id string, chunk_index int, text string, char_start int, char_end int, line_start int, line_end int")
     return found.withColumn("chunk_id", stable_id("chunk", F.col("article_id"), F.col("chunk_index"), F.col("char_start"), F.col("char_end"))).select(*[c.split()[0] for c in CHUNKS.split(", ")])
 
 
-# -- chunkers without offsets, as columns ---------------------------------------------------------------
+# chunkers without offsets, as columns
 
 
 def _windows(items: Column, count: int, overlap: int) -> Column:
@@ -128,7 +130,7 @@ T_NESTED = "array<array<string>>"
 def sentences(text: Column) -> Column:
     """White space collapsed, split behind sentence ends."""
     flat = F.trim(F.regexp_replace(text, r"\s+", " "))
-    return F.filter(F.split(flat, r"(?<=[.!?])\s+"), lambda s: s != "")
+    return F.filter(F.split(flat, r"(?<=[!.?])\s+"), lambda s: s != "")
 
 
 def sentence_windows(text: Column, count: int = 5, overlap: int = 1) -> Column:

@@ -7,7 +7,7 @@ import importlib
 import math
 import re
 from collections.abc import Callable, Iterator
-from dataclasses import dataclass
+from dataclasses import astuple, dataclass
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -28,7 +28,7 @@ class Entity:
     score: float | None = None
 
 
-def check(text: str, entities: list[Entity]) -> None:
+def check(text: str, entities: list) -> None:
     """Spans lie within the text and say what is there; labels aren't empty and scores are finite."""
     for e in entities:
         if not 0 <= e.char_start < e.char_end <= len(text) or text[e.char_start : e.char_end] != e.text:
@@ -50,7 +50,8 @@ def load_adapter(name: str) -> Callable[[list[str]], list[list[Entity]]]:
     module, mark, factory = name.partition(":")
     if not mark:
         raise ValueError("name an adapter as module:factory")
-    return getattr(importlib.import_module(module), factory)()
+    made = vars(importlib.import_module(module))[factory]
+    return made()
 
 
 def extract(articles: DataFrame, adapter: str | Callable = "capitalised", batch: int = 32) -> DataFrame:
@@ -65,7 +66,7 @@ def extract(articles: DataFrame, adapter: str | Callable = "capitalised", batch:
                 rows = []
                 for article, text, found in zip(part["article_id"], texts, predict(texts)):
                     check(text, found)
-                    rows += [(article, i, e.text, e.label, e.char_start, e.char_end, e.score) for i, e in enumerate(found)]
+                    rows += [(article, i, *astuple(e)) for i, e in enumerate(found)]
                 if rows:
                     yield pd.DataFrame(rows, columns=[c.split()[0] for c in MENTIONS.split(", ")])
 

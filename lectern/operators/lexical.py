@@ -26,7 +26,7 @@ class QueryError(ValueError):
     """A malformed query; raised before anything is read."""
 
 
-# -- the query language ------------------------------------------------------------------------------
+# the query language
 
 
 @dataclass(frozen=True)
@@ -179,7 +179,7 @@ def parse(text: str) -> Query:
     return _Parser(text).parse()
 
 
-# -- the index ---------------------------------------------------------------------------------------
+# the index
 
 
 @dataclass
@@ -231,7 +231,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", title_col: str | None = None,
     return Scan(tokenized(docs, id_col, title_col, text_col, tokens))
 
 
-# -- matching ----------------------------------------------------------------------------------------
+# matching
 
 
 def _wanted(query: Query, term: Column) -> Column:

@@ -9,7 +9,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def in_scope(newspaper: str | list[str] | None = None, date_from: str | None = None, date_to: str | None = None, source: str = "source", title: str = "title", date: str = "date") -> Column:
+Text = str | None
+
+
+def in_scope(newspaper: Text | list[str] = None, date_from: Text = None, date_to: Text = None, source: str = "source", title: str = "title", date: str = "date") -> Column:
     """Exact source or title, and inclusive bounds on dates as strings; a null date fails only a bound."""
     out = F.lit(True)
     if newspaper is not None:

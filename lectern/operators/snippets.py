@@ -9,12 +9,13 @@ from pyspark.sql import functions as F
 
 from lectern.functions.text import arrow_udf
 
-_OPERATORS = {"and", "or", "not", "near"}
+_OPERATORS = frozenset("and or not near".split())
+_WORD = re.compile(r"[^\W_]+")
 _POSITION = re.compile(r"\s*([1-9]\d*)(?:\.([1-9]\d*))?\s*")
 
 
 def query_words(query: str) -> list[str]:
-    return [w for w in re.findall(r"[^\W_]+", query) if w.casefold() not in _OPERATORS]
+    return [w for w in _WORD.findall(query) if w.casefold() not in _OPERATORS]
 
 
 def focus(title: str | None, content: str | None, char_start: int, char_end: int, query: str) -> int:
@@ -56,7 +57,7 @@ def trim_span(source: str, first: int, last: int, at: int, limit: int) -> tuple[
     return shown, line(left), line(max(left, right - 1))
 
 
-def wrap(line: str, width: int) -> list[str]:
+def wrap(line: str, width: int = 240) -> list[str]:
     """Sections of at most ``width`` characters that end behind their last blank, if they hold one."""
     rest, out = line.rstrip("\r\n"), []
     while len(rest) > width:
@@ -72,7 +73,7 @@ def position(source: str, at: int, width: int) -> str:
     at = max(0, min(at, len(source) - 1))
     begin = source.rfind("\n", 0, at) + 1
     inside, section = at - begin, 0
-    for part in wrap(source[begin:].split("\n", 1)[0], width):
+    for part in wrap(source[begin:].partition("\n")[0], width):
         section += 1
         if inside < len(part):
             break

@@ -41,7 +41,7 @@ def texts(spark: SparkSession, sf_dir: str, name: str = "documents") -> DataFram
     return spread(table(spark, sf_dir, name))
 
 
-# -- ranked search -------------------------------------------------------------------------------------
+# ranked search
 
 _TOK = "documents_tokens AS (SELECT doc_id, source, lang, regexp_extract_all(lower(coalesce(text, '')), '[\\p{L}\\p{N}]+') AS w FROM documents), stats AS (SELECT count(*) AS n, avg(len(w)) AS a FROM documents_tokens)"
 
@@ -133,7 +133,7 @@ def snippet_trimmed(spark, d):
     return docs.select("doc_id", at.alias("focus"), snippets.position_col(F.col("text"), at, F.lit(240)).alias("position"), snippets.trim_span_col(F.col("text"), F.lit(1), F.lit(1_000_000), at, F.lit(320)).alias("s")).select("doc_id", "focus", "position", "s.*")
 
 
-# -- articles: duplicates, validity, coverage ------------------------------------------------------------
+# articles: duplicates, validity, coverage
 
 
 @query("SELECT doc_id, first_id FROM (SELECT doc_id, min(doc_id) OVER (PARTITION BY text) AS first_id FROM documents WHERE text <> '') WHERE doc_id > first_id")
@@ -282,7 +282,7 @@ def analysable(spark, d):
     return table(spark, d, "documents").where((F.trim("text") != "") & ~F.col("lang").eqNullSafe(F.lit("en"))).select("doc_id")
 
 
-# -- chunks ----------------------------------------------------------------------------------------------
+# chunks
 
 
 @query("WITH w AS (SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[ \\t\\n\\x0b\\f\\r]+'), lambda x: x <> '') AS a FROM documents), c AS (SELECT doc_id, a, unnest(generate_series(0, greatest(0, ceil((len(a) - 100) / 80.0))::BIGINT)) AS k FROM w WHERE len(a) > 0) SELECT doc_id, k::INT AS chunk_index, array_to_string(a[k * 80 + 1 : k * 80 + 100], ' ') AS chunk FROM c")
@@ -352,10 +352,10 @@ def chunk_id_paths(spark, d):
     return docs.select("doc_id", chunk_path(given).alias("path"))
 
 
-# -- markup ----------------------------------------------------------------------------------------------
+# markup
 
 _PLAIN_SQL = "html"
-for _pattern, _to in ((r"(?s)```.*?```", ""), (r"`[^`]*`", ""), (r"!\[[^\]]*\]\([^)]*\)", ""), (r"\[([^\]]+)\]\([^)]*\)", r"\1"), (r"(?m)^#+\s*", ""), (r"<[^>]+>", ""), (r"\r\n?", "' || chr(10) || '"), (r"[ \t]+", " "), (r"\n{3,}", "' || chr(10) || chr(10) || '"), (r"^\s+|\s+$", "")):
+for _pattern, _to in ((r"(?s)```.*?```", ""), (r"`[^`]*`", ""), (r"!\[[^\]]*\][(][^)]*[)]", ""), (r"\[([^\]]+)\][(][^)]*[)]", r"\1"), (r"(?m)^#+\s*", ""), (r"<[^>]+>", ""), (r"\r\n?", "' || chr(10) || '"), (r"[ \t]+", " "), (r"\n{3,}", "' || chr(10) || chr(10) || '"), (r"^\s+|\s+$", "")):
     _PLAIN_SQL = f"regexp_replace({_PLAIN_SQL}, '{_pattern}', '{_to}', 'g')"
 
 
@@ -378,7 +378,7 @@ def table_exclusion(spark, d):
     return pages.select("page_id", without_tables_col(wrapped).alias("text"))
 
 
-# -- vectors ---------------------------------------------------------------------------------------------
+# vectors
 
 _COSINE = "q AS (SELECT embedding::DOUBLE[] AS e FROM embeddings WHERE vec_id = 0), s AS (SELECT vec_id, label, list_dot_product(embedding::DOUBLE[], e) / sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[])) / sqrt(list_dot_product(e, e)) AS x FROM embeddings, q)"
 
@@ -443,7 +443,7 @@ def vector_projection(spark, d):
     return vectors.project(table(spark, d, "embeddings"), "vec_id", "embedding")
 
 
-# -- names -----------------------------------------------------------------------------------------------
+# names
 
 _MENTIONS = "m AS (SELECT p_partkey AS article_id, 0 AS entity_index, p_name AS text FROM part UNION ALL SELECT p_partkey, 1, p_brand || ' ' || p_type FROM part), n AS (SELECT lower(text) AS normalized_name, article_id, min(entity_index)::INT AS char_start FROM m GROUP BY 1, 2)"
 
@@ -511,7 +511,7 @@ def representatives(spark, d):
     return table(spark, d, "part").groupBy("p_brand").agg(F.max_by("p_name", F.struct("p_retailprice", "p_partkey")).alias("representative"))
 
 
-# -- statistics and samples --------------------------------------------------------------------------------
+# statistics and samples
 
 
 @query("SELECT l_returnflag, l_linestatus, count(*) AS runs, round(avg(l_extendedprice), 4) AS mean, round(stddev_samp(l_extendedprice), 4) AS deviation, max(l_quantity) AS most FROM lineitem GROUP BY 1, 2")
@@ -581,7 +581,7 @@ def _contained(docs: DataFrame, items: DataFrame, width: int = 24) -> DataFrame:
     return hits.select("item_id", "doc_id").distinct().groupBy("item_id").agg(F.count(F.lit(1)).alias("documents"), F.min("doc_id").alias("first_id"))
 
 
-# -- event windows: the streaming queries' batch results -----------------------------------------------------
+# event windows: the streaming queries' batch results
 
 
 @query("SELECT time_bucket(INTERVAL 1 HOUR, ts) AS begins, event_type, count(*) AS events, round(sum(value), 4) AS total FROM events GROUP BY 1, 2")

@@ -66,8 +66,8 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
     verbs = parser.add_subparsers(dest="verb", required=True)
     one = verbs.add_parser("ingest")
     one.add_argument("folder")
-    one.add_argument("--token-count", type=int, default=256)
-    one.add_argument("--token-overlap", type=int, default=64)
+    for name, default in (("count", 256), ("overlap", 64)):
+        one.add_argument(f"--token-{name}", default=default, type=int)
     one = verbs.add_parser("index")
     one.add_argument("kind", choices=("surface", "lemma", "semantic", "entities"))
     one.add_argument("--model")

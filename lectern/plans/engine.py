@@ -15,8 +15,9 @@ from pyspark.sql import functions as F
 from lectern.operators import entities, lexical, relational, snippets, vectors
 from lectern.plans import models
 
-MODES = ("bm25", "bm25-lemma", "bm25-combined", "regex", "semantic")
+MODES = ("semantic", "regex", "bm25", "bm25-combined", "bm25-lemma")
 MOST_HITS = 1000
+Text, Number = str | None, int | None
 
 
 @dataclass(frozen=True)
@@ -48,7 +49,7 @@ class Engine:
     names: DataFrame | None = None
     members: DataFrame | None = None
 
-    def search(self, mode: str, query: str, *, limit: int = 10, offset: int = 0, newspaper: str | None = None, newspapers: list[str] | None = None, date_from: str | None = None, date_to: str | None = None, lemma_weight: float = 1.0, ignore_case: bool = False, context_lines: int = 0, max_snippet_chars: int = 320, source_wrap_chars: int = 240, candidates: int | None = None, profile: dict | None = None) -> list[Hit]:
+    def search(self, mode: str, query: str, *, offset: int = 0, limit: int = 10, newspaper: Text = None, newspapers: list | None = None, date_from: Text = None, date_to: Text = None, lemma_weight: float = 1.0, ignore_case: bool = False, context_lines: int = 0, max_snippet_chars: int = 320, source_wrap_chars: int = 240, candidates: int | None = None, profile: dict | None = None) -> list[Hit]:
         began = time.monotonic()
         self._check(mode, query, limit, offset, newspaper, newspapers, date_from, date_to)
         scope = relational.in_scope(newspapers if newspapers is not None else newspaper, date_from, date_to, title="issue_title")
@@ -101,7 +102,7 @@ class Engine:
             return []
         rows = self.articles.where(F.col("article_id").isin(list(scores))).alias("a").join(self.issues.alias("i"), "newspaper_id")
         out = []
-        for r in rows.select("article_id", "newspaper_id", F.col("a.title").alias("title"), F.col("a.content").alias("text"), "char_start", "char_end", "line_start", "line_end", F.col("i.source").alias("source"), F.col("i.title").alias("issue_title"), "date", "urn", F.col("i.content").alias("whole")).collect():
+        for r in rows.select("article_id", "newspaper_id", F.col("a.title").alias("title"), F.col("a.content").alias("text"), *"char_start char_end line_start line_end".split(), F.col("i.source").alias("source"), F.col("i.title").alias("issue_title"), "date", "urn", F.col("i.content").alias("whole")).collect():
             at = snippets.focus(r["title"], r["text"], r["char_start"], r["char_end"], query)
             text, first, last = snippets.trim_span(r["whole"], r["line_start"] - context, r["line_end"] + context, at, most)
             urn = r["urn"]
@@ -109,7 +110,7 @@ class Engine:
             out.append(Hit(r["article_id"], r["source"] or r["issue_title"], r["date"], r["title"], urn, scores[r["article_id"]], text, first, last, snippets.position(r["whole"], at, width), name))
         return out
 
-    def read_source(self, document_id: str, *, line_start: int | None = None, line_end: int | None = None, position: str | None = None, before: int = 0, after: int = 0, wrap_chars: int = 240, max_bytes: int = 16_384) -> dict:
+    def read_source(self, document_id: str, *, position: Text = None, line_start: Number = None, line_end: Number = None, before: int = 0, after: int = 0, wrap_chars: int = 240, max_bytes: int = 16_384) -> dict:
         """An excerpt by lines or around a wrapped position."""
         if (position is None) == (line_start is None):
             raise ValueError("give lines or a position")
@@ -118,12 +119,12 @@ class Engine:
             raise ValueError("no document has that id" if not rows else "the id isn't of one document")
         row = rows[0]
         excerpt = snippets.read_wrapped(row["content"], position, before, after, wrap_chars, max_bytes) if position is not None else snippets.read_lines(row["content"], line_start, line_end or line_start, max_bytes)
-        return {"newspaper": row["source"] or row["title"], "date": row["date"], "urn": row["urn"], "document_id": document_id} | excerpt
+        return dict(document_id=document_id, urn=row["urn"], date=row["date"], newspaper=row["source"] or row["title"]) | excerpt
 
     def search_entities(self, query: str) -> list[dict]:
         return [r.asDict() for r in entities.search(self.names, query).collect()]
 
-    def search_entity_articles(self, name: str, *, limit: int = 20, after: str | None = None, newspaper: str | None = None, date_from: str | None = None, date_to: str | None = None) -> dict:
+    def search_entity_articles(self, name: str, *, limit: int = 20, after: Text = None, newspaper: Text = None, date_from: Text = None, date_to: Text = None) -> dict:
         """A page of the name's live articles, and where the next one begins."""
         issues = self.issues.select("newspaper_id", "source", F.col("title").alias("issue_title"), "date")
         rows = entities.articles_of(self.members, self.articles.join(issues, "newspaper_id"), name, after, limit + 1, relational.in_scope(newspaper, date_from, date_to, title="issue_title")).select("article_id", "title", "source", "date", "mention_start").collect()

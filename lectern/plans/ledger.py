@@ -9,11 +9,11 @@ from __future__ import annotations
 
 import hashlib
 import json
-import os
 import re
 import uuid
 from collections.abc import Callable
 from contextlib import contextmanager
+from os import fsync
 from pathlib import Path
 
 from pyspark.errors import AnalysisException
@@ -56,7 +56,7 @@ class Archive:
         new.write.mode("append").parquet(f"{self.root}/{table}")
         return self.read(table, schema).count() - before
 
-    # -- planning -----------------------------------------------------------------------------------
+    # planning
 
     def current_issues(self) -> DataFrame:
         """The latest version of each issue's row."""
@@ -85,7 +85,7 @@ class Archive:
         )
         return joined.select("newspaper_id", "relative_path", action.alias("action"), "error")
 
-    # -- stages ---------------------------------------------------------------------------------------
+    # stages
 
     def run(self, batch: DataFrame, batch_id: str, stages: tuple[str, ...] = STAGES, offsets: Callable = chunking.whitespace_offsets, count: int = 256, overlap: int = 64, skip_tables: bool = False) -> dict[str, int]:
         """Stores a verified batch. Nothing is written if the plan holds a conflict or an invalid file."""
@@ -147,7 +147,7 @@ class Archive:
             out = one if out is None else out.unionByName(one)
         return out
 
-    # -- configuration, epoch, lock, pointer ------------------------------------------------------------
+    # configuration, epoch, lock, pointer
 
     def _same_config(self, name: str, config: dict) -> None:
         """A stage's configuration can't change once it has written anything."""
@@ -214,7 +214,7 @@ def replace(path: Path, value: object) -> None:
     with held.open("w") as f:
         json.dump(value, f, ensure_ascii=False, sort_keys=True)
         f.flush()
-        os.fsync(f.fileno())
+        fsync(f.fileno())
     held.replace(path)
 
 
@@ -224,7 +224,7 @@ def write_once(path: Path, value: object) -> None:
     with path.open("x") as f:
         json.dump(value, f, ensure_ascii=False, sort_keys=True, indent=1)
         f.flush()
-        os.fsync(f.fileno())
+        fsync(f.fileno())
 
 
 def generation(*parts: object) -> str:

@@ -35,7 +35,8 @@ def load(name: str | Batch) -> Batch:
     module, mark, factory = name.partition(":")
     if not mark:
         raise ValueError(f"there is no model {name!r}; name one as module:factory")
-    return getattr(importlib.import_module(module), factory)()
+    made = vars(importlib.import_module(module))[factory]
+    return made()
 
 
 @register("surface")

@@ -32,12 +32,14 @@ def http_server(engine: Engine, host: str = "127.0.0.1", port: int = 8000) -> Th
 
     class Handler(BaseHTTPRequestHandler):
         def _send(self, status: int, value: object) -> None:
-            body = json.dumps(value, ensure_ascii=False, default=str).encode()
+            body = json.dumps(value, ensure_ascii=False, default=str)
+            body = body.encode()
             self.send_response(status)
-            self.send_header("Content-Type", "application/json")
-            self.send_header("Content-Length", str(len(body)))
+            for header in {"Content-Length": len(body), "Content-Type": "application/json"}.items():
+                self.send_header(header[0], str(header[1]))
             self.end_headers()
             self.wfile.write(body)
+            self.wfile.flush()
 
         def do_GET(self) -> None:
             self._send(200, {"status": "ok"}) if self.path == "/health" else self._send(404, {"error": "not found"})

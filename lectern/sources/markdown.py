@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import json
 import re
-from dataclasses import dataclass
+from dataclasses import dataclass, fields
 from pathlib import PurePosixPath
 
 import pandas as pd
@@ -18,7 +18,7 @@ SIDECAR = "_metadata.json"
 MANIFEST_FORMAT = "lectern.batch.v1"
 
 
-def _strict(pairs: list[tuple[str, object]]) -> dict:
+def _strict(pairs: list) -> dict:
     found = dict(pairs)
     if len(found) != len(pairs):
         raise ValueError("a JSON object repeats a key")
@@ -73,8 +73,8 @@ class BatchIssue:
     source_identifier: str | None = None
 
 
-_REQUIRED = {"relative_path", "markdown_path", "metadata_path", "markdown_sha256", "metadata_sha256"}
-_DIGEST = re.compile(r"[0-9a-f]{64}")
+_REQUIRED = {f.name for f in fields(BatchIssue)} - {"source_identifier"}
+_DIGEST = re.compile("[a-f0-9]{64}")
 
 
 def portable(path: str) -> bool:

@@ -13,6 +13,7 @@ from lectern.plans.ledger import Archive, StaleInput, write_once
 from lectern.plans.serve import run_lines
 from lectern.sources import markdown
 
+SIDECAR = {"Record": {"source": "Daily", "identifier": "URN:NBN:SI:doc-A", "date": "1934 10 10"}}
 ISSUE = "# First article\nAlpha beta gamma delta.\nMarija Kos met Ana Novak.\n\n# Other article\nNeedle appears here.\n"
 
 
@@ -22,7 +23,7 @@ def archive(spark, tmp_path_factory):
     folder = root / "in" / "Daily_News"
     folder.mkdir(parents=True)
     (folder / "a b.md").write_text(ISSUE)
-    (folder / "a b_metadata.json").write_text(json.dumps({"Record": {"date": "1934 10 10", "source": "Daily", "identifier": "URN:NBN:SI:doc-A"}}))
+    (folder / "a b_metadata.json").write_text(json.dumps(SIDECAR))
     (folder / "c.md").write_text("Only text with a needle.\r\nHere is Ana Novak.")
     (folder / "x_metadata.md").write_text("# not an issue")
     found = Archive(spark, str(root / "store"))

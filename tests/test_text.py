@@ -19,15 +19,15 @@ def test_search_tokens(given, tokens):
     assert text.search_tokens(given) == tokens
 
 
-TABLE = "Before one.\n<TABLE class='ocr'>A<table>B</table></TABLE>\nAfter two."
+TABLE = "Lead text.\n<TABLE class='ocr'>A<table>B</table></TABLE>\nLast text."
 
 
 def test_tables():
     spans = text.text_outside_tables(TABLE)
-    assert [TABLE[a:b] for a, b in spans] == ["Before one.\n", "\nAfter two."]
-    assert text.without_tables(TABLE) == "Before one.\n\n\nAfter two."
+    assert [TABLE[a:b] for a, b in spans] == ["Lead text.\n", "\nLast text."]
+    assert text.without_tables(TABLE) == "Lead text.\n\n\nLast text."
     masked = text.masked_tables(TABLE)
-    assert len(masked) == len(TABLE) and masked.count("\n") == 2 and "A" not in masked[12:40]
+    assert len(masked) == len(TABLE) and masked.count("\n") == 2 and "A" not in masked[11:40]
     assert text.without_tables("a <table> b") == "a <table> b"
     assert text.text_outside_tables("x</table>y<table/>z") == [(0, 19)]
     assert text.without_tables("") == ""
@@ -90,7 +90,7 @@ def test_snippets():
         snippets.read_wrapped(source, "9.1", 1, 1, 10, 1000)
 
 
-RECORD = {"Record": {"identifier": ["URN:bare", {"@identifier_type": "URN", "#text": "URN:NBN:SI:doc-1"}, "gf-urn:X"], "date": "1934 10 10", "title": ["T", "U"], "source": " S ", "format": [{"@format_type": "Issue", "#text": "7"}, "print"]}}
+RECORD = {"Record": {"identifier": ["URN:bare", {"#text": "URN:NBN:SI:doc-1", "@identifier_type": "URN"}, "gf-urn:X"], "date": "1934 10 10", "title": ["T", "U"], "source": " S ", "format": [{"@format_type": "Issue", "#text": "7"}, "print"]}}
 
 
 def test_metadata():
