@@ -83,7 +83,7 @@ def text_slices(batches: Iterator[pa.RecordBatch], column: str = "text", limit:
             first = last
 
 
-# -- polynomial hashes modulo 2^64, which give the hash of any substring from two prefix sums --------
+# polynomial hashes modulo 2^64, which give the hash of any substring from two prefix sums
 
 BASE = 0x9E3779B97F4A7C15 | 1
 INVERSE = pow(BASE, -1, 1 << 64)

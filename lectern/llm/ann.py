@@ -51,7 +51,7 @@ class Forest:
             out[:, t] = node - (2**self.depth - 1)
         return out
 
-    def visits(self, q: np.ndarray, mass: np.ndarray, share: float) -> list[tuple[int, int]]:
+    def visits(self, q: np.ndarray, mass: np.ndarray, share: float) -> list[tuple]:
         """(tree, leaf) in the order in which one queue over all trees yields them."""
         inner = 2**self.depth - 1
         margin = np.einsum("tnd,d->tn", self.planes, q) - self.splits

@@ -84,7 +84,7 @@ def anchors(data: np.ndarray, offsets: np.ndarray, length: int = LENGTH, gram: i
     return h[anchor], substring_hash(prefix, first, last + length), anchor, first, last
 
 
-# -- transforms and their merge -----------------------------------------------------------------------
+# transforms and their merge
 
 
 def _stable_order(keys: np.ndarray) -> np.ndarray:
@@ -184,7 +184,7 @@ def repeated_starts(strings: list[bytes], length: int = LENGTH, stride: int = ST
     return owner, found - runs.starts[owner]
 
 
-# -- blocks of texts ----------------------------------------------------------------------------------
+# blocks of texts
 
 _BLOCK = "block long, ids array<long>, sizes array<int>, blob binary"
 _ANCHOR = "h long, u long, block long, at long"

@@ -45,7 +45,7 @@ def ordered(rows):
     return sorted(rows, key=lambda r: tuple((x is not None, str(x)) for x in r))
 
 
-# -- 1: repeats -----------------------------------------------------------------------------------------
+# 1: repeats
 
 
 @pytest.mark.parametrize("hot,shard,batch", [(20_000, 1 << 18, 1 << 20), (1, 1 << 18, 1 << 20), (20_000, 300, 900)])
@@ -89,7 +89,7 @@ def test_transforms_merge_to_the_order_of_all_suffixes():
     assert all(len(x) == 1 for x in by.values()) and len(by) == len({start(places[i]) for i in full})
 
 
-# -- 3: languages ---------------------------------------------------------------------------------------
+# 3: languages
 
 
 def test_languages(spark):
@@ -114,7 +114,7 @@ def test_languages_of_odd_rows(spark, docs):
     assert langid.keep_identified(docs).columns == docs.columns
 
 
-# -- 4: WARC --------------------------------------------------------------------------------------------
+# 4: WARC
 
 PAGES = [(3, "http://a/é", "<p>é</p>"), (1, None, "<p>é</p>"), (2, "u\r\nv", ""), (5, "x", None), (7, "y", "z" * 200_000), (None, "n", "<p>é</p>"), (8, "r", "same"), (8, "r", "same"), (9, "s", "same")]
 
@@ -147,7 +147,7 @@ def test_warc_framing_is_verified():
     assert len(list(warc.records(io.BytesIO(good * 3)))) == 3
 
 
-# -- 5: secrets -----------------------------------------------------------------------------------------
+# 5: secrets
 
 SECRET = "é password = 'abcdefghijklmnop' token:short AKIA" + "Z" * 14 + " deadbeefdeadbeef0 API_KEY=\"0123456789abcdef\" x"
 
@@ -171,7 +171,7 @@ def test_secrets_and_the_ledger(spark, tmp_path, docs):
     assert secrets.scan_documents(docs).count() == len(ROWS) and secrets.scan_documents(docs.limit(0)).count() == 0
 
 
-# -- 6: exact copies --------------------------------------------------------------------------------------
+# 6: exact copies
 
 
 def test_exact_copies(spark, docs):
@@ -193,7 +193,7 @@ def test_one_text_over_all_partitions(spark):
     assert got.where("group_size = 2000 and keep_id = 1").count() == 2000 and got.where("group_size = 1 and kept").count() == 1000
 
 
-# -- 7: mixing ------------------------------------------------------------------------------------------
+# 7: mixing
 
 
 def test_mixing(spark, docs):
@@ -212,7 +212,7 @@ def test_mixing(spark, docs):
     assert mixing.mix(docs).count() >= 0 and mixing.mix(docs.limit(0)).count() == 0
 
 
-# -- 8: language model --------------------------------------------------------------------------------------
+# 8: language model
 
 
 def test_scores(docs):
@@ -268,7 +268,7 @@ def test_no_texts_to_learn_from(spark):
     assert lm.score(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
-# -- 9: neighbours --------------------------------------------------------------------------------------
+# 9: neighbours
 
 
 def exact_neighbours(ids, v, k=20, every=20):
@@ -311,7 +311,7 @@ def test_recall_and_blocks(spark):
         assert np.mean([len(got[q] & {i for i, _ in x}) / 20 for q, x in want.items()]) >= 0.9
 
 
-# -- 10: packing ----------------------------------------------------------------------------------------
+# 10: packing
 
 
 def test_packing(docs, spark):
@@ -363,7 +363,7 @@ def test_assignment_covers_all_and_balances():
     assert packing.assign([]) == []
 
 
-# -- the pipeline -----------------------------------------------------------------------------------------
+# the pipeline
 
 
 def test_pipeline_keeps_what_it_should(spark, tmp_path):
