@@ -1,15 +1,18 @@
 """Language-model scores by a probabilistic suffix tree over words.
 
-Three passes over the texts, none of which moves them:
-
-1. Candidates: words, pairs and triples that reach a relative frequency in some stretch of a task's
-   tokens. Any n-gram of twice that frequency in the corpus is among them, so from some ten million
-   tokens on the tree doesn't depend on how the input is split (in a smaller corpus, pairs that a stretch
-   holds once are left out); there are at most 1 / frequency of each order, at every size of the corpus.
-2. Exact counts of the candidates. The driver builds the tree from these: a context stays if its next
-   words diverge from those of its suffix.
-3. Scores. What the bounded tree knows is scored in place; each occurrence of a rarer word is sent once to
-   the task that owns the word, which counts it and sends back its share of each document's score.
+Nothing is cut by relative frequency: every pair and triple that the training texts hold twice takes part, so
+the tree grows with the corpus and doesn't depend on how the input is split. It lies in tables, none of which
+the driver holds.
+
+1. Counts: tasks send the n-grams of their stretches as arrays, by context, to the tasks that add them up.
+2. Tree: a context stays if its next words diverge from those of its suffix, whose probabilities are joined to
+   it: word counts to pairs, pairs to triples.
+3. Weights. If a context backs off, the probability is a product, so the log of every token's probability is a
+   sum over its word, its pair and its triple of one weight each: the share of the context that an n-gram is
+   (as a state) and what its listing adds over backing off (as a next word).
+4. Scores. Weights of frequent n-grams are added in place; each occurrence of a rarer word or of a rarer n-gram
+   with a weight is sent once to the task that owns it and sends back its share of each document's score. A
+   bitmap of the weights' keys, of bounded size, only spares occurrences that have no weight the way.
 """
 
 from __future__ import annotations
@@ -24,25 +27,27 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lectern.llm._common import LOWER, materialize, mix, prefix_hash, substring_hash, text_slices, words
+from lectern.llm._common import LOWER, drop_table, materialize, mix, prefix_hash, substring_hash, text_slices, words
 
 END = np.uint64(0xE4D)
-_C1, _C2, _C3 = np.uint64(0x9FB21C651E98DF25), np.uint64(0xD6E8FEB86659FD93), np.uint64(0xA0761D6478BD642F)
+_C1, _C2 = np.uint64(0x9FB21C651E98DF25), np.uint64(0xD6E8FEB86659FD93)
 
 
 @dataclass(frozen=True)
 class TreeParams:
-    #: Least relative frequency of an n-gram in a stretch for it to be a candidate.
+    #: Words of twice this relative frequency, and n-grams of this one, are scored where they are read.
     frequency: float = 1e-6
     #: Tokens of a stretch.
     stretch: int = 4_000_000
-    #: A context of relative frequency below this isn't tested.
-    context_frequency: float = 2e-5
+    #: A pair or triple that comes less often can't be told from chance and isn't listed.
+    least_count: int = 2
     #: Least divergence from the suffix's distribution, in nats, and its significance in standard deviations.
     divergence: float = 0.02
     deviations: float = 4.0
     #: Absolute discount of the next words' counts.
     discount: float = 0.75
+    #: Most bits, as a power of two, of the bitmap that every task holds.
+    bitmap: int = 28
 
 
 def held_out(doc_id: int | None, modulus: int = 7, remainder: int = 2) -> bool:
@@ -54,7 +59,8 @@ def pair_key(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def triple_key(a: np.ndarray, b: np.ndarray, c: np.ndarray) -> np.ndarray:
-    return mix(a * _C1 + b * _C2 + c * _C3 + np.uint64(1))
+    """That of a triple's two pairs."""
+    return pair_key(pair_key(a, b), pair_key(b, c))
 
 
 @dataclass
@@ -89,10 +95,6 @@ def tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[Tokens]:
         yield Tokens(rows.column(0).to_pylist(), data, offsets, token, owner, before, prefix)
 
 
-_CANDIDATE = "grams int, key long, context long, suffix long, next long, n long"
-_CANDIDATE_ARROW = pa.schema([("grams", pa.int32()), ("key", pa.int64()), ("context", pa.int64()), ("suffix", pa.int64()), ("next", pa.int64()), ("n", pa.int64())])
-
-
 def _grams(w: np.ndarray, before: np.ndarray, train: np.ndarray, order: int) -> tuple[np.ndarray, np.ndarray]:
     """(places, keys) of the training tokens that end an n-gram."""
     at = np.flatnonzero(train & (before >= order - 1))
@@ -101,80 +103,150 @@ def _grams(w: np.ndarray, before: np.ndarray, train: np.ndarray, order: int) ->
     return at, pair_key(w[at - 1], w[at]) if order == 2 else triple_key(w[at - 2], w[at - 1], w[at])
 
 
-def _often(keys: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
-    """(key, count) of the keys with at least ``least`` places."""
-    keys = np.sort(keys)
-    more = max(0, math.ceil(least) - 1)
-    at = np.flatnonzero(keys[more:] == keys[: len(keys) - more])  # as many equal ones follow
-    first = at[(at == 0) | (keys[at - 1] != keys[at])]
-    return keys[first], np.searchsorted(keys, keys[first], "right") - first
-
-
-def _example(keys: np.ndarray, wanted: np.ndarray) -> np.ndarray:
-    """An index of each wanted key, all of which are there. A table of low bits sorts out most others."""
-    low = np.uint64((1 << 22) - 1)
-    table = np.zeros(1 << 22, bool)
-    table[wanted & low] = True
-    at = np.flatnonzero(table[keys & low])
-    place = np.searchsorted(wanted, keys[at])
-    place[place == len(wanted)] = 0
-    hit = wanted[place] == keys[at]
-    out = np.zeros(len(wanted), np.int64)
-    out[place[hit]] = at[hit]
-    return out
-
-
-def _candidates(p: TreeParams):
-    def flush(parts: list):
-        w, before, train = (np.concatenate(x) for x in zip(*parts))
-        parts.clear()
-        n = int(train.sum())
-        for order in (1, 2, 3):
-            at, keys = _grams(w, before, train, order)
-            # A pair or triple seen once in a stretch can't be told from chance, however short the stretch.
-            key, count = _often(keys, max(2 if order > 1 else 1, p.frequency * n))
-            if not len(key):
+_SENT_COUNTS = pa.schema([("part", pa.int32()), ("grams", pa.int32()), ("data", pa.binary())])
+_COUNTED = pa.schema([("grams", pa.int32()), ("context", pa.int64()), ("sub", pa.int64()), ("n", pa.int64()), ("own", pa.int64())])
+_WEIGHED = pa.schema([("key", pa.int64()), ("share", pa.float64()), ("log_p", pa.float64()), ("v", pa.float64()), ("n", pa.int64())])
+
+
+def _counts(p: TreeParams, orders: tuple[int, ...], parts: int, bits: np.ndarray | None = None):
+    """The n-grams of each stretch with their counts, by the part that owns the context (a word's own is itself).
+    An n-gram is its context and, as ``sub``, its last word (pairs) or its last two (triples). Of triples only
+    those both of whose pairs may be in the tree, by the bitmap of these, are sent."""
+
+    def flush(held: list):
+        w, before, train = (np.concatenate(x) for x in zip(*held))
+        held.clear()
+        for order in orders:
+            if order == 3:
+                at = np.flatnonzero(train & (before >= 2))
+                context, sub = pair_key(w[at - 2], w[at - 1]), pair_key(w[at - 1], w[at])
+                likely = _bit(context, bits) & _bit(sub, bits)
+                at, keys = at[likely], pair_key(context[likely], sub[likely])
+            else:
+                at, keys = _grams(w, before, train, order)
+            if not len(keys):
                 continue
-            i = at[_example(keys, key)]
+            by_key = np.argsort(keys)
+            keys = keys[by_key]
+            first = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
+            n = np.diff(np.append(first, len(keys))).astype(np.uint32)
+            i = at[by_key[first]]
             if order == 1:
-                context = suffix = following = np.zeros(len(key), np.uint64)
+                context, sub = w[i], w[i]
             elif order == 2:
-                context, suffix, following = w[i - 1], w[i], w[i]
+                context, sub = w[i - 1], w[i]
             else:
-                context, suffix, following = pair_key(w[i - 2], w[i - 1]), pair_key(w[i - 1], w[i]), w[i]
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(key), order, np.int32)), *(pa.array(c.view(np.int64)) for c in (key, context, suffix, following)), pa.array(count)], schema=_CANDIDATE_ARROW)
+                context, sub = pair_key(w[i - 2], w[i - 1]), pair_key(w[i - 1], w[i])
+            # Sorted contexts repeat, so they are packed well, and parts are ranges of them.
+            by_context = np.argsort(context)
+            context, sub, n = context[by_context], sub[by_context], n[by_context]
+            part = ((context >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int32)
+            edges = np.flatnonzero(np.append(True, part[1:] != part[:-1]))
+            for a, b in zip(edges.tolist(), [*edges[1:].tolist(), len(part)]):
+                data = context[a:b].tobytes() + sub[a:b].tobytes() + n[a:b].tobytes()
+                yield pa.RecordBatch.from_arrays([pa.array([part[a]], pa.int32()), pa.array([order], pa.int32()), pa.array([data], pa.binary())], schema=_SENT_COUNTS)
 
     def run(batches):
-        parts, n = [], 0
+        held, n = [], 0
         for t in tokens(batches):
             train = np.array([not held_out(i) for i in t.ids], bool)[t.doc]
-            parts.append((t.token, t.before, train))
+            held.append((t.token, t.before, train))
             n += int(train.sum())
             if n >= p.stretch:
-                yield from flush(parts)
-                parts, n = [], 0
-        if parts:
-            yield from flush(parts)
+                yield from flush(held)
+                n = 0
+        if held:
+            yield from flush(held)
 
     return run
 
 
-def _counter(known: np.ndarray):
-    """Exact counts of the sorted keys, and under order 0 all training tokens."""
+def _added(held: list) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(context, sub, n), sorted, each n-gram once."""
+    context, sub, n = (np.concatenate(x) for x in zip(*held))
+    at = np.lexsort((sub, context))
+    context, sub, n = context[at], sub[at], n[at].astype(np.int64)
+    first = np.flatnonzero(np.append(True, (context[1:] != context[:-1]) | (sub[1:] != sub[:-1])))
+    return context[first], sub[first], np.add.reduceat(n, first)
+
+
+def _adder(p: TreeParams, most: int = 1 << 21):
+    """Adds up what ``_counts`` sent: all words, and the pairs and triples that come often enough, with the
+    count of their contexts."""
 
     def run(batches):
-        total, n = np.zeros(len(known), np.int64), 0
-        for t in tokens(batches):
-            train = np.array([not held_out(i) for i in t.ids], bool)[t.doc]
-            n += int(train.sum())
-            for order in (1, 2, 3):
-                _, key = _grams(t.token, t.before, train, order)
-                if len(key) and len(known):
-                    at = np.searchsorted(known, key)
-                    at[at == len(known)] = 0
-                    total += np.bincount(at[known[at] == key], minlength=len(known))
-        seen = np.flatnonzero(total)
-        yield pa.RecordBatch.from_pydict({"key": pa.array(np.append(known[seen].view(np.int64), 0)), "n": pa.array(np.append(total[seen], n)), "all": pa.array(np.append(np.zeros(len(seen), bool), True))})
+        held, waiting = {1: [], 2: [], 3: []}, {1: 0, 2: 0, 3: 0}
+        for batch in batches:
+            for order, data in zip(batch.column("grams").to_pylist(), batch.column("data").to_pylist()):
+                m = len(data) // 20
+                held[order].append((np.frombuffer(data, np.uint64, m), np.frombuffer(data, np.uint64, m, 8 * m), np.frombuffer(data, np.uint32, m, 16 * m)))
+                waiting[order] += m
+                if waiting[order] > most:
+                    held[order], waiting[order] = [_added(held[order])], 0
+        for order, parts in held.items():
+            if not parts:
+                continue
+            context, sub, n = _added(parts)
+            parts.clear()
+            first = np.flatnonzero(np.append(True, context[1:] != context[:-1]))
+            own = np.repeat(np.add.reduceat(n, first), np.diff(np.append(first, len(context))))
+            keep = np.flatnonzero(n >= (1 if order == 1 else p.least_count))
+            for a in range(0, len(keep), 1 << 16):
+                k = keep[a : a + (1 << 16)]
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(k), order, np.int32)), *(pa.array(c[k].view(np.int64)) for c in (context, sub, n, own))], schema=_COUNTED)
+
+    return run
+
+
+def _stays(index: np.ndarray, n: np.ndarray, own: np.ndarray, lower: np.ndarray, p: TreeParams) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Whether each context stays and the suffix's weight in it, and each next word's own probability.
+    ``index`` is the context of each next word; ``lower`` is its probability after the suffix."""
+    size = np.bincount(index)
+    total_own = np.zeros(len(size))
+    total_own[index] = own
+    mass = np.maximum(n - p.discount, 0) / np.maximum(own, 1)
+    share = n / np.maximum(own, 1)
+    kl = np.bincount(index, share * np.log(np.maximum(share, 1e-300) / lower))
+    left = np.maximum(1 - np.bincount(index, share), 0)
+    left_lower = np.maximum(1 - np.bincount(index, lower), 1e-12)
+    kl = kl + np.where(left > 0, left * np.log(np.maximum(left, 1e-300) / left_lower), 0)
+    stays = (kl >= p.divergence) & (2 * total_own * kl > size + p.deviations * np.sqrt(2 * size))
+    return stays, 1 - np.bincount(index, mass), mass
+
+
+def _weigher(p: TreeParams, rows: int = 1 << 18):
+    """Rows (context, sub, n, own, lower, log_p), sorted by context, to weights. ``log_p`` is the log of the
+    next word's probability in the tree after the suffix. A row with a share is an n-gram, others are states."""
+
+    def weigh(context, sub, n, own, lower, log_p):
+        first = np.append(True, context[1:] != context[:-1])
+        index = np.cumsum(first) - 1
+        stays, back, mass = _stays(index, n, own, lower, p)
+        at = np.flatnonzero(first)[stays]
+        log_back = np.log10(back)
+        here = stays[index]
+        whole = np.where(here, np.log10(mass + back[index] * 10**log_p), log_p)
+        # What listing the word adds over backing off to the suffix.
+        v = np.where(here, whole - log_back[index] - log_p, 0.0)
+        none = np.full(len(at), np.nan)
+        yield pa.RecordBatch.from_arrays([pa.array(c) for c in (pair_key(context, sub).view(np.int64), n / own, whole, v, n)], schema=_WEIGHED)
+        yield pa.RecordBatch.from_arrays([pa.array(context[at].view(np.int64)), pa.array(none, from_pandas=True), pa.array(none, from_pandas=True), pa.array(log_back[stays]), pa.array(own[at])], schema=_WEIGHED)
+
+    def run(batches):
+        held, waiting = [], 0
+        for batch in batches:
+            columns = [batch.column(c).to_numpy() for c in ("context", "sub", "n", "own", "lower", "log_p")]
+            held.append([np.ascontiguousarray(c).view(np.uint64) if i < 2 else c for i, c in enumerate(columns)])
+            waiting += batch.num_rows
+            if waiting < rows:
+                continue
+            joined = [np.concatenate(c) for c in zip(*held)]
+            last = int(np.searchsorted(joined[0].view(np.int64), joined[0].view(np.int64)[-1]))  # the last context may go on
+            if last:
+                yield from weigh(*(c[:last] for c in joined))
+            held, waiting = [[c[last:] for c in joined]], 0
+        if held and sum(len(h[0]) for h in held):
+            yield from weigh(*(np.concatenate(c) for c in zip(*held)))
 
     return run
 
@@ -192,47 +264,26 @@ class Tree:
 
 
 def build_tree(found: dict[str, np.ndarray], count: np.ndarray, total: int, p: TreeParams) -> Tree:
-    """The tree over candidates with their exact counts. Word probabilities at its root: a listed word has
-    count / (total + 1), all others share the rest."""
+    """The tree in memory, over n-grams with their exact counts: the plain form of what ``fit`` keeps in tables.
+    A word's probability at its root is count / (total + 1); one that isn't listed has the rest."""
     order = found["grams"]
-    base = max(1.0, p.frequency * total * 2)
-    one = (order == 1) & (count >= base)
+    one = order == 1
     word, word_count = _sorted(found["key"][one], count[one])
-    listed = int(word_count.sum())
-    rest = (total - listed + 1) / (total + 1)
+    rest = (total - int(word_count.sum()) + 1) / (total + 1)
 
     states, nexts = [], []
+    above = (word, word_count)
     for k in (2, 3):
-        pick = (order == k) & (count >= base)
+        pick = (order == k) & (count >= p.least_count)
         keys, contexts, suffix, nxt, n = (x[pick] for x in (found["key"], found["context"], found["suffix"], found["next"], count))
-        known = (word, word_count) if k == 2 else _sorted(found["key"][(order == 2)], count[order == 2])
-        own = _lookup(known[0], known[1], contexts)
-        good = own >= max(base, p.context_frequency * total)
-        keys, contexts, suffix, nxt, n, own = (x[good] for x in (keys, contexts, suffix, nxt, n, own))
-        # The suffix's probability of the next word: one order down, or the root's where it isn't listed there.
-        root = _lookup(word, word_count, nxt) / (total + 1)
-        root = np.where(root > 0, root, 1 / (total + 1))
-        if k == 2:
-            lower = root
-        else:
-            shorter = _lookup(nexts_all[0], nexts_all[1], suffix)
-            lower = np.where(shorter > 0, shorter, root)
-        mass = np.maximum(n - p.discount, 0) / np.maximum(own, 1)
+        own = _lookup(*above, contexts)
+        # The suffix's probability of the next word: the root's, or that of one order down.
+        lower = _lookup(word, word_count, nxt) / (total + 1) if k == 2 else _lookup(*shares, suffix)
         state, index = np.unique(contexts, return_inverse=True)
-        size = np.bincount(index, minlength=len(state))
-        total_own = np.zeros(len(state))
-        total_own[index] = own
-        share = n / np.maximum(own, 1)
-        kl = np.bincount(index, share * np.log(np.maximum(share, 1e-300) / lower), minlength=len(state))
-        left = np.maximum(1 - np.bincount(index, share, minlength=len(state)), 0)
-        left_lower = np.maximum(1 - np.bincount(index, lower, minlength=len(state)), 1e-12)
-        kl = kl + np.where(left > 0, left * np.log(np.maximum(left, 1e-300) / left_lower), 0)
-        g = 2 * total_own * kl
-        stays = (kl >= p.divergence) & (g > size + p.deviations * np.sqrt(2 * size))
-        weight = 1 - np.bincount(index, mass, minlength=len(state))
+        stays, weight, mass = _stays(index, n, own, lower, p)
         states.append((state[stays], weight[stays]))
         nexts.append(_sorted(keys[stays[index]], mass[stays[index]]))
-        nexts_all = _sorted(keys, share)
+        above, shares = _sorted(keys, n), _sorted(keys, n / np.maximum(own, 1))
     return Tree(total, word, word_count, rest, states, nexts)
 
 
@@ -249,73 +300,152 @@ def _lookup(keys: np.ndarray, values: np.ndarray, wanted: np.ndarray, default: f
     return np.where(keys[at] == wanted, values[at], default)
 
 
-# kinds of rows that the third pass sends: occurrences of a rarer word, in a training text or not; then sums
-_TRAIN, _OTHER, _TOKENS, _KNOWN, _BASE, _SCORE, _RARE, _ROWS = range(8)
+@dataclass
+class Model:
+    """What every task holds, bounded by parameters: frequent words, frequent n-grams' weights and a bitmap of
+    the keys of all weights; and the table of the weights (key, v) of rarer ones."""
+
+    total: int
+    words: int
+    word: np.ndarray
+    word_count: np.ndarray
+    key: np.ndarray
+    weight: np.ndarray
+    bits: np.ndarray
+
+
+def _bit(keys: np.ndarray, bits: np.ndarray) -> np.ndarray:
+    at = keys >> np.uint64(64 - (len(bits) * 8).bit_length() + 1)
+    return (bits[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8)) & np.uint8(1) > 0
+
+
+_SEGMENTS = 6  # bits of a key that name its segment of the bitmap
+
+
+def _segments(power: int):
+    def run(batches):
+        found: dict[int, np.ndarray] = {}
+        for batch in batches:
+            keys = np.ascontiguousarray(batch.column("key").to_numpy()).view(np.uint64)
+            segment = (keys >> np.uint64(64 - _SEGMENTS)).astype(np.int64)
+            at = (keys >> np.uint64(64 - power)) & np.uint64((1 << (power - _SEGMENTS)) - 1)
+            for s in np.unique(segment).tolist():
+                found.setdefault(s, np.zeros(1 << (power - _SEGMENTS), bool))[at[segment == s]] = True
+        for s, bits in found.items():
+            yield pa.RecordBatch.from_pydict({"segment": pa.array([s], pa.int32()), "bits": pa.array([np.packbits(bits, bitorder="little").tobytes()], pa.binary())})
+
+    return run
+
+
+# kinds of rows that come together in the last step: occurrences of a rarer word, in a training text or not, and
+# of an n-gram; sums of a text; weights
+_TRAIN, _OTHER, _GRAM, _TOKENS, _KNOWN, _BASE, _SCORE, _ROWS, _WEIGHT = range(9)
 _SENT = "w long, doc_id long, h int, kind int, v double"
 _SENT_ARROW = pa.schema([("w", pa.int64()), ("doc_id", pa.int64()), ("h", pa.int32()), ("kind", pa.int32()), ("v", pa.float64())])
 
 
-def _scorer(tree: Tree):
+def _scorer(model: Model):
     def rows(w, ids, h, kind, v):
         return pa.RecordBatch.from_arrays([pa.array(w.view(np.int64)), ids, pa.array(h), pa.array(kind), pa.array(v)], schema=_SENT_ARROW)
 
+    def once(keys, docs):
+        """Equal keys of one text travel as one row: (keys, docs, times)."""
+        order = np.lexsort((keys, docs))
+        keys, docs = keys[order], docs[order]
+        first = np.flatnonzero(np.append(True, (keys[1:] != keys[:-1]) | (docs[1:] != docs[:-1])))
+        return keys[first], docs[first], np.diff(np.append(first, len(keys))).astype(np.float64)
+
     def run(batches):
         for t in tokens(batches):
             n = len(t.ids)
             train = np.array([not held_out(i) for i in t.ids], bool)
             h = (substring_hash(t.prefix, t.offsets[:-1], t.offsets[1:]) >> np.uint64(33)).astype(np.int32)
-            count = _lookup(tree.word, tree.word_count, t.token)
+            count = _lookup(model.word, model.word_count, t.token)
             rare = count == 0
-            p = np.where(rare, tree.rest, count / (tree.total + 1))
             w = t.token
             one, two = np.flatnonzero(t.before >= 1), np.flatnonzero(t.before >= 2)
-            for at, (state, weight), (key, mass), ctx, full in (
-                (one, tree.states[0], tree.nexts[0], lambda a: w[a - 1], lambda a: pair_key(w[a - 1], w[a])),
-                (two, tree.states[1], tree.nexts[1], lambda a: pair_key(w[a - 2], w[a - 1]), lambda a: triple_key(w[a - 2], w[a - 1], w[a])),
-            ):
-                if not len(state) or not len(at):
-                    continue
-                back = _lookup(state, weight, ctx(at), -1.0)
-                at, back = at[back >= 0], back[back >= 0]
-                if len(at):
-                    p[at] = _lookup(key, mass, full(at)) + back * p[at]
+            pair = np.zeros(len(w), np.uint64)
+            pair[one] = pair_key(w[one - 1], w[one])
+            own = np.where(rare, 0, np.log10(np.maximum(count, 1)))
+            sent_keys, sent_docs = [], []
+            for at, keys in ((np.arange(len(w)), w), (one, pair[one]), (two, pair_key(pair[two - 1], pair[two]))):
+                hit = np.flatnonzero(_bit(keys, model.bits))
+                at, keys = at[hit], keys[hit]
+                known = _lookup(model.key, model.weight, keys, np.nan)
+                away = np.isnan(known)
+                own[at] += np.where(away, 0.0, known)
+                if not sent_keys:
+                    away &= ~rare[at]  # a rarer word is sent anyway and meets its weight
+                sent_keys.append(keys[away])
+                sent_docs.append(t.doc[at[away]])
             sums = lambda x: np.bincount(t.doc, x, minlength=n)
-            values = np.stack([sums(None), sums(~rare), sums(np.where(rare, 0, np.log10(count + 1))), sums(np.log10(p)), sums(rare), np.ones(n)], 1)
+            values = np.stack([sums(None), sums(~rare), sums(np.where(rare, 0, np.log10(count + 1))), sums(own), np.ones(n)], 1)
             ids = pa.array(t.ids, pa.int64())
-            doc6 = np.repeat(np.arange(n), 6)
+            doc5 = np.repeat(np.arange(n), 5)
             kinds = np.tile(np.arange(_TOKENS, _ROWS + 1, dtype=np.int32), n)
-            spread = mix(h.astype(np.uint64) * _C1 + doc6[::6].astype(np.uint64))[doc6]  # these belong to no word
-            yield rows(spread, ids.take(pa.array(doc6)), h[doc6], kinds, values.reshape(-1))
-            if rare.any():
-                at = np.flatnonzero(rare)
-                # Equal words of one text travel as one row.
-                order = np.lexsort((w[at], t.doc[at]))
-                ws, ds = w[at][order], t.doc[at][order]
-                new = np.append(True, (ws[1:] != ws[:-1]) | (ds[1:] != ds[:-1]))
-                first = np.flatnonzero(new)
-                times = np.diff(np.append(first, len(ws))).astype(np.float64)
-                d = ds[first]
-                yield rows(ws[first], ids.take(pa.array(d)), h[d], np.where(train[d], _TRAIN, _OTHER).astype(np.int32), times)
+            spread = mix(h.astype(np.uint64) * _C1 + np.arange(n).astype(np.uint64))[doc5]  # these belong to no word
+            yield rows(spread, ids.take(pa.array(doc5)), h[doc5], kinds, values.reshape(-1))
+            for keys, docs, kind in ((w[rare], t.doc[rare], np.where(train, _TRAIN, _OTHER)), (np.concatenate(sent_keys), np.concatenate(sent_docs), np.full(n, _GRAM))):
+                if len(keys):
+                    keys, d, times = once(keys, docs)
+                    yield rows(keys, ids.take(pa.array(d)), h[d], kind[d].astype(np.int32), times)
 
     return run
 
 
-def fit(docs: DataFrame, p: TreeParams = TreeParams()) -> Tree:
-    """The tree learnt from the training texts of (doc_id, text); the driver gets 3 / frequency rows at most."""
-    found = docs.mapInArrow(_candidates(p), _CANDIDATE).groupBy("grams", "key").agg(F.min("context").alias("context"), F.min("suffix").alias("suffix"), F.min("next").alias("next"), F.sum("n").alias("n"))
-    found = materialize(found, "lm-candidates")
-    sums = {r["grams"]: r["n"] for r in found.groupBy("grams").agg(F.sum("n").alias("n")).collect()}
-    # What stretches dropped is under the frequency, so this is a lower bound of the tokens, as it should be.
-    table = found.where(F.col("n") >= F.lit(p.frequency * (sums.get(1) or 0))).toArrow()
-    cols = {c: table.column(c).to_numpy() for c in ("grams", "key", "context", "suffix", "next")}
-    for c in ("key", "context", "suffix", "next"):
-        cols[c] = np.ascontiguousarray(cols[c]).astype(np.int64).view(np.uint64)
-    known = np.unique(cols["key"])
-    exact = docs.mapInArrow(_counter(known), "key long, n long, all boolean").groupBy("key", "all").agg(F.sum("n").alias("n")).toArrow()
-    keys, n, everything = (exact.column(c).to_numpy() for c in ("key", "n", "all"))
-    total = int(n[everything].sum())
-    own = _sorted(np.ascontiguousarray(keys[~everything]).astype(np.int64).view(np.uint64), n[~everything].astype(np.float64))
-    return build_tree(cols, _lookup(*own, cols["key"]), total, p)
+def _count(docs: DataFrame, p: TreeParams, orders: tuple[int, ...], name: str, bits: np.ndarray | None = None) -> DataFrame:
+    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parts = 8 * n
+    sent = docs.mapInArrow(_counts(p, orders, parts, bits), "part int, grams int, data binary")
+    return materialize(sent.repartition(n, "part").mapInArrow(_adder(p), "grams int, context long, sub long, n long, own long"), name)
+
+
+def _bitmap(table: DataFrame, p: TreeParams) -> np.ndarray:
+    """A bit for each key of ``table``, which others may share: sixteen bits a key, as far as ``p.bitmap`` goes."""
+    power = min(max((16 * table.count()).bit_length(), 10), p.bitmap)
+    parts = table.select("key", F.shiftrightunsigned("key", 64 - _SEGMENTS).alias("segment")).repartition("segment").select("key")
+    found = parts.mapInArrow(_segments(power), "segment int, bits binary").toArrow()
+    size = 1 << (power - _SEGMENTS - 3)
+    bits = np.zeros(1 << (power - 3), np.uint8)
+    for s, part in zip(found.column("segment").to_pylist(), found.column("bits").to_pylist()):
+        bits[s * size : (s + 1) * size] = np.frombuffer(part, np.uint8)
+    return bits
+
+
+def _weights(grams: DataFrame, p: TreeParams, name: str) -> DataFrame:
+    n = int(grams.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    sorted_ = grams.select("context", "sub", "n", "own", "lower", "log_p").repartition(n, "context").sortWithinPartitions("context")
+    return materialize(sorted_.mapInArrow(_weigher(p), "key long, share double, log_p double, v double, n long"), name)
+
+
+def fit(docs: DataFrame, p: TreeParams = TreeParams()) -> tuple[Model, DataFrame]:
+    """The model learnt from the training texts of (doc_id, text), and the table of the rarer n-grams' weights."""
+    counted = _count(docs, p, (1, 2), "lm-pairs")
+    words = counted.where("grams = 1").select(F.col("sub").alias("w"), F.col("n").alias("c"))
+    sums = words.agg(F.sum("c"), F.count(F.lit(1))).first()
+    total, types = int(sums[0] or 0), sums[1]
+    root = F.col("c") / F.lit(float(total + 1))
+    pairs = counted.where("grams = 2").join(words.hint("merge"), F.col("sub") == F.col("w")).withColumn("lower", root).withColumn("log_p", F.log10(root))
+    pairs = _weights(pairs, p, "lm-pair-weights")
+    listed = words.where(F.col("c") >= max(1.0, p.frequency * total * 2)).toArrow()
+    drop_table(counted)
+    # A triple's two pairs come as often as it does at least, so that they are in the table of pairs.
+    known = pairs.where("share is not null")
+    triples = _count(docs, p, (3,), "lm-triples", _bitmap(known, p))
+    suffix = known.select(F.col("key").alias("suffix"), F.col("share").alias("lower"), "log_p")
+    whole = known.select(F.col("key").alias("whole"), F.col("n").alias("own"))
+    found = triples.drop("own").join(suffix.hint("merge"), F.col("sub") == F.col("suffix")).join(whole.hint("merge"), F.col("context") == F.col("whole"))
+    weights = _weights(found, p, "lm-triple-weights")
+    drop_table(triples)
+    both = pairs.select("key", "v", "n").unionByName(weights.select("key", "v", "n")).where("v != 0")
+    table = materialize(both.groupBy("key").agg(F.sum("v").alias("v"), F.max("n").alias("n")), "lm-weights")
+    for old in (pairs, weights):
+        drop_table(old)
+    many = max(1.0, p.frequency * total)
+    frequent = table.where(F.col("n") >= many).select("key", "v").toArrow()
+    longs = lambda c: np.ascontiguousarray(c.to_numpy()).astype(np.int64).view(np.uint64)
+    model = Model(total, types, *_sorted(longs(listed.column("w")), listed.column("c").to_numpy().astype(np.float64)), *_sorted(longs(frequent.column("key")), frequent.column("v").to_numpy().astype(np.float64)), _bitmap(table, p))
+    return model, table.where(F.col("n") < many).select("key", "v")
 
 
 def score(docs: DataFrame, p: TreeParams = TreeParams(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -326,26 +456,22 @@ def score(docs: DataFrame, p: TreeParams = TreeParams(), id_col: str = "doc_id",
     training text every token is unknown. Words are told apart by 64-bit hashes.
     """
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    tree = fit(docs, p)
-    sent = docs.mapInArrow(_scorer(tree), _SENT)
-    by_word = Window.partitionBy("w").orderBy("w")  # all rows of a word are peers
-    rare = F.col("kind") <= _OTHER
-    counted = sent.withColumn("c", F.sum(F.when(F.col("kind") == _TRAIN, F.col("v")).otherwise(0.0)).over(by_word)).withColumn("first", (F.row_number().over(by_word) == 1) & rare & (F.col("c") > 0))
+    model, weights = fit(docs, p)
+    sent = docs.mapInArrow(_scorer(model), _SENT)
+    none = lambda kind: F.lit(None).cast(kind)
+    sent = sent.unionByName(weights.select(F.col("key").alias("w"), none("long").alias("doc_id"), none("int").alias("h"), F.lit(_WEIGHT).alias("kind"), "v"))
+    by_key = Window.partitionBy("w").orderBy("w")  # all rows of a key are peers
     of = lambda kind: F.sum(F.when(F.col("kind") == kind, F.col("v")).otherwise(0.0))
+    counted = sent.withColumn("c", of(_TRAIN).over(by_key)).withColumn("weight", of(_WEIGHT).over(by_key)).where(F.col("kind") != _WEIGHT)
+    rare = F.col("kind") <= _OTHER
+    log_count = lambda c: F.sum(F.when(rare, F.col("v") * F.log10(c)).otherwise(0.0))
     per_text = counted.groupBy("doc_id", "h").agg(
         of(_ROWS).alias("rows"),
         of(_TOKENS).alias("n_tokens"),
         (of(_KNOWN) + F.sum(F.when(rare & (F.col("c") > 0), F.col("v")).otherwise(0.0))).alias("n_known"),
-        F.sum(F.when(rare, F.col("v") * F.log10(F.col("c") + 1)).otherwise(0.0)).alias("rare_log"),
-        of(_BASE).alias("base"),
-        of(_SCORE).alias("own"),
-        of(_RARE).alias("n_rare"),
-        F.sum(F.col("first").cast("long")).alias("new_words"),
+        (of(_BASE) + log_count(F.col("c") + 1)).alias("base"),
+        (of(_SCORE) + log_count(F.greatest("c", F.lit(1.0))) + F.sum(F.when(F.col("kind") <= _GRAM, F.col("v") * F.col("weight")).otherwise(0.0))).alias("own"),
     )
-    per_text = materialize(per_text, "lm-sums")
-    rare_types = int(per_text.agg(F.sum("new_words")).first()[0] or 0)
-    v = rare_types + len(tree.word)
-    rare_total = tree.total - int(tree.word_count.sum())
     per_row = per_text.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("rows").cast("int"))))
     each = lambda c: F.col(c) / F.col("rows")
     held = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % 7 == 2
@@ -354,7 +480,7 @@ def score(docs: DataFrame, p: TreeParams = TreeParams(), id_col: str = "doc_id",
         held.alias("held_out"),
         F.round(each("n_tokens")).cast("long").alias("n_tokens"),
         F.round(each("n_known")).cast("long").alias("n_known"),
-        F.lit(tree.total).cast("long").alias("train_tokens"),
-        (each("base") + each("rare_log") - each("n_tokens") * F.lit(math.log10(tree.total + v + 1))).alias("base_score"),
-        (each("own") + each("rare_log") - each("n_rare") * F.lit(math.log10(rare_total + rare_types + 1))).alias("score"),
+        F.lit(model.total).cast("long").alias("train_tokens"),
+        (each("base") - each("n_tokens") * F.lit(math.log10(model.total + model.words + 1))).alias("base_score"),
+        (each("own") - each("n_tokens") * F.lit(math.log10(model.total + 1))).alias("score"),
     )

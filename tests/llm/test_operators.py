@@ -261,6 +261,52 @@ def test_contexts_are_learnt_and_probabilities_add_up():
         assert abs((own + back * root).sum() + back * tree.rest - 1) < 1e-9
 
 
+@pytest.fixture(scope="module")
+def phrases(spark):
+    """Texts whose phrases recur in many contexts, a few of them once in each of many texts; and their scores by the plain tree."""
+    rng = random.Random(11)
+    vocabulary = [prose(1) + str(i) for i in range(60)]
+    fixed = [rng.choices(vocabulary, k=rng.randint(2, 6)) for _ in range(12)]
+    texts = []
+    for i in range(150):
+        parts = [rng.choice(fixed) if rng.random() < 0.4 else [rng.choice(vocabulary)] for _ in range(rng.randint(1, 20))]
+        texts.append(" ".join([*sum(parts, []), *(["seldom", "seen", "phrase"] if i % 40 == 1 else []), f"only{i}"]))
+    rows = [*enumerate(texts), (3, texts[3]), (500, ""), (501, None), (None, texts[5])]
+    import pyarrow as pa
+
+    (t,) = lm.tokens(iter([pa.RecordBatch.from_pydict({"doc_id": pa.array([r[0] for r in rows], pa.int64()), "text": pa.array([r[1] for r in rows])})]))
+    w, train = t.token, np.array([not lm.held_out(i) for i in t.ids])[t.doc]
+    found = collections.defaultdict(list)
+    for order in (1, 2, 3):
+        at, keys = lm._grams(w, t.before, train, order)
+        key, first, n = np.unique(keys, return_index=True, return_counts=True)
+        i = at[first]
+        zero = np.zeros(len(key), np.uint64)
+        parts = {1: (zero, zero, zero), 2: (w[i - 1], w[i], w[i]), 3: (lm.pair_key(w[i - 2], w[i - 1]), lm.pair_key(w[i - 1], w[i]), w[i])}[order]
+        for c, v in zip(("grams", "key", "context", "suffix", "next", "n"), (np.full(len(key), order), key, *parts, n)):
+            found[c].append(v)
+    table = {c: np.concatenate(v) for c, v in found.items()}
+    tree = lm.build_tree(table, table["n"].astype(float), int(train.sum()), lm.TreeParams())
+    p = np.maximum(lm._lookup(tree.word, tree.word_count, w), 1) / (tree.total + 1)
+    for k, (state, nexts) in enumerate(zip(tree.states, tree.nexts)):
+        for i in np.flatnonzero(t.before > k):
+            at = slice(i, i + 1)
+            context, key = (w[i - 1 : i], lm.pair_key(w[i - 1 : i], w[at])) if k == 0 else (lm.pair_key(w[i - 2 : i - 1], w[i - 1 : i]), lm.triple_key(w[i - 2 : i - 1], w[i - 1 : i], w[at]))
+            back = lm._lookup(*state, context, -1.0)[0]
+            if back >= 0:
+                p[i] = lm._lookup(*nexts, key)[0] + back * p[i]
+    assert all(len(s[0]) > 20 for s in tree.states)
+    want = np.bincount(t.doc, np.log10(p), minlength=len(rows))
+    return spark.createDataFrame(rows, "doc_id long, text string"), sorted((str(i), round(float(x), 6)) for i, x in zip(t.ids, want))
+
+
+@pytest.mark.parametrize("frequency,parts,more", [(1e-6, 2, {}), (1e-3, 3, {}), (2e-4, 40, {}), (1.0, 3, {"stretch": 50}), (1.0, 3, {"bitmap": 10})])
+def test_all_that_comes_twice_is_in_the_tree_however_rare_or_split(phrases, frequency, parts, more):
+    docs, want = phrases
+    got = lm.score(docs.repartition(parts), lm.TreeParams(frequency=frequency, **more)).collect()
+    assert sorted((str(r.doc_id), round(r.score, 6)) for r in got) == want
+
+
 def test_no_texts_to_learn_from(spark):
     held = next(i for i in range(100) if lm.held_out(i))
     (row,) = lm.score(spark.createDataFrame([(held, "some words")], "doc_id long, text string")).collect()
