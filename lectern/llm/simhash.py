@@ -59,12 +59,18 @@ def _fingerprints(batches):
         raw = data.tobytes()
         at = offsets.tolist()
         out = np.array([fingerprint(shingle_hashes(raw[a:b])) for a, b in zip(at, at[1:])], np.uint64)
-        yield pa.RecordBatch.from_arrays([rows.column(0), pa.array(out.view(np.int64))], ["doc_id", "fp"])
+        yield pa.RecordBatch.from_arrays([rows.column(0), rows.column(2), pa.array(out.view(np.int64))], ["doc_id", "digest", "fp"])
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, fp) by row; a text without words, or null, has fingerprint 0."""
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(_fingerprints, "doc_id long, fp long")
+def _digest(text_col: str):
+    return F.sha2(F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary"), 256)
+
+
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", digest: bool = False) -> DataFrame:
+    """(doc_id, fp) by row; a text without words, or null, has fingerprint 0. With ``digest`` that of the text too."""
+    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), (_digest(text_col) if digest else F.lit(None).cast("string")).alias("digest"))
+    found = texts.mapInArrow(_fingerprints, "doc_id long, digest string, fp long")
+    return found if digest else found.select("doc_id", "fp")
 
 
 def ball(bits: int, radius: int) -> list[int]:
@@ -140,25 +146,32 @@ def _variants(value, masks):
     return F.transform(masks, lambda m: value.bitwiseXOR(m))
 
 
+def _named(found: DataFrame, radius: int, parts: int, most_pairs_of: int) -> DataFrame:
+    """The rows of (doc_id, fp, ...) with their component's key and the smallest doc_id in it."""
+    groups = found.groupBy("fp").agg(F.min("doc_id").alias("rep"))
+    nodes = components(links(groups, radius, parts, most_pairs_of)).hint("merge")
+    named = groups.join(nodes, groups["fp"] == nodes["node"], "left").select("fp", "rep", F.coalesce("component", "fp").alias("component"))
+    smallest = named.groupBy("component").agg(F.min("rep").alias("component_id"))
+    by_fp = named.select("fp", "component").join(smallest.hint("merge"), "component").select(F.col("fp").alias("__fp"), "component", "component_id")
+    return found.join(by_fp.hint("merge"), F.col("fp") == F.col("__fp"))
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS, parts: int = PARTS, most_pairs_of: int = MOST_PAIRS_OF) -> DataFrame:
     """One row per row of ``docs``: doc_id, fingerprint (16 hex digits), component_id (the smallest doc_id
     reachable). Texts without words share fingerprint zero and so a component. A null id is in a component
     but never its name, unless no other id is in it; repeated rows get a row each.
     """
     found = materialize(fingerprints(docs, id_col, text_col), "simhash-fps")
-    groups = found.groupBy("fp").agg(F.min("doc_id").alias("rep"))
-    nodes = components(links(groups, radius, parts, most_pairs_of)).hint("merge")
-    named = groups.join(nodes, groups["fp"] == nodes["node"], "left").select("fp", "rep", F.coalesce("component", "fp").alias("component"))
-    smallest = named.groupBy("component").agg(F.min("rep").alias("component_id"))
-    by_fp = named.select("fp", "component").join(smallest.hint("merge"), "component").select(F.col("fp").alias("__fp"), "component_id")
-    return found.join(by_fp.hint("merge"), F.col("fp") == F.col("__fp")).select(F.col("doc_id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    return _named(found, radius, parts, most_pairs_of).select(F.col("doc_id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def keep_representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows whose id names their component; of repeated rows one stays. A row without an id stays if its
-    component has no id at all."""
-    key = lambda i: F.coalesce(i.cast("string"), F.lit("null")).alias("__key")
-    named = near_duplicates(docs, id_col, text_col).where(F.col(id_col).eqNullSafe(F.col("component_id"))).select(key(F.col(id_col))).distinct()
-    rows = docs.select("*", key(F.col(id_col)))
+    """One row of each component: one whose id names it, or of a component that has no id, one without. Rows are
+    told apart by id and text, so that rows of other components with the same id, or without one, stay too."""
+    key = lambda i, digest: F.concat_ws(":", digest, F.coalesce(i.cast("string"), F.lit("null"))).alias("__key")
+    found = materialize(fingerprints(docs, id_col, text_col, digest=True), "simhash-fps")
+    named = _named(found, RADIUS, PARTS, MOST_PAIRS_OF).where(F.col("doc_id").eqNullSafe(F.col("component_id")))
+    kept = named.groupBy("component").agg(F.min(key(F.col("doc_id"), F.col("digest"))).alias("__key")).select("__key")
+    rows = docs.select("*", key(F.col(id_col).cast("long"), _digest(text_col)))
     # Repeated rows share the join's key, so dropping them needs no shuffle of its own.
-    return rows.join(named.hint("merge"), "__key", "left_semi").dropDuplicates(["__key"]).select(*[F.col(f"`{c}`") for c in docs.columns])
+    return rows.join(kept.hint("merge"), "__key", "left_semi").dropDuplicates(["__key"]).select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -67,3 +67,11 @@ def test_rows_nulls_and_ties(spark):
     assert simhash.near_duplicates(docs.limit(0)).count() == 0
     with pytest.raises(ValueError):
         simhash.links(docs.selectExpr("doc_id as fp"), radius=3)
+
+
+def test_null_and_repeated_ids_of_unlike_texts_stay(spark):
+    rng = random.Random(4)
+    a, b, c, d, e, f = (" ".join(f"{k}{rng.randrange(10**6)}" for _ in range(40)) for k in "abcdef")
+    docs = spark.createDataFrame([(None, a), (None, a), (None, b), (None, c), (4, c), (7, d), (7, e), (3, d), (9, f), (9, f), (9, f.upper())], "doc_id long, text string")
+    kept = simhash.keep_representatives(docs).collect()
+    assert sorted((str(r.doc_id), r.text.lower()) for r in kept) == sorted([("None", a), ("None", b), ("4", c), ("3", d), ("7", e), ("9", f)])
