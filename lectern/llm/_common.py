@@ -52,9 +52,17 @@ def drop_table(table: DataFrame) -> None:
         path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def ascii_lower_crc(column: Column) -> Column:
-    """crc32 of an id written as text; a null id counts as empty text."""
-    return F.crc32(F.coalesce(column.cast("string"), F.lit("")).cast("binary"))
+def fresh(name: str, taken: list[str]) -> str:
+    """``name``, with underscores behind it until no column of ``taken`` is called so, in either case."""
+    lower = {c.lower() for c in taken}
+    while name.lower() in lower:
+        name += "_"
+    return name
+
+
+def named(column: str) -> Column:
+    """A column by its name, which may hold dots."""
+    return F.col(f"`{column.replace('`', '``')}`")
 
 
 def binary_texts(batch: pa.RecordBatch, column: str = "text") -> pa.Array:

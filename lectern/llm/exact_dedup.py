@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lectern.llm._common import materialize
+from lectern.llm._common import fresh, materialize, named
 
 PREFIX_CHARS = 24
 _RUNS = "row_id long, keep_id long, group_size long, text_sha256 string, open boolean"
@@ -94,10 +94,13 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows that stay, in full, one per group; of repeated rows with one id only one stays.
 
+    Null texts are empty ones, so that of null, empty and repeated empty texts one row stays; a group without
+    an id keeps one row. Rows may hold any other columns, whatever their names; no rows give none.
     Uses the groups' digests so that the texts are shuffled once, by id, to find the rows that stay.
     """
-    key = lambda i, digest: F.concat_ws(":", digest, F.coalesce(i.cast("string"), F.lit("null"))).alias("__key")
+    own = fresh("key", docs.columns)
+    key = lambda i, digest: F.concat_ws(":", digest, F.coalesce(i.cast("string"), F.lit("null"))).alias(own)
     kept = exact_groups(docs, id_col, text_col).where("kept").select(key(F.col(id_col), F.col("text_sha256"))).distinct()
-    keyed = docs.select("*", key(F.col(id_col), F.sha2(normalized(F.col(text_col)).cast("binary"), 256)))
+    keyed = docs.select("*", key(named(id_col).cast("long"), F.sha2(normalized(named(text_col)).cast("binary"), 256)))
     # Repeated rows share the join's key, so dropping them needs no shuffle of its own.
-    return keyed.join(kept.hint("merge"), "__key", "left_semi").dropDuplicates(["__key"]).select(*[F.col(f"`{c}`") for c in docs.columns])
+    return keyed.join(kept.hint("merge"), own, "left_semi").dropDuplicates([own]).select(*map(named, docs.columns))

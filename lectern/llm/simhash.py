@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lectern.llm._common import materialize, text_slices
+from lectern.llm._common import fresh, materialize, named, text_slices
 from lectern.llm.graph import components
 
 SHINGLE_WORDS = 4
@@ -150,9 +150,9 @@ def _named(found: DataFrame, radius: int, parts: int, most_pairs_of: int) -> Dat
     """The rows of (doc_id, fp, ...) with their component's key and the smallest doc_id in it."""
     groups = found.groupBy("fp").agg(F.min("doc_id").alias("rep"))
     nodes = components(links(groups, radius, parts, most_pairs_of)).hint("merge")
-    named = groups.join(nodes, groups["fp"] == nodes["node"], "left").select("fp", "rep", F.coalesce("component", "fp").alias("component"))
-    smallest = named.groupBy("component").agg(F.min("rep").alias("component_id"))
-    by_fp = named.select("fp", "component").join(smallest.hint("merge"), "component").select(F.col("fp").alias("__fp"), "component", "component_id")
+    grouped = groups.join(nodes, groups["fp"] == nodes["node"], "left").select("fp", "rep", F.coalesce("component", "fp").alias("component"))
+    smallest = grouped.groupBy("component").agg(F.min("rep").alias("component_id"))
+    by_fp = grouped.select("fp", "component").join(smallest.hint("merge"), "component").select(F.col("fp").alias("__fp"), "component", "component_id")
     return found.join(by_fp.hint("merge"), F.col("fp") == F.col("__fp"))
 
 
@@ -167,11 +167,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 def keep_representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row of each component: one whose id names it, or of a component that has no id, one without. Rows are
-    told apart by id and text, so that rows of other components with the same id, or without one, stay too."""
-    key = lambda i, digest: F.concat_ws(":", digest, F.coalesce(i.cast("string"), F.lit("null"))).alias("__key")
+    told apart by id and text, so that rows of other components with the same id, or without one, stay too.
+    Rows may hold any other columns, whatever their names; no rows give none."""
+    own = fresh("key", docs.columns)
+    key = lambda i, digest: F.concat_ws(":", digest, F.coalesce(i.cast("string"), F.lit("null"))).alias(own)
     found = materialize(fingerprints(docs, id_col, text_col, digest=True), "simhash-fps")
-    named = _named(found, RADIUS, PARTS, MOST_PAIRS_OF).where(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    kept = named.groupBy("component").agg(F.min(key(F.col("doc_id"), F.col("digest"))).alias("__key")).select("__key")
-    rows = docs.select("*", key(F.col(id_col).cast("long"), _digest(text_col)))
+    first = _named(found, RADIUS, PARTS, MOST_PAIRS_OF).where(F.col("doc_id").eqNullSafe(F.col("component_id")))
+    kept = first.groupBy("component").agg(F.min(key(F.col("doc_id"), F.col("digest"))).alias(own)).select(own)
+    rows = docs.select("*", key(named(id_col).cast("long"), _digest(text_col)))
     # Repeated rows share the join's key, so dropping them needs no shuffle of its own.
-    return rows.join(kept.hint("merge"), "__key", "left_semi").dropDuplicates(["__key"]).select(*[F.col(f"`{c}`") for c in docs.columns])
+    return rows.join(kept.hint("merge"), own, "left_semi").dropDuplicates([own]).select(*map(named, docs.columns))
