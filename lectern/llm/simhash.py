@@ -124,14 +124,15 @@ def links(fps: DataFrame, radius: int = RADIUS, parts: int = PARTS, most_pairs_o
     of links, each of which is within the radius itself."""
     if radius % 2:
         raise ValueError("the radius must be even")
-    fps = fps.select("fp").distinct()
+    n = int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # The distinct fingerprints are few bytes, which would be joined to a few tasks, but each emits many rows.
+    fps = fps.select("fp").distinct().repartition(n, "fp")
     width, inner = 64 // parts, radius // parts  # one part of a linked pair differs in at most this many bits
     half = -(-inner // 2)
     # The part's number is added above the part's bits, or mixed in where these are all 64.
     piece = lambda k: F.expr(f"shiftrightunsigned(fp, {k * width}) & {(1 << width) - 1}L | {k << width}L") if parts > 1 else F.col("fp")
     masks = _masks(ball(width, half))
     emitted = fps.select("fp", F.explode(F.flatten(F.array(*[_variants(piece(k), masks) for k in range(parts)]))).alias("value"))
-    n = int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     met = emitted.repartition(n, "value").sortWithinPartitions("value", "fp").mapInArrow(_meet(radius, most_pairs_of), "a long, b long")
     met = materialize(met.distinct(), "simhash-met")
     # Whole balls of those in crowds: all that meet at a value are within twice half the radius of one another.
