@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lectern.llm._common import materialize
+from lectern.llm._common import fresh, materialize, named
 
 #: A rate above this is the sum of several draws, so that exp(-rate) can't vanish.
 RATE_A_DRAW = 32.0
@@ -44,7 +44,7 @@ def source_rates(docs: DataFrame, source_col: str = "source", weights: dict[str,
     ``weights`` gives target shares (a source without one gets none); by default shares follow
     n ** exponent. ``total`` is the number of rows wanted, by default as many as there are.
     """
-    counts = docs.groupBy(F.col(source_col).alias("source")).agg(F.count(F.lit(1)).alias("n"))
+    counts = docs.groupBy(named(source_col).alias("source")).agg(F.count(F.lit(1)).alias("n"))
     if weights is None:
         weighed = counts.withColumn("w", F.pow(F.col("n").cast("double"), F.lit(float(exponent))))
     else:
@@ -61,21 +61,24 @@ def source_rates(docs: DataFrame, source_col: str = "source", weights: dict[str,
 def mix(docs: DataFrame, seed: str = "mix-1", id_col: str = "doc_id", source_col: str = "source", weights: dict[str, float] | None = None, total: int | None = None, exponent: float = EXPONENT) -> DataFrame:
     """The replicated rows in global random order, with ``copies``, ``copy`` (from 1) and ``mix_key``.
 
-    Repeated rows of one id get the same count each. A null id is drawn as the text "null". The rows are
-    range-partitioned by a hash of (seed, id, copy), which no source or id can skew but a repeated row.
+    Repeated rows of one id get the same count each. A null id is drawn as the text "null"; texts aren't
+    looked at, so that null, empty and long ones are rows as others; no rows give none. Columns of the input
+    stay as they are: where one is called as an added one, the added one gets an underscore behind its name.
+    The rows are partitioned by a hash of (seed, id, copy), which no source or id can skew but a repeated row.
     """
     rates = materialize(source_rates(docs, source_col, weights, total, exponent), "mix-rates")
-    table = rates.select(F.col("source").alias("__source"), F.col("draws").alias("__draws"), F.col("cdf").alias("__cdf"))
+    source, draws, cdf, copies, copy, mix_key = (fresh(c, docs.columns) for c in ("rate_source", "rate_draws", "rate_cdf", "copies", "copy", "mix_key"))
+    table = rates.select(F.col("source").alias(source), F.col("draws").alias(draws), F.col("cdf").alias(cdf))
     if rates.count() <= MAX_BROADCAST_SOURCES:
         table = F.broadcast(table)
-    joined = docs.join(table, docs[source_col].eqNullSafe(F.col("__source")))
-    one = lambda j: F.size(F.filter("__cdf", lambda c: c <= uniform(seed, F.col(id_col), j)))
-    copies = F.aggregate(F.sequence(F.lit(1), F.col("__draws")), F.lit(0), lambda acc, j: acc + one(j))
-    names = [F.col(f"`{c}`") for c in docs.columns]
-    counted = joined.select(*names, copies.alias("copies")).where("copies > 0")
-    exploded = counted.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies"))))
-    keyed = exploded.withColumn("mix_key", F.md5(F.concat_ws(":", F.lit(seed), F.lit("order"), F.coalesce(F.col(id_col).cast("string"), F.lit("null")), F.col("copy").cast("string")).cast("binary")))
+    joined = docs.join(table, named(source_col).eqNullSafe(F.col(source)))
+    # One hash a draw: a number that the filter's condition made itself would be made again for each term of the table.
+    drawn = F.transform(F.sequence(F.lit(1), F.col(draws)), lambda j: uniform(seed, named(id_col), j))
+    count = F.aggregate(drawn, F.lit(0), lambda acc, u: acc + F.size(F.filter(cdf, lambda c: c <= u)))
+    counted = joined.select(*map(named, docs.columns), count.alias(copies)).where(F.col(copies) > 0)
+    exploded = counted.withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(copies))))
+    keyed = exploded.withColumn(mix_key, F.md5(F.concat_ws(":", F.lit(seed), F.lit("order"), F.coalesce(named(id_col).cast("string"), F.lit("null")), F.col(copy).cast("string")).cast("binary")))
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     # An MD5 is uniform, so its first digits are a partition's number; no sampling pass is needed.
-    number = F.floor(F.conv(F.substring("mix_key", 1, 8), 16, 10).cast("double") / float(1 << 32) * parts).cast("int")
-    return keyed.repartitionById(parts, number).sortWithinPartitions("mix_key")
+    number = F.floor(F.conv(F.substring(mix_key, 1, 8), 16, 10).cast("double") / float(1 << 32) * parts).cast("int")
+    return keyed.repartitionById(parts, number).sortWithinPartitions(mix_key)
