@@ -13,7 +13,7 @@ import hashlib
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectern.llm._common import scratch_dir
+from lectern.llm._common import fresh, named, scratch_dir
 
 #: kind: (regular expression, group whose length counts, least length), in the order of the kinds.
 RULES = {
@@ -24,6 +24,9 @@ RULES = {
 }
 #: Only texts with these are matched in full.
 _HINTS = {"assign": r"(?i)(?:password|passwd|secret|token|api_?key)", "access": "AKIA", "hex": r"[0-9a-f]{16}"}
+#: Matches whose places are added up at once.
+PIECE = 256
+_STEPS = "array<array<struct<whole:int,sized:int,gap:int>>>"
 LEDGER = "blob_id binary, rule_version string, spans array<struct<start:int,kind:int,end:int>>"
 
 
@@ -38,16 +41,34 @@ def _spans(text: Column, number: int, pattern: str, group: int, least: int, hint
     sized = F.transform(found, lambda m: F.length(m)) if not group else F.transform(F.regexp_extract_all(text, F.lit(pattern), group), lambda m: F.length(m))
     steps = F.arrays_zip(F.transform(found, lambda m: F.length(m)).alias("whole"), sized.alias("sized"), F.slice(F.transform(parts, lambda p: F.length(p)), F.lit(1), F.size(found)).alias("gap"))
     empty = F.array().cast("array<struct<start:int,kind:int,end:int>>")
-    walk = F.aggregate(
-        steps,
-        F.struct(F.lit(0).alias("at"), empty.alias("out")),
-        lambda acc, s: F.struct(
-            (acc["at"] + s["gap"] + s["whole"]).alias("at"),
-            F.when(s["sized"] >= least, F.concat(acc["out"], F.array(F.struct((acc["at"] + s["gap"]).alias("start"), F.lit(number).alias("kind"), (acc["at"] + s["gap"] + s["whole"]).alias("end"))))).otherwise(acc["out"]).alias("out"),
-        ),
-        lambda acc: acc["out"],
-    )
-    return F.when(F.rlike(text, F.lit(hint)), walk).otherwise(empty)
+    kept = lambda s, at: F.struct((at + s["gap"]).alias("start"), F.lit(number).alias("kind"), (at + s["gap"] + s["whole"]).alias("end"))
+
+    def piece(some: Column, at: Column) -> Column:
+        """The spans of a few steps, the first of which begins at ``at``."""
+        return F.aggregate(
+            some,
+            F.struct(at.alias("at"), empty.alias("out")),
+            lambda acc, s: F.struct((acc["at"] + s["gap"] + s["whole"]).alias("at"), F.when(s["sized"] >= least, F.concat(acc["out"], F.array(kept(s, acc["at"])))).otherwise(acc["out"]).alias("out")),
+            lambda acc: acc["out"],
+        )
+
+    def walk(all_: Column) -> Column:
+        """An append copies its list, so steps are taken in pieces: first each one's length, then where each
+        begins, then their spans."""
+        pieces = F.when(F.size(all_) > 0, F.transform(F.sequence(F.lit(0), F.floor((F.size(all_) - 1) / PIECE).cast("int")), lambda i: F.slice(all_, i * PIECE + 1, F.lit(PIECE)))).otherwise(F.array().cast(_STEPS))
+        return _let(pieces, placed)
+
+    def placed(pieces: Column) -> Column:
+        length = lambda p: F.aggregate(p, F.lit(0), lambda acc, s: acc + s["gap"] + s["whole"])
+        begins = F.aggregate(pieces, F.array(F.lit(0)), lambda acc, p: F.concat(acc, F.array(F.element_at(acc, -1) + length(p))))
+        return F.flatten(F.zip_with(pieces, F.slice(begins, F.lit(1), F.size(pieces)), piece))
+
+    return F.when(F.rlike(text, F.lit(hint)), _let(steps, walk)).otherwise(empty)
+
+
+def _let(value: Column, body) -> Column:
+    """``body(value)``, with the value computed once however often the body names it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
 
 
 def find_spans(text: Column, rules: dict = RULES) -> Column:
@@ -72,12 +93,13 @@ def scan(versions: DataFrame, ledger_path: str, text_col: str = "text", rules: d
     text), each with ``blob_id`` and ``spans``.
 
     A null text is the empty blob. Equal texts, and repeated rows, are scanned once and all get the
-    findings. Rows may hold any other columns. An append that fails half-way leaves no rows (Parquet's
+    findings. Rows may hold any other columns: where one is called as an added one, the added one gets an
+    underscore behind its name. No rows give none. An append that fails half-way leaves no rows (Parquet's
     commit), and one that is repeated adds no second finding, as only missing pairs are scanned.
     """
     spark = versions.sparkSession
     version = rule_version(rules)
-    text = F.coalesce(F.col(text_col), F.lit(""))
+    text = F.coalesce(named(text_col), F.lit(""))
     blob = F.unhex(F.sha2(text.cast("binary"), 256))
     seen = read_ledger(spark, ledger_path).where(F.col("rule_version") == version).select("blob_id")
     # Equal blobs meet after a partial aggregation, so a text of which there are thousands travels once a task.
@@ -85,17 +107,19 @@ def scan(versions: DataFrame, ledger_path: str, text_col: str = "text", rules: d
     unseen = blobs.join(seen, "blob_id", "left_anti")
     unseen.select("blob_id", F.lit(version).alias("rule_version"), find_spans(F.col("__text"), rules).alias("spans")).write.mode("append").parquet(ledger_path)
     findings = read_ledger(spark, ledger_path).where(F.col("rule_version") == version).select(F.col("blob_id").alias("__blob"), F.col("spans").alias("__spans"))
-    paths = versions.select(*[F.col(f"`{c}`").alias(f"__v{i}") for i, c in enumerate(versions.columns) if c != text_col], blob.alias("__own"))
-    joined = paths.join(findings, F.col("__own") == F.col("__blob"), "left")
     kept = [c for c in versions.columns if c != text_col]
-    return joined.select(*[F.col(f"__v{versions.columns.index(c)}").alias(c) for c in kept if c not in ("blob_id", "spans")], F.col("__own").alias("blob_id"), F.col("__spans").alias("spans"))
+    paths = versions.select(*[named(c).alias(f"__v{i}") for i, c in enumerate(kept)], blob.alias("__own"))
+    joined = paths.join(findings, F.col("__own") == F.col("__blob"), "left")
+    return joined.select(*[F.col(f"__v{i}").alias(c) for i, c in enumerate(kept)], F.col("__own").alias(fresh("blob_id", kept)), F.col("__spans").alias(fresh("spans", kept)))
 
 
 def report(scanned: DataFrame, id_col: str = "doc_id", rules: dict = RULES) -> DataFrame:
-    """Counts by kind, the digest of the spans and the spans as text, for each path."""
+    """Counts by kind, the digest of the spans and the spans as text, for each path of a scan, whose last
+    column the spans are."""
+    spans_col = scanned.columns[-1]
     names = F.array(*[F.lit(k) for k in rules])
-    text = F.array_join(F.transform("spans", lambda s: F.concat(F.element_at(names, s["kind"] + 1), F.lit(":"), s["start"].cast("string"), F.lit(":"), s["end"].cast("string"))), ",")
-    of_kind = lambda i: F.size(F.filter("spans", lambda s: s["kind"] == i)).cast("long")
+    text = F.array_join(F.transform(spans_col, lambda s: F.concat(F.element_at(names, s["kind"] + 1), F.lit(":"), s["start"].cast("string"), F.lit(":"), s["end"].cast("string"))), ",")
+    of_kind = lambda i: F.size(F.filter(spans_col, lambda s: s["kind"] == i)).cast("long")
     counts = [of_kind(i).alias(f"n_{k}") for i, k in enumerate(rules)]
     return scanned.select(F.col(id_col), *counts, F.sha2(text.cast("binary"), 256).alias("base_sha256"), text.alias("spans"))
 
