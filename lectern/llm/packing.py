@@ -1,8 +1,8 @@
 """Cost-balanced packing of token sequences.
 
 A piece of n tokens costs ``linear * n + quadratic * n * n``: attention stays within a document. Pieces,
-in descending order of cost, go to the sequence of the lowest cost that has room for them; one that fits
-nowhere is cut. Each task packs what it tokenises, a block of tokens at a time, so that nothing is
+in descending order of cost, go to the sequence of the lowest cost that has room for them, found in a tree
+over rooms; one that fits nowhere is cut. Each task packs what it tokenises, a block of tokens at a time, so that nothing is
 shuffled, memory is bounded, and a lost task packs its rows again in the same way.
 """
 
@@ -50,10 +50,62 @@ def encoder(json_path: str, ranks_path: str | None) -> Callable[[str], list[int]
     return encode
 
 
+class _Open:
+    """Open sequences by room: the cheapest one with room for a length, in steps that don't depend on how many
+    there are. Each leaf of the tree is a room, with a heap of the (cost, sequence) that have just that room;
+    each inner node holds the least head below it."""
+
+    def __init__(self, count: int, capacity: int):
+        self.size = 1 << capacity.bit_length()
+        self.heaps: list[list[tuple[float, int]]] = [[] for _ in range(self.size)]
+        self.least: list[tuple[float, int] | None] = [None] * (2 * self.size)
+        self.heaps[capacity] = [(0.0, k) for k in range(count)]  # in order, so a heap
+        self._climb(capacity)
+
+    def _climb(self, room: int) -> None:
+        heap = self.heaps[room]
+        at = room + self.size
+        self.least[at] = heap[0] if heap else None
+        while at > 1:
+            at >>= 1
+            a, b = self.least[2 * at], self.least[2 * at + 1]
+            self.least[at] = a if b is None or (a is not None and a <= b) else b
+
+    def take(self, length: int) -> tuple[float, int, int] | None:
+        """(cost, sequence, room) of the cheapest one with room for ``length``, which is taken out."""
+        best, where = None, 0
+        low, high = length + self.size, 2 * self.size
+        while low < high:
+            if low & 1:
+                if (x := self.least[low]) is not None and (best is None or x < best):
+                    best, where = x, low
+                low += 1
+            if high & 1:
+                high -= 1
+                if (x := self.least[high]) is not None and (best is None or x < best):
+                    best, where = x, high
+            low >>= 1
+            high >>= 1
+        if best is None:
+            return None
+        while where < self.size:
+            where = 2 * where if self.least[2 * where] == best else 2 * where + 1
+        room = where - self.size
+        heapq.heappop(self.heaps[room])
+        self._climb(room)
+        return (*best, room)
+
+    def put(self, cost: float, k: int, room: int) -> None:
+        heapq.heappush(self.heaps[room], (cost, k))
+        self._climb(room)
+
+
 def assign(lengths: list[int], capacity: int = SEQUENCE_TOKENS, linear: float = 1.0, quadratic: float = 1 / 2048) -> list[list[tuple[int, int, int]]]:
     """Sequences as lists of (item, start, length), which cover each item once and hold ``capacity`` at most.
 
-    As many sequences are opened as the tokens need; only the last ones to fill may keep room.
+    As many sequences are opened as the tokens need; only the last ones to fill may keep room. A piece goes to
+    the cheapest sequence with room for all of it; if there is none, the cheapest with any room takes what it
+    can and the rest is placed in the same way. Ties go to the sequence opened first.
     """
     cost = lambda n: linear * n + quadratic * n * n
     out: list[list[tuple[int, int, int]]] = []
@@ -67,28 +119,15 @@ def assign(lengths: list[int], capacity: int = SEQUENCE_TOKENS, linear: float =
     rest.sort(key=lambda x: (-x[0], x[1]))
     count = -(-sum(n for n, _, _ in rest) // capacity)
     bins: list[list[tuple[int, int, int]]] = [[] for _ in range(count)]
-    heap = [(0.0, k, capacity) for k in range(count)]  # (cost, sequence, room)
+    open_ = _Open(count, capacity)
     for n, item, start in rest:
-        aside = []
         while n:
-            # The cheapest sequence with room for the whole piece; a few tries, then it is cut.
-            while heap and heap[0][2] < n and len(aside) < 64:
-                aside.append(heapq.heappop(heap))
-            if heap and heap[0][2] >= n:
-                spent, k, room = heapq.heappop(heap)
-                take = n
-            else:
-                for x in aside:
-                    heapq.heappush(heap, x)
-                aside = []
-                spent, k, room = heapq.heappop(heap)
-                take = min(n, room)
+            spent, k, room = open_.take(n) or open_.take(1)
+            take = min(n, room)
             bins[k].append((item, start, take))
             start, n = start + take, n - take
             if room > take:
-                heapq.heappush(heap, (spent + cost(take), k, room - take))
-        for x in aside:
-            heapq.heappush(heap, x)
+                open_.put(spent + cost(take), k, room - take)
     return out + [x for x in bins if x]
 
 
@@ -137,7 +176,7 @@ def pack(docs: DataFrame, tokenizer_json: str, tokenizer_ranks: str | None = Non
     sequence's tokens and cost.
 
     A null or empty text is the end id alone. Repeated rows are packed each on their own; a null id stays
-    null; no rows give no pieces. All but the last sequences of a block of ``block_tokens`` are full.
+    null; no rows give no pieces; other columns aren't read. All but the last sequences of a block of ``block_tokens`` are full.
     """
     from pyspark.sql import functions as F
 
