@@ -36,6 +36,8 @@ STRIDE = 40
 HOT_RUNS = 20_000
 SHARD_BYTES = 1 << 18
 BATCH_BYTES = 1 << 20
+#: Bits of a gram's place, the same in every slice, so that equal windows choose the same minimiser everywhere.
+_PLACE_BITS = (2 * SLICE_BYTES + LENGTH).bit_length()
 
 
 def _sliding_min(x: np.ndarray, w: int) -> np.ndarray:
@@ -68,7 +70,7 @@ def anchors(data: np.ndarray, offsets: np.ndarray, length: int = LENGTH, gram: i
     prefix = prefix_hash(data)
     at = np.arange(n - gram + 1)
     h = substring_hash(prefix, at, at + gram)
-    bits = np.uint64(max(1, int(n).bit_length()))
+    bits = np.uint64(_PLACE_BITS)
     packed = (h >> bits << bits) | at.astype(np.uint64)
     least = _sliding_min(packed, length - gram + 1)
     # A window is one of a text's own if it ends within it.
@@ -293,28 +295,33 @@ _OUT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 str
 _OUT_TEXT = _OUT + ", kept binary"
 
 
+def _spans(starts: np.ndarray | None, ends: np.ndarray | None, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The maximal runs that the marks cover, each within its text."""
+    if starts is None or not len(starts):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    order = np.argsort(starts, kind="stable")
+    start, reach = starts[order], np.maximum.accumulate(ends[order])
+    doc = np.searchsorted(offsets, start, "right")
+    new = np.append(True, (start[1:] > reach[:-1]) | (doc[1:] != doc[:-1]))
+    return start[new], reach[np.append(np.flatnonzero(new)[1:] - 1, len(start) - 1)]
+
+
 def _remove(with_text: bool):
     def run(batches):
         for batch in batches:
             for row in _rows(batch, "block", "ids", "sizes", "blob", "starts", "ends"):
                 data, offsets = _open(row)
-                covered = np.zeros(len(data) + 1, np.int32)
-                if row["starts"] is not None:
-                    covered += np.bincount(row["starts"], minlength=len(covered)).astype(np.int32)
-                    covered -= np.bincount(row["ends"], minlength=len(covered)).astype(np.int32)
-                gone = np.cumsum(covered)[:-1] > 0
-                total = np.append(0, np.cumsum(gone))
-                removed = total[offsets[1:]] - total[offsets[:-1]]
-                begins = gone.copy()
-                begins[1:] &= ~gone[:-1]
-                inner = offsets[:-1][offsets[:-1] < len(data)]
-                begins[inner] |= gone[inner]
-                count = np.append(0, np.cumsum(begins))
-                spans = count[offsets[1:]] - count[offsets[:-1]]
-                raw, keep = data.tobytes(), ~gone
-                sha, kept = [], []
-                for a, b, r in zip(offsets[:-1].tolist(), offsets[1:].tolist(), removed.tolist()):
-                    own = raw[a:b] if not r else data[a:b][keep[a:b]].tobytes() if r < b - a else b""
+                n = len(offsets) - 1
+                start, end = _spans(row["starts"], row["ends"], offsets)
+                doc = np.searchsorted(offsets, start, "right") - 1
+                removed = np.bincount(doc, end - start, minlength=n).astype(np.int64)
+                spans = np.bincount(doc, minlength=n)
+                raw, sha, kept = data.tobytes(), [], []
+                cut = np.searchsorted(doc, np.arange(n + 1)).tolist()
+                start, end = start.tolist(), end.tolist()
+                for i, (a, b) in enumerate(zip(offsets[:-1].tolist(), offsets[1:].tolist())):
+                    edges = [a, *(x for s in zip(start[cut[i] : cut[i + 1]], end[cut[i] : cut[i + 1]]) for x in s), b]
+                    own = b"".join(raw[x:y] for x, y in zip(edges[::2], edges[1::2])) if len(edges) > 2 else raw[a:b]
                     sha.append(hashlib.sha256(own).hexdigest())
                     kept.append(own if with_text else None)
                 cols = [row["ids"], pa.array(np.diff(offsets)), pa.array(removed), pa.array(spans), pa.array(sha)]
