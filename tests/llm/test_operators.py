@@ -436,3 +436,165 @@ def test_pipeline_keeps_what_it_should(spark, tmp_path):
     out = corpus_pipeline.run(spark, str(tmp_path))
     assert {r.doc_id for r in out.select("doc_id").collect()} == sizes[3]
     assert json.dumps([n for n, _ in corpus_pipeline.STAGES]) and corpus_pipeline.ORACLE_SQL is None
+
+
+# names, orders and sizes that the plain cases don't have
+
+
+def plain_assign(lengths, capacity=2048):
+    """The rule of ``packing.assign`` by looking at every sequence each time."""
+    cost = lambda n: n + n * n / 2048
+    full = [[(i, k * capacity, capacity)] for i, n in enumerate(lengths) if n > capacity for k in range(n // capacity)]
+    rest = sorted(((n - n // capacity * capacity if n > capacity else n, i) for i, n in enumerate(lengths)), key=lambda x: (-x[0], x[1]))
+    bins = [[] for _ in range(-(-sum(n for n, _ in rest) // capacity))]
+    room, spent = [capacity] * len(bins), [0.0] * len(bins)
+    for n, i in rest:
+        start = lengths[i] - n
+        while n:
+            fit = [k for k in range(len(bins)) if room[k] >= n] or [k for k in range(len(bins)) if room[k]]
+            k = min(fit, key=lambda k: (spent[k], k))
+            take = min(n, room[k])
+            bins[k].append((i, start, take))
+            room[k], spent[k], start, n = room[k] - take, spent[k] + cost(take), start + take, n - take
+    return full + [b for b in bins if b]
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_assignment_is_the_rule_of_lowest_cost(seed):
+    rng = random.Random(seed)
+    lengths = [max(1, int(rng.lognormvariate(5.7, 1.2))) for _ in range(rng.randint(1, 700))]
+    assert packing.assign(lengths) == plain_assign(lengths)
+
+
+CLASHING = ("__key", "key", "Key_", "copies", "copy", "mix_key", "blob_id", "spans", "source_", "rate_cdf", "a.b", "fp", "digest", "component")
+
+
+def test_columns_of_any_name_stay(spark, docs, tmp_path):
+    from lectern.llm import simhash
+
+    rows = spark.createDataFrame(ROWS, SCHEMA)
+    odd = rows.select("*", *[F.concat(F.lit(c + ":"), F.coalesce(F.col("doc_id").cast("string"), F.lit("none"))).alias(c) for c in CLASHING])
+    stays = lambda out: all(r[c] == f"{c}:{'none' if r.doc_id is None else r.doc_id}" for r in out.collect() for c in CLASHING)
+    for stage in (exact_dedup.drop_copies, simhash.keep_representatives, mixing.mix, langid.keep_identified):
+        out = stage(odd)
+        assert out.columns[: len(odd.columns)] == odd.columns and stays(out)
+    assert mixing.mix(odd).columns[len(odd.columns) :] == ["copies_", "copy_", "mix_key_"]
+    scanned = secrets.scan(odd, str(tmp_path / "ledger"))
+    assert scanned.columns[-2:] == ["blob_id_", "spans_"] and stays(scanned) and secrets.report(scanned).count() == len(ROWS)
+    packed = packing.pack(odd, *queries.tokenizer_files())
+    assert {r.doc_id for r in packed.collect()} == {r[0] for r in ROWS}
+    for found in (repeats.remove_repeats(odd), simhash.near_duplicates(odd), langid.identify(odd), lm.score(odd), exact_dedup.exact_groups(odd)):
+        assert found.count() == len(ROWS)
+
+
+def test_many_secrets_in_one_text(spark):
+    n = 3000
+    text = "é " + "deadbeefdeadbeef, " * n + "token = abcdefghijklmnop"
+    (row,) = secrets.scan_documents(spark.createDataFrame([(1, text)], "doc_id long, text string")).collect()
+    want = [f"hex:{2 + 18 * i}:{18 + 18 * i}" for i in range(n)] + [f"assign:{2 + 18 * n}:{len(text)}"]
+    assert row.spans == ",".join(want) and (row.n_hex, row.n_assign) == (n, 1)
+
+
+def plain_mixture(tables, text):
+    """(language, share) by EM over the words of one text, with dictionaries: {language: {cell: log p}}."""
+    import math
+
+    names = sorted(tables)
+    t = langid._items(np.frombuffer(text.encode(), np.uint8), np.array([0, len(text.encode())]), [], [])
+    words = [[int(c) for c, w in zip(t.cell, t.word) if w == k] for k in range(len(t.doc))]
+    like = [{x: sum(tables[x][c] for c in w) for x in names} for w in words]
+    like = [{x: math.exp(v - max(w.values())) for x, v in w.items()} for w in like]
+
+    def em(some):
+        share = {x: 1 / len(some) for x in some}
+        for _ in range(langid.EM_STEPS):
+            total = collections.Counter()
+            for w in like:
+                whole = max(sum(w[x] * share[x] for x in some), 1e-30)
+                for x in some:
+                    total[x] += w[x] * share[x] / whole
+            share = {x: total[x] / len(like) for x in some}
+        return share, sum(math.log(max(sum(w[x] * share[x] for x in some), 1e-30)) for w in like)
+
+    cost = langid.PENALTY * math.log(len(like) + 1) + langid.ENTRY
+    value, best = max(((sum(math.log(max(w[x], 1e-300)) for w in like), x) for x in names), key=lambda v: (v[0], [-ord(c) for c in v[1]]))
+    value, share = value - cost, {best: 1.0}
+    full = em(names)[0]
+    rank = sorted(names, key=lambda x: -full[x])
+    for m in range(2, len(names) + 1):
+        if full[rank[m - 1]] < langid.LEAST_SHARE:
+            break
+        found, seen = em(rank[:m])
+        if seen - m * cost <= value:
+            break
+        value, share = seen - m * cost, found
+    return share
+
+
+def language_rows(count, each, seed=21):
+    """Rows of languages with words of their own letters' habits, and a mixed text of the first and the last one."""
+    rng = random.Random(seed)
+    words = {f"x{k:03d}": ["".join(rng.choices(rng.sample("abcdefghijklmnopqrstuvwxyz", 7), k=rng.randint(3, 8))) for _ in range(25)] for k in range(count)}
+    say = lambda x, n: " ".join(rng.choices(words[x], k=n))
+    return [(i, say(x, 40), x) for i, x in enumerate(list(words) * each)], say
+
+
+def test_mixtures_are_those_of_the_plain_version(spark):
+    rows, say = language_rows(5, 24)
+    mixed = [(1000 + k, say("x000", 30) + " " + say("x004", 10 * k) + " " + say("x002", 25), None) for k in range(5)]
+    frame = spark.createDataFrame(rows + mixed, "doc_id long, text string, lang string")
+    model = langid.fit(frame)
+    tables = {x: model.blocks[0][:, i].astype(float) for i, x in enumerate(model.names)}
+    for i, text, _ in mixed + rows[:10]:
+        found = langid.infer(model, [(np.frombuffer(text.encode(), np.uint8), np.array([0, len(text.encode())]))])
+        want = plain_mixture(tables, text)
+        got = {model.names[j]: s for j, s in enumerate(found.share[0]) if s > 0}
+        assert got.keys() == {x for x, s in want.items() if s > 0} and all(abs(got[x] - s) < 1e-4 for x, s in want.items() if s > 0), i
+
+
+def test_three_hundred_languages_are_learnt(spark):
+    rows, say = language_rows(300, 4)
+    mixed = (9000, say("x007", 60) + " " + say("x290", 60), None)
+    frame = spark.createDataFrame([*rows, mixed], "doc_id long, text string, lang string").repartition(4)
+    assert len(langid.fit(frame.select("doc_id", "text", "lang")).blocks) == 5
+    got = {r.doc_id: r for r in langid.identify(frame).collect()}
+    right = [got[i].lang_pred == x for i, _, x in rows]
+    assert np.mean(right) > 0.97 and {x.lang for x in got[9000].languages} == {"x007", "x290"}
+    assert np.mean([r for r, (i, _, _) in zip(right, rows) if got[i].held_out]) > 0.9
+
+
+def test_long_texts_are_judged_whole_in_pieces(spark, monkeypatch):
+    rows, say = language_rows(3, 30)
+    long_ = say("x000", 9000) + " " + say("x001", 9000)
+    frame = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = langid.fit(frame)
+    data = np.frombuffer((long_ + "é" * 50_000).encode(), np.uint8)
+    pieces = langid._pieces(data, 10_000)
+    assert b"".join(p.tobytes() for p in pieces) == data.tobytes() and max(map(len, pieces)) <= 10_000
+    data = data[: len(long_)]
+    whole = langid.infer(model, [(data, np.array([0, len(data)]))])
+    parts = langid.infer(model, [(p, np.array([0, len(p)])) for p in langid._pieces(data, 10_000)])
+    assert np.allclose(whole.share, parts.share, atol=1e-6) and np.allclose(whole.gain, parts.gain) and (whole.share[0, :2] > 0.4).all()
+
+
+def test_documents_of_several_languages_stay(spark):
+    rows, say = language_rows(4, 30)
+    extra = [(900, " ".join(say(f"x00{k}", 30) for k in range(3)), None), (901, "日本語の文章" * 30, None), (902, "12 34", "x000"), (903, None, "x000"), (904, say("x001", 3), None)]
+    frame = spark.createDataFrame(rows + extra + extra[:1], "doc_id long, text string, lang string")
+    kept = collections.Counter(r.doc_id for r in langid.keep_identified(frame).collect())
+    assert kept == collections.Counter([i for i, *_ in rows] + [900, 900, 904])
+    unlabelled = frame.withColumn("lang", F.lit(None).cast("string"))
+    assert {r.doc_id for r in langid.keep_identified(unlabelled).collect()} == {i for i, *_ in rows} | {900, 901, 904}
+    assert langid.keep_identified(frame.limit(0)).count() == 0
+
+
+def test_held_out_accuracy_on_documents(spark):
+    import pathlib
+
+    folder = "/root/testdata/sf0.01/documents.parquet"
+    if not pathlib.Path(folder).exists():
+        pytest.skip("no test data")
+    docs = spark.read.parquet(folder)
+    found = langid.identify(docs).alias("p").join(docs.select("doc_id", "lang").where("lang is not null").alias("d"), "doc_id").where("held_out and lang_pred != 'und'")
+    right, n = found.agg(F.sum((F.col("lang") == F.col("lang_pred")).cast("int")), F.count(F.lit(1))).first()
+    assert n > 50 and right / n > 0.9
