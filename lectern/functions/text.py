@@ -202,11 +202,36 @@ def arrow_udf(f: Callable, kind: T.DataType | str) -> Callable[..., Column]:
 
 
 _SPANS = T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())]))
-normalize_name_col = arrow_udf(normalize_name, "string")
-comparison_key_col = arrow_udf(comparison_key, "string")
-ocr_key_col = arrow_udf(ocr_key, "string")
-letters_signature_col = arrow_udf(letters_signature, "string")
-ocr_signature_col = arrow_udf(ocr_signature, "string")
+
+
+def _ascii_first(built_in: Callable[[Column], Column], udf: Callable[[Column], Column]) -> Callable[[Column | str], Column]:
+    """Built-in functions for ASCII text, which is normal and has no diacritics; only other texts reach Python."""
+
+    def call(column: Column | str) -> Column:
+        column = F.col(column) if isinstance(column, str) else column
+        other = F.rlike(column, F.lit(r"[^\x00-\x7F]"))
+        return F.when(other, udf(F.when(other, column))).otherwise(built_in(column))
+
+    return call
+
+
+def _ascii_name(column: Column) -> Column:
+    return F.trim(F.regexp_replace(F.lower(column), r"[\x09-\x0D\x1C-\x20]+", " "))
+
+
+def _ascii_key(column: Column) -> Column:
+    return F.regexp_replace(F.lower(column), "[^a-z0-9]+", "")
+
+
+def _ascii_confused(column: Column) -> Column:
+    return F.replace(F.translate(_ascii_key(column), "l10", "iio"), F.lit("rn"), F.lit("m"))
+
+
+normalize_name_col = _ascii_first(_ascii_name, arrow_udf(normalize_name, "string"))
+comparison_key_col = _ascii_first(_ascii_key, arrow_udf(comparison_key, "string"))
+ocr_key_col = _ascii_first(_ascii_confused, arrow_udf(ocr_key, "string"))
+letters_signature_col = _ascii_first(_ascii_key, arrow_udf(letters_signature, "string"))
+ocr_signature_col = _ascii_first(_ascii_confused, arrow_udf(ocr_signature, "string"))
 search_tokens_col = arrow_udf(search_tokens, T.ArrayType(T.StringType()))
 without_tables_col = arrow_udf(without_tables, "string")
 masked_tables_col = arrow_udf(masked_tables, "string")

@@ -92,6 +92,13 @@ def run_summary(runs: DataFrame) -> DataFrame:
     return runs.groupBy(*config).agg(F.count(F.lit(1)).alias("runs"), F.avg("seconds").alias("mean"), F.stddev_samp("seconds").alias("deviation"), (F.sum("articles") / F.sum("seconds")).alias("articles_a_second"))
 
 
+def throughput(runs: DataFrame, config: list[str]) -> DataFrame:
+    """By configuration: runs, documents and tokens a second over all of them, and the best run's documents a second.
+    ``runs`` has documents, tokens and seconds; runs that took no time count for nothing."""
+    timed = runs.where("seconds > 0")
+    return timed.groupBy(*config).agg(F.count(F.lit(1)).alias("runs"), (F.sum("documents") / F.sum("seconds")).alias("documents_a_second"), (F.sum("tokens") / F.sum("seconds")).alias("tokens_a_second"), F.max(F.col("documents") / F.col("seconds")).alias("best"))
+
+
 def report_page(articles: DataFrame, left: DataFrame, right: DataFrame, labels: list[str], limit: int = 40) -> str:
     """An HTML page of the articles with most disagreements, both predictions marked."""
     worst = disagreements(left, right, labels).orderBy(F.desc(F.col("only_left") + F.col("only_right")), "article_id").limit(limit)

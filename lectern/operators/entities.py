@@ -10,7 +10,7 @@ from collections.abc import Callable, Iterator
 from dataclasses import astuple, dataclass
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lectern.functions.text import arrow_udf, comparison_key_col, letters_signature, letters_signature_col, normalize_name, normalize_name_col, ocr_key_col, ocr_signature, ocr_signature_col
@@ -111,8 +111,9 @@ def prefixed(names: DataFrame, prefix: str, limit: int) -> DataFrame:
 def search(names: DataFrame, query: str, limit: int = 100) -> DataFrame:
     """Names near the query: by edit distance, then count, then name; ``x*`` takes names that begin so.
 
-    Names of another first letter or a very different length aren't compared. The order is this
-    library's own; a native speller's distances differ.
+    A distance of a quarter of the query's length is the most, and a length that differs by more can't be
+    within it, so that all other names are compared. The order is this library's own; a native speller's
+    distances differ.
     """
     prefix = query.endswith("*")
     wanted = normalize_name(query.removesuffix("*"))
@@ -123,7 +124,7 @@ def search(names: DataFrame, query: str, limit: int = 100) -> DataFrame:
         near = names.where(key.startswith(wanted)).withColumn("distance", F.lit(0))
     else:
         most = max(1, len(wanted) // 4)
-        close = names.where(F.length(key).between(len(wanted) - most, len(wanted) + most) & (F.substring(key, 1, 1) == wanted[0]))
+        close = names.where(F.length(key).between(len(wanted) - most, len(wanted) + most))
         near = close.withColumn("distance", F.levenshtein(key, F.lit(wanted), most)).where("distance >= 0")
     return near.orderBy("distance", F.desc("article_count"), "normalized_name").limit(limit)
 
@@ -205,6 +206,76 @@ def literal_matches(texts: DataFrame, text_col: str, names: list[str]) -> DataFr
     return texts.mapInPandas(count, ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in kept) + ", name string, matches long")
 
 
-def resolve_redirects(groups: DataFrame, redirects: DataFrame) -> DataFrame:
-    """Each group's canonical id: redirects are flat, so one step leads there."""
-    return groups.join(redirects.select(F.col("old").alias("group_id"), F.col("new")), "group_id", "left").select("group_id", F.coalesce("new", "group_id").alias("canonical_id"))
+#: Redirects that are followed before a chain counts as a cycle.
+MOST_REDIRECTS = 100
+
+
+def resolve_redirects(groups: DataFrame, redirects: DataFrame, path: str) -> DataFrame:
+    """Each group's canonical id, at the end of its chain of redirects; null if the chain leads round in a
+    circle or is longer than ``MOST_REDIRECTS``.
+
+    Each round follows twice as many redirects as the one before, and is written below ``path``, as it reads
+    the last one twice. An id is redirected once at most.
+    """
+    spark = groups.sparkSession
+    ends = redirects.select("old", F.col("new").alias("at"), F.lit(1).alias("hops"))
+    for k in range(MOST_REDIRECTS.bit_length()):
+        ends.write.mode("overwrite").parquet(f"{path}/{k}")
+        ends = spark.read.schema(ends.schema).parquet(f"{path}/{k}")
+        following = ends.select(F.col("old").alias("at"), F.col("at").alias("further"), F.col("hops").alias("more"))
+        joined = ends.join(following, "at", "left")
+        if joined.where("further is not null").isEmpty():
+            break
+        ends = joined.select("old", F.coalesce("further", "at").alias("at"), (F.col("hops") + F.coalesce("more", F.lit(0))).alias("hops"))
+    open_ = redirects.select(F.col("old").alias("at"), F.lit(True).alias("goes_on"))
+    found = ends.join(open_, "at", "left").select(F.col("old").alias("group_id"), F.when(F.col("goes_on").isNull() & (F.col("hops") <= MOST_REDIRECTS), F.col("at")).alias("canonical_id"), F.lit(True).alias("moved"))
+    return groups.join(found, "group_id", "left").select("group_id", F.when(F.col("moved"), F.col("canonical_id")).otherwise(F.col("group_id")).alias("canonical_id"))
+
+
+def discover(names: DataFrame, groups: DataFrame, members: DataFrame, query: str, limit: int = 100) -> DataFrame:
+    """Names and reviewed groups for a query: name, group_id, matched_name, article_count, distance, place.
+
+    Groups whose preferred name is the query (or, with an asterisk, begins with it) come first; if there are
+    any, only names that match in the same way follow, else near ones as in ``search``. A name in a group
+    stands for the group, which is listed once, under its preferred name, where it is met first.
+    ``groups`` has (group_id, preferred, article_count), the count null while it isn't known.
+    """
+    prefix = query.endswith("*")
+    wanted = normalize_name(query.removesuffix("*"))
+    if not 3 <= len(wanted) <= 200 or any(c in wanted for c in "*?[]"):
+        raise ValueError("a query has 3 to 200 characters and may end with one asterisk")
+    like = (lambda c: c.startswith(wanted)) if prefix else (lambda c: c == wanted)
+    keyed = groups.select("group_id", "preferred", F.col("article_count").alias("group_count"), normalize_name_col(F.col("preferred")).alias("preferred_key"))
+    preferred = keyed.where(like(F.col("preferred_key"))).orderBy("preferred_key", "group_id").limit(limit)
+    if preferred.isEmpty():
+        raw = search(names, query, limit)
+    else:
+        raw = names.where(like(F.col("normalized_name"))).withColumn("distance", F.lit(0)).orderBy("normalized_name").limit(limit)
+    blank = lambda kind: F.lit(None).cast(kind)
+    text = names.schema["normalized_name"].dataType
+    own = preferred.select(F.lit(0).alias("tier"), F.lit(0).alias("distance"), blank("long").alias("count"), F.col("preferred_key").alias("key"), blank(text).alias("matched"), "group_id")
+    near = raw.select(F.lit(1).alias("tier"), "distance", F.col("article_count").alias("count"), F.col("normalized_name").alias("key"), F.col("normalized_name").alias("matched"))
+    near = near.join(members.select(F.col("name").alias("matched"), "group_id"), "matched", "left").select(*own.columns)
+    # At most two pages of rows are left, so that one window over them is small.
+    order = ["tier", "distance", F.desc_nulls_last("count"), "key", "group_id"]
+    rows = own.unionByName(near).withColumn("met", F.row_number().over(Window.orderBy(*order)))
+    alone = F.coalesce(F.col("group_id").cast("string"), F.concat(F.lit("name:"), "matched"))
+    first = rows.withColumn("turn", F.row_number().over(Window.partitionBy(alone).orderBy("met"))).where("turn = 1")
+    shown = first.join(keyed.select("group_id", "preferred", "group_count"), "group_id", "left")
+    in_group = F.col("group_id").isNotNull()
+    out = shown.select(F.when(in_group, F.col("preferred")).otherwise(F.col("matched")).alias("name"), "group_id", F.when(in_group, F.col("matched")).alias("matched_name"), F.when(in_group, F.col("group_count")).otherwise(F.col("count")).alias("article_count"), "distance", "met")
+    return out.withColumn("place", F.row_number().over(Window.orderBy("met"))).drop("met").where(F.col("place") <= limit)
+
+
+def frontier(names: DataFrame, grouped: DataFrame, queue: DataFrame, limit: int = 1) -> DataFrame:
+    """The most frequent names that are queued and in no group, ties by name."""
+    free = names.join(queue.where("state = 'queued'").select("normalized_name"), "normalized_name", "left_semi").join(grouped.select("normalized_name"), "normalized_name", "left_anti")
+    return free.orderBy(F.desc("article_count"), "normalized_name").limit(limit)
+
+
+def missing_memberships(expected: DataFrame, names: DataFrame, members: DataFrame) -> DataFrame:
+    """Expected (normalized_name, article_id) pairs that a dictionary lacks, and whether it lacks the name too."""
+    known = names.select("normalized_name", F.lit(True).alias("known"))
+    held = members.select("normalized_name", "article_id", F.lit(True).alias("held"))
+    joined = expected.select("normalized_name", "article_id").distinct().join(known, "normalized_name", "left").join(held, ["normalized_name", "article_id"], "left")
+    return joined.where("held is null").select("normalized_name", "article_id", F.col("known").isNull().alias("name_missing"))

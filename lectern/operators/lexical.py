@@ -182,6 +182,10 @@ def parse(text: str) -> Query:
 # the index
 
 
+#: Columns of an index's postings, and what a folder must hold to be one.
+POSTINGS = ("term", "doc_id", "size", "title_at", "text_at", "segment")
+
+
 @dataclass
 class Index:
     """``postings``: term, doc_id, size, title_at, text_at. ``rows`` and ``tokens`` count all documents
@@ -205,19 +209,65 @@ def postings(tokens: DataFrame) -> DataFrame:
     return rows.groupBy("term", "doc_id", "size").agg(at(0).alias("title_at"), at(1).alias("text_at"))
 
 
-def build_index(docs: DataFrame, path: str, id_col: str = "doc_id", title_col: str | None = "title", text_col: str = "text", buckets: int = 64) -> Index:
+def build_index(docs: DataFrame, path: str, id_col: str = "doc_id", title_col: str | None = "title", text_col: str = "text", buckets: int = 64, tokens=search_tokens_col) -> Index:
     """Writes postings sorted by term, so that a query's files are few, and reads them back."""
-    tokens = tokenized(docs, id_col, title_col, text_col)
-    rows = postings(tokens)
-    rows.repartitionByRange(buckets, "term", "doc_id").sortWithinPartitions("term", "doc_id").write.mode("overwrite").parquet(f"{path}/postings")
-    sizes = tokens.select((F.size("title_tokens") + F.size("text_tokens")).alias("n"))
-    sizes.agg(F.count(F.lit(1)).alias("rows"), F.coalesce(F.sum("n"), F.lit(0)).alias("tokens")).coalesce(1).write.mode("overwrite").parquet(f"{path}/stats")
-    return open_index(docs.sparkSession, path)
+    spark = docs.sparkSession
+    docs.limit(0).select(F.col(id_col).alias("doc_id"), F.lit(0).alias("segment")).write.mode("overwrite").parquet(f"{path}/dropped")
+    _write_segment(docs, path, 0, id_col, title_col, text_col, tokens, buckets, "overwrite")
+    return open_index(spark, path)
+
+
+def _write_segment(docs: DataFrame, path: str, segment: int, id_col: str, title_col: str | None, text_col: str, tokens, buckets: int, mode: str) -> None:
+    split = tokenized(docs, id_col, title_col, text_col, tokens)
+    # Documents first: postings whose documents aren't listed belong to a run that was cut off, and don't count.
+    rows = postings(split).select("term", "doc_id", "size", "title_at", "text_at", F.lit(segment).alias("segment"))
+    rows.repartitionByRange(buckets, "term", "doc_id").sortWithinPartitions("term", "doc_id").write.mode(mode).parquet(f"{path}/postings")
+    split.select("doc_id", (F.size("title_tokens") + F.size("text_tokens")).alias("size"), F.lit(segment).alias("segment")).write.mode(mode).parquet(f"{path}/documents")
 
 
 def open_index(spark, path: str) -> Index:
-    stats = spark.read.parquet(f"{path}/stats").first()
-    return Index(spark.read.parquet(f"{path}/postings"), stats["rows"], stats["tokens"])
+    """The index at ``path`` with its segments; an error if its tables aren't those of an index."""
+    rows, documents, dropped = (spark.read.parquet(f"{path}/{t}") for t in ("postings", "documents", "dropped"))
+    if tuple(rows.columns) != POSTINGS or tuple(documents.columns) != ("doc_id", "size", "segment"):
+        raise ValueError(f"{path} doesn't hold an index of this library")
+    last = dropped.groupBy("doc_id").agg(F.max("segment").alias("dead"))
+    if not dropped.isEmpty():
+        alive = lambda df: df.join(last, "doc_id", "left").where("dead is null or segment > dead").drop("dead")
+        rows, documents = alive(rows), alive(documents)
+    known = documents.select("segment").distinct()
+    stats = documents.agg(F.count(F.lit(1)).alias("rows"), F.coalesce(F.sum("size"), F.lit(0)).alias("tokens")).first()
+    return Index(rows.join(F.broadcast(known), "segment", "left_semi").drop("segment"), stats["rows"], stats["tokens"])
+
+
+def _next_segment(spark, path: str) -> int:
+    found = spark.read.parquet(f"{path}/postings").agg(F.max("segment")).first()[0]
+    dropped = spark.read.parquet(f"{path}/dropped").agg(F.max("segment")).first()[0]
+    return 1 + max(-1 if found is None else found, -1 if dropped is None else dropped)
+
+
+def append_index(docs: DataFrame, path: str, id_col: str = "doc_id", title_col: str | None = "title", text_col: str = "text", tokens=search_tokens_col, buckets: int = 8) -> int:
+    """Adds the documents that the index lacks as a segment of its own; how many these are. The same call again
+    adds none, and one that was cut off leaves postings that no document of theirs brings to life."""
+    spark = docs.sparkSession
+    have = spark.read.parquet(f"{path}/documents").join(spark.read.parquet(f"{path}/dropped").groupBy("doc_id").agg(F.max("segment").alias("dead")), "doc_id", "left").where("dead is null or segment > dead")
+    new = docs.join(have.select(F.col("doc_id").alias(id_col)), id_col, "left_anti")
+    count = new.count()
+    if count:
+        _write_segment(new, path, _next_segment(spark, path), id_col, title_col, text_col, tokens, buckets, "append")
+    return count
+
+
+def repair_index(docs: DataFrame, path: str, id_col: str = "doc_id", title_col: str | None = "title", text_col: str = "text", tokens=search_tokens_col, buckets: int = 8) -> None:
+    """Puts the documents' present texts in the place of what the index holds of them."""
+    spark = docs.sparkSession
+    segment = _next_segment(spark, path)
+    docs.select(F.col(id_col).alias("doc_id"), F.lit(segment).alias("segment")).distinct().write.mode("append").parquet(f"{path}/dropped")
+    append_index(docs, path, id_col, title_col, text_col, tokens, buckets)
+
+
+def drop_from_index(spark, path: str, ids: DataFrame) -> None:
+    """Takes documents (doc_id) out of the index."""
+    ids.select("doc_id", F.lit(_next_segment(spark, path)).alias("segment")).distinct().write.mode("append").parquet(f"{path}/dropped")
 
 
 @dataclass
@@ -400,13 +450,20 @@ def fuse(surface: DataFrame, lemma: DataFrame, limit: int, offset: int = 0, lemm
     return top(both.select("doc_id", total.alias("score")), limit, offset)
 
 
+#: Letters, digits, blanks, marks without a meaning, plain classes, groups, alternatives and counted repeats: what
+#: Python's and Java's dialects read alike. Possessive and lazy repeats and all escapes are left to Python.
+_ALIKE = re.compile(r"(?:[A-Za-z0-9 ,;:_=!@#%~'\"<>/-]|\[\^?[A-Za-z0-9 _]+(?:-[A-Za-z0-9 _]+)*\]|\((?!\?)|\)|\||(?:[+*?]|\{\d+(?:,\d*)?\})(?![+*?{]))*")
+
+
 def regex_search(docs: DataFrame, pattern: str, limit: int, ignore_case: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The first ``limit`` documents by id that match, with where the match begins and score 1. Python's
-    dialect decides; only texts are searched, not titles."""
+    dialect decides, in Python workers where Java's may differ; only texts are searched, not titles."""
     try:
         compiled = re.compile(pattern, re.IGNORECASE if ignore_case else 0)
     except re.error as e:
         raise QueryError(str(e)) from None
+    if not ignore_case and _ALIKE.fullmatch(pattern) and not compiled.match(""):
+        return regex_search_builtin(docs, pattern, limit, id_col, text_col)
 
     def first(frames):
         for frame in frames:

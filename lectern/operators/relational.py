@@ -181,3 +181,35 @@ def fingerprint(rows: DataFrame, *columns: str) -> DataFrame:
     text = F.to_json(F.struct(*columns), {"ignoreNullFields": "false"})
     part = lambda k: F.conv(F.substring(F.sha2(text.cast("binary"), 256), 1 + 15 * k, 15), 16, 10).cast("decimal(38,0)")
     return rows.select(part(0).alias("a"), part(1).alias("b")).agg(F.count(F.lit(1)).alias("rows"), F.sum("a").cast("string").alias("low"), F.sum("b").cast("string").alias("high"))
+
+
+def ordered_fingerprint(rows: DataFrame, key: str, columns: list[str], block: int = 1000) -> DataFrame:
+    """One row: rows, and a digest that depends on their order by a whole-number key. Rows of a block of keys are
+    digested in order, then the blocks' digests are, so that no task holds more than a block of rows and a list
+    of digests, one for each ``block`` keys."""
+    text = F.array_join(F.array(*[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in [key, *columns]]), "\x1f")
+    own = rows.select(F.floor(F.col(key) / block).alias("block"), F.col(key).alias("key"), F.sha2(text.cast("binary"), 256).alias("h"))
+    joined = lambda c, by: F.sha2(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct(by, c))), lambda x: x[c]), "").cast("binary"), 256)
+    blocks = own.groupBy("block").agg(joined("h", "key").alias("h"), F.count(F.lit(1)).alias("n"))
+    return blocks.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("rows"), joined("h", "block").alias("digest"))
+
+
+def coverage_all(base: DataFrame, tables: dict[str, DataFrame], on: str) -> DataFrame:
+    """By key of ``base``, once, whether each of the tables has it: one left join a table, of keys alone."""
+    out = base.select(on).distinct()
+    for name, table in tables.items():
+        out = out.join(table.select(on).distinct().withColumn(name, F.lit(True)), on, "left")
+    return out.select(on, *[F.coalesce(name, F.lit(False)).alias(name) for name in tables])
+
+
+def apply_staged(rows: DataFrame, staged: DataFrame, on: str, columns: list[str]) -> DataFrame:
+    """Rows with the staged values of ``columns`` where there are any; others stay. A staged key that comes twice, or
+    that no row has, is an error, as it would change rows that weren't meant or none."""
+    twice = staged.groupBy(on).count().where("count > 1").select(F.lit("twice").alias("problem"))
+    stray = staged.join(rows, on, "left_anti").select(F.lit("unknown").alias("problem"))
+    found = twice.union(stray).groupBy("problem").count().collect()
+    if found:
+        raise ValueError("staged keys: " + ", ".join(f"{r['problem']} {r['count']}" for r in found))
+    new = staged.select(on, F.lit(True).alias("__staged"), *[F.col(c).alias(f"__{c}") for c in columns])
+    joined = rows.join(new, on, "left")
+    return joined.select(*[F.when(F.col("__staged"), F.col(f"__{c}")).otherwise(F.col(c)).alias(c) if c in columns else F.col(c) for c in rows.columns])

@@ -7,30 +7,36 @@ import json
 
 import numpy as np
 import pandas as pd
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
-def pack_requests(rows: DataFrame, id_col: str, text_col: str, inputs: int, max_bytes: int) -> DataFrame:
-    """(id, request, place): running counts and sizes that start anew when either bound would be passed.
-    Each task packs its own rows, in order; a text above the bound is a request of its own."""
-    kind = rows.schema[id_col].dataType.simpleString()
+def pack_requests(rows: DataFrame, id_col: str, text_col: str, inputs: int, max_bytes: int, block: int = 10_000) -> DataFrame:
+    """(id, request, place): running counts and sizes, in order of a whole-number id, that start anew when either
+    bound would be passed and with each ``block`` of ids; a text above the bound is a request of its own.
+
+    A request's number is its block's and its place there, so that the same rows always make the same
+    requests, however they are split. Sizes travel, texts don't.
+    """
+    sized = rows.select(F.col(id_col).alias("id"), F.octet_length(F.coalesce(text_col, F.lit(""))).cast("long").alias("n"), F.floor(F.col(id_col) / block).cast("long").alias("block"))
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
     def run(frames):
-        request, count, size = TaskContext.get().partitionId() << 32, 0, 0
+        at, request, count, size = None, 0, 0, 0
         for frame in frames:
             out = []
-            for key, text in zip(frame[id_col], frame[text_col]):
-                n = len((text or "").encode())
+            for key, n, own in zip(frame["id"], frame["n"], frame["block"]):
+                if own != at:
+                    at, request, count, size = own, own << 20, 0, 0
                 if count and (count == inputs or size + n > max_bytes):
                     request, count, size = request + 1, 0, 0
                 out.append((key, request, count))
                 count, size = count + 1, size + n
             yield pd.DataFrame(out, columns=[id_col, "request", "place"])
 
-    return rows.select(id_col, text_col).mapInPandas(run, f"{id_col} {kind}, request long, place int")
+    kind = rows.schema[id_col].dataType.simpleString()
+    return sized.repartition(parts, "block").sortWithinPartitions("block", "id").mapInPandas(run, f"{id_col} {kind}, request long, place int")
 
 
 def request_lines(rows: DataFrame, packed: DataFrame, id_col: str, text_col: str, model: str, dimensions: int | None = None) -> DataFrame:

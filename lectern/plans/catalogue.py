@@ -7,39 +7,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lectern.functions.names import chunk_path
 from lectern.functions.text import ascii_tokens, first_sentences, plain_text, stable_id
-from lectern.operators import chunking, entities, lexical, relational, snippets, vectors
-from lectern.plans.scratch import scratch_dir, spread
-
-Query = Callable[[SparkSession, str], DataFrame]
-QUERIES: dict[str, Query] = {}
-SQL: dict[str, str] = {}
-
-
-def query(sql: str | None = None, *names: str) -> Callable[[Query], Query]:
-    def register(f: Query) -> Query:
-        QUERIES[f.__name__] = f
-        if sql:
-            SQL[f.__name__] = sql
-        return f
-
-    return register
-
-
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def texts(spark: SparkSession, sf_dir: str, name: str = "documents") -> DataFrame:
-    """A table whose rows take long."""
-    return spread(table(spark, sf_dir, name))
-
+from lectern.operators import alignment, chunking, entities, lexical, relational, requests, shards, snippets, vectors
+from lectern.plans import catalogue_archive, catalogue_text  # noqa: F401 - they register their queries
+from lectern.plans.registry import QUERIES, SQL, once, query, table, texts  # noqa: F401
+from lectern.plans.scratch import scratch_dir
 
 # ranked search
 
@@ -55,8 +31,9 @@ def _bm25_sql(terms: list[str], where: str, extra: str = "", limit: str = "LIMIT
     return f"WITH {_TOK}, hits AS (SELECT *, {counts} FROM documents_tokens), dfs AS (SELECT {dfs} FROM hits) SELECT doc_id, round({score}, 6) AS score FROM hits, dfs, stats WHERE ({where}) {extra} ORDER BY score DESC, doc_id {limit}"
 
 
-def _index(docs: DataFrame) -> lexical.Scan:
-    return lexical.scan(docs, tokens=ascii_tokens)
+def _index(spark, d) -> lexical.Index:
+    """The documents' index, built once for all queries of a session."""
+    return once(spark, d, "surface index", lambda: lexical.build_index(texts(spark, d), scratch_dir(spark, "surface-index"), title_col=None, tokens=ascii_tokens))
 
 
 def _scored(scores: DataFrame) -> DataFrame:
@@ -67,55 +44,61 @@ def _page(scores: DataFrame, limit: int = 10) -> DataFrame:
     return lexical.top(_scored(scores), limit)
 
 
+@query(_bm25_sql(["t = 'queen'"], "n0 > 0"))
+def bm25_scan(spark, d):
+    """The same without an index."""
+    return _page(lexical.bm25(lexical.scan(texts(spark, d), tokens=ascii_tokens), "queen"))
+
+
 @query(_bm25_sql(["t = 'queen'"], "n0 > 0"))
 def bm25_topk(spark, d):
-    return _page(lexical.bm25(_index(texts(spark, d)), "queen"))
+    return _page(lexical.bm25(_index(spark, d), "queen"))
 
 
 @query(_bm25_sql(["t = 'the'", "t = 'from'"], "n0 > 0 AND n1 > 0"))
 def bm25_and(spark, d):
-    return _page(lexical.bm25(_index(texts(spark, d)), "the from"))
+    return _page(lexical.bm25(_index(spark, d), "the from"))
 
 
 @query(_bm25_sql(["t = 'queen'", "t = 'from'"], "n0 > 0 OR n1 > 0"))
 def bm25_or(spark, d):
-    return _page(lexical.bm25(_index(texts(spark, d)), "queen OR from"))
+    return _page(lexical.bm25(_index(spark, d), "queen OR from"))
 
 
 @query(f"WITH {_TOK}, hits AS (SELECT *, len(list_filter(w, lambda t: t = 'the')) AS n0, len(list_filter(w, lambda t: t = 'from')) AS n1 FROM documents_tokens), dfs AS (SELECT count(*) FILTER (n0 > 0) AS d0 FROM hits) SELECT doc_id, round((CASE WHEN ln((n - d0 + 0.5) / (d0 + 0.5)) > 0 THEN ln((n - d0 + 0.5) / (d0 + 0.5)) ELSE 1e-6 END) * n0 * 2.2 / (n0 + 1.2 * (0.25 + 0.75 * len(w) / a)), 6) AS score FROM hits, dfs, stats WHERE n0 > 0 AND n1 = 0 ORDER BY score DESC, doc_id LIMIT 10")
 def bm25_not(spark, d):
-    return _page(lexical.bm25(_index(texts(spark, d)), "the NOT from"))
+    return _page(lexical.bm25(_index(spark, d), "the NOT from"))
 
 
 @query(_bm25_sql(["starts_with(t, 'que')"], "n0 > 0"))
 def bm25_prefix(spark, d):
-    return _page(lexical.bm25(_index(texts(spark, d)), "que*"))
+    return _page(lexical.bm25(_index(spark, d), "que*"))
 
 
 @query(f"WITH {_TOK}, hits AS (SELECT *, len(list_filter(generate_series(1, len(w) - 1), lambda i: w[i] = 'and' AND w[i + 1] = 'the')) AS n0 FROM documents_tokens), dfs AS (SELECT count(*) FILTER (n0 > 0) AS d0 FROM hits) SELECT doc_id, round((CASE WHEN ln((n - d0 + 0.5) / (d0 + 0.5)) > 0 THEN ln((n - d0 + 0.5) / (d0 + 0.5)) ELSE 1e-6 END) * n0 * 2.2 / (n0 + 1.2 * (0.25 + 0.75 * len(w) / a)), 6) AS score FROM hits, dfs, stats WHERE n0 > 0 ORDER BY score DESC, doc_id LIMIT 10")
 def bm25_phrase(spark, d):
-    return _page(lexical.bm25(_index(texts(spark, d)), '"and the"'))
+    return _page(lexical.bm25(_index(spark, d), '"and the"'))
 
 
 @query(_bm25_sql(["t = 'from'"], "n0 > 0", "AND doc_id IN (SELECT doc_id FROM documents WHERE source = 'src3')"))
 def bm25_scoped(spark, d):
     docs = texts(spark, d)
     inside = docs.where(relational.in_scope("src3", title="lang", date="lang")).select("doc_id")
-    return _page(lexical.bm25(_index(docs), "from").join(inside, "doc_id", "left_semi"))
+    return _page(lexical.bm25(_index(spark, d), "from").join(inside, "doc_id", "left_semi"))
 
 
 @query(f"""WITH a AS ({_bm25_sql(["t = 'from'"], "n0 > 0", limit="LIMIT 50")}),
 b AS ({_bm25_sql(["starts_with(t, 'from')"], "n0 > 0", limit="LIMIT 50")})
 SELECT doc_id, round(coalesce(a.score, 0) + 0.5 * coalesce(b.score, 0), 6) AS score FROM a FULL JOIN b USING (doc_id) ORDER BY score DESC, doc_id LIMIT 10""")
 def bm25_combined_fusion(spark, d):
-    index = _index(texts(spark, d))
+    index = _index(spark, d)
     return _scored(lexical.fuse(_scored(lexical.bm25(index, "from")), _scored(lexical.bm25(index, "from*")), 10, lemma_weight=0.5))
 
 
 @query("SELECT doc_id, strlen(regexp_extract(text, '(?s)^(.*?)[0-9]{3,}', 1))::BIGINT AS bytes_before, 1.0::DOUBLE AS score FROM documents WHERE regexp_matches(text, '[0-9]{3,}') ORDER BY doc_id LIMIT 20")
 def regex_search(spark, d):
     docs = table(spark, d, "documents")
-    found = lexical.regex_search_builtin(docs, "[0-9]{3,}", 20)
+    found = lexical.regex_search(docs, "[0-9]{3,}", 20)
     return found.join(docs, "doc_id").select("doc_id", F.octet_length(F.substring("text", F.lit(1), F.col("focus").cast("int"))).cast("long").alias("bytes_before"), "score")
 
 
@@ -126,11 +109,33 @@ def snippet_focus(spark, d):
     return docs.where("p is not null").select("doc_id", F.col("p").cast("long").alias("focus"), shown.alias("snippet"))
 
 
-@query()
+@query("""WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+f AS (SELECT *, coalesce(least(nullif(instr(replace(lower(t), 'ß', 'ss'), 'from'), 0), nullif(instr(replace(lower(t), 'ß', 'ss'), 'the'), 0)) - 1, 0)::INT AS focus FROM d),
+c AS (SELECT *, least(greatest(0, least(focus, length(t) - 1) - 106), length(t) - 320) AS lo FROM f),
+x AS (SELECT *, length(t) <= 320 AS whole, lo + 320 AS hi, substr(t, lo + 1, 320) AS cut FROM c)
+SELECT doc_id, focus,
+  CASE WHEN whole THEN rtrim(t, chr(10) || chr(13)) ELSE (CASE WHEN lo > 0 THEN '…' || substr(cut, 2) ELSE cut END)[1:319] || (CASE WHEN hi < length(t) THEN '…' ELSE cut[320] END) END AS text,
+  CASE WHEN whole THEN 1 ELSE length(substr(t, 1, lo)) - length(replace(substr(t, 1, lo), chr(10), '')) + 1 END::INT AS line_start,
+  CASE WHEN whole THEN length(t) - length(replace(t, chr(10), '')) + 1 ELSE length(substr(t, 1, hi - 1)) - length(replace(substr(t, 1, hi - 1), chr(10), '')) + 1 END::INT AS line_end
+FROM x""")
 def snippet_trimmed(spark, d):
-    docs = table(spark, d, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    docs = texts(spark, d).select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     at = snippets.focus_udf(F.lit(""), F.col("text"), F.lit(0), F.length("text"), F.lit("from the"))
-    return docs.select("doc_id", at.alias("focus"), snippets.position_col(F.col("text"), at, F.lit(240)).alias("position"), snippets.trim_span_col(F.col("text"), F.lit(1), F.lit(1_000_000), at, F.lit(320)).alias("s")).select("doc_id", "focus", "position", "s.*")
+    return docs.select("doc_id", at.alias("focus"), snippets.trim_span_col(F.col("text"), F.lit(1), F.lit(1_000_000), at, F.lit(320)).alias("s")).select("doc_id", "focus", "s.*")
+
+
+_CUT = "CASE WHEN length({0}) <= 60 THEN length({0}) WHEN instr(reverse(replace(substr({0}, 1, 60), chr(9), ' ')), ' ') BETWEEN 1 AND 59 THEN 61 - instr(reverse(replace(substr({0}, 1, 60), chr(9), ' ')), ' ') ELSE 60 END"
+
+
+@query(f"""WITH RECURSIVE d AS (SELECT doc_id, text AS t, length(text) // 2 AS spot FROM documents WHERE text <> ''),
+l AS (SELECT doc_id, length(substr(t, 1, spot)) - length(replace(substr(t, 1, spot), chr(10), '')) + 1 AS line, CASE WHEN contains(substr(t, 1, spot), chr(10)) THEN instr(reverse(substr(t, 1, spot)), chr(10)) - 1 ELSE spot END AS inside, t, spot FROM d),
+w AS (SELECT doc_id, line, inside, rtrim(split_part(substr(t, spot - inside + 1), chr(10), 1), chr(13)) AS rest FROM l),
+walk AS (SELECT doc_id, line, inside, rest, 1 AS section, {_CUT.format('rest')} AS cut FROM w
+  UNION ALL SELECT doc_id, line, inside - cut, r, section + 1, {_CUT.format('r')} FROM (SELECT *, substr(rest, cut + 1) AS r FROM walk) x WHERE inside >= cut AND r <> '')
+SELECT doc_id, line || '.' || max(section) AS position FROM walk GROUP BY doc_id, line""")
+def wrapped_position(spark, d):
+    docs = texts(spark, d).where("text != ''")
+    return docs.select("doc_id", snippets.position_col(F.col("text"), F.floor(F.length("text") / 2).cast("int"), F.lit(60)).alias("position"))
 
 
 # articles: duplicates, validity, coverage
@@ -199,9 +204,29 @@ def set_equality_audit(spark, d):
     return relational.set_difference(table(spark, d, "orders"), lines, "o_orderkey")
 
 
-@query("WITH a AS (SELECT DISTINCT doc_id FROM documents WHERE doc_id % 7 < 5), b AS (SELECT DISTINCT doc_id FROM labels) SELECT coalesce(a.doc_id, b.doc_id) AS doc_id, CASE WHEN a.doc_id IS NULL THEN 'right' ELSE 'left' END AS side FROM a FULL JOIN b ON a.doc_id = b.doc_id WHERE a.doc_id IS NULL OR b.doc_id IS NULL")
+@query("WITH a AS (SELECT DISTINCT vec_id FROM embeddings), b AS (SELECT DISTINCT doc_id AS vec_id FROM labels) SELECT coalesce(a.vec_id, b.vec_id) AS vec_id, CASE WHEN a.vec_id IS NULL THEN 'right' ELSE 'left' END AS side FROM a FULL JOIN b ON a.vec_id = b.vec_id WHERE a.vec_id IS NULL OR b.vec_id IS NULL")
 def orphan_keys(spark, d):
-    return relational.orphans(table(spark, d, "documents").where("doc_id % 7 < 5"), table(spark, d, "labels"), "doc_id")
+    """Labels cover some documents, and vectors others."""
+    return relational.orphans(table(spark, d, "embeddings"), table(spark, d, "labels").select(F.col("doc_id").alias("vec_id")), "vec_id")
+
+
+@query("SELECT o_orderkey, true AS any_line, bool_or(l_returnflag = 'R') AS returned, bool_or(l_linestatus = 'F') AS finished, bool_or(l_tax > 0.07) AS taxed, bool_or(l_quantity > 45) AS large, bool_or(l_discount > 0.09) AS reduced FROM orders JOIN lineitem ON l_orderkey = o_orderkey GROUP BY 1 UNION ALL SELECT o_orderkey, false, false, false, false, false, false FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem)")
+def coverage_tables(spark, d):
+    lines = table(spark, d, "lineitem").withColumnRenamed("l_orderkey", "o_orderkey")
+    kinds = {"any_line": "true", "returned": "l_returnflag = 'R'", "finished": "l_linestatus = 'F'", "taxed": "l_tax > 0.07", "large": "l_quantity > 45", "reduced": "l_discount > 0.09"}
+    return relational.coverage_all(table(spark, d, "orders"), {k: lines.where(v) for k, v in kinds.items()}, "o_orderkey")
+
+
+@query("SELECT c.c_custkey, c.c_name, coalesce(s.bal, c.c_acctbal) AS c_acctbal, coalesce(s.seg, c.c_mktsegment) AS c_mktsegment FROM customer c LEFT JOIN (SELECT o_custkey, round(sum(o_totalprice), 2) AS bal, min(o_orderpriority) AS seg FROM orders GROUP BY 1 HAVING count(*) > 9) s ON c.c_custkey = s.o_custkey")
+def staged_update(spark, d):
+    staged = table(spark, d, "orders").groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.round(F.sum("o_totalprice"), 2).alias("c_acctbal"), F.min("o_orderpriority").alias("c_mktsegment"), F.count(F.lit(1)).alias("n")).where("n > 9").drop("n")
+    rows = table(spark, d, "customer").select("c_custkey", "c_name", "c_acctbal", "c_mktsegment")
+    return relational.apply_staged(rows, staged.join(rows, "c_custkey", "left_semi"), "c_custkey", ["c_acctbal", "c_mktsegment"])
+
+
+@query("WITH h AS (SELECT doc_id // 100 AS block, doc_id, sha256(array_to_string([doc_id::VARCHAR, coalesce(source, ''), coalesce(text, '')], chr(31))) AS h FROM documents), b AS (SELECT block, count(*) AS n, sha256(string_agg(h, '' ORDER BY doc_id)) AS h FROM h GROUP BY 1) SELECT sum(n)::BIGINT AS rows, sha256(string_agg(h, '' ORDER BY block)) AS digest FROM b")
+def ordered_fingerprint(spark, d):
+    return relational.ordered_fingerprint(table(spark, d, "documents"), "doc_id", ["source", "text"], 100)
 
 
 @query("WITH s AS (SELECT o.o_orderkey, count(l.l_orderkey) AS articles, count(*) FILTER (l.l_returnflag = 'R') AS stored, count(*) FILTER (l.l_linestatus = 'F') AS indexed FROM orders o LEFT JOIN lineitem l ON o.o_orderkey = l.l_orderkey GROUP BY 1) SELECT count(*) AS issues, sum(articles)::BIGINT AS articles, sum(stored)::BIGINT AS stored, sum(indexed)::BIGINT AS indexed, sum(articles - indexed)::BIGINT AS pending FROM s")
@@ -369,15 +394,6 @@ def lead_sentences(spark, d):
     return table(spark, d, "documents").select("doc_id", first_sentences(F.coalesce("text", F.lit("")), 2).alias("lead"))
 
 
-@query("SELECT page_id, coalesce(html, '') || chr(10) || 'after' AS text FROM pages WHERE NOT regexp_matches(lower(coalesce(html, '')), '<\\s*/?\\s*table')")
-def table_exclusion(spark, d):
-    from lectern.functions.text import without_tables_col
-
-    pages = table(spark, d, "pages").where(~F.rlike(F.lower(F.coalesce("html", F.lit(""))), F.lit(r"<\s*/?\s*table")))
-    wrapped = F.concat(F.coalesce("html", F.lit("")), F.lit("<TABLE a='b'><tr><td><table>x</table></td></tr></TABLE>after"))
-    return pages.select("page_id", without_tables_col(wrapped).alias("text"))
-
-
 # vectors
 
 _COSINE = "q AS (SELECT embedding::DOUBLE[] AS e FROM embeddings WHERE vec_id = 0), s AS (SELECT vec_id, label, list_dot_product(embedding::DOUBLE[], e) / sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[])) / sqrt(list_dot_product(e, e)) AS x FROM embeddings, q)"
@@ -431,6 +447,28 @@ def vector_truncated(spark, d):
     return table(spark, d, "embeddings").select("vec_id", v.alias("v")).select("vec_id", F.round(vectors.dot(F.col("v"), F.col("v")), 6).alias("length"), F.round(F.element_at("v", 1), 6).alias("first"))
 
 
+@query("SELECT vec_id // 100 AS shard, min(vec_id) AS first_vector, count(*) AS vectors, sha256(string_agg('c' || vec_id, ',' ORDER BY vec_id)) AS ids_sha256 FROM embeddings GROUP BY 1")
+def shard_ledger(spark, d):
+    rows = table(spark, d, "embeddings").select(F.floor(F.col("vec_id") / 100).alias("shard"), F.col("vec_id").alias("vector_id"), F.concat(F.lit("c"), "vec_id").alias("chunk_id"))
+    return shards.ledger(rows)
+
+
+@query("""WITH v AS (SELECT vec_id AS vector_id, 'c' || (vec_id - vec_id % 7 // 6) AS chunk_id FROM embeddings), c AS (SELECT 'c' || doc_id AS chunk_id FROM documents), n AS (SELECT count(*) AS n FROM v)
+SELECT 'vector ids outside 0..n-1' AS "check", count(*) FILTER (vector_id < 0 OR vector_id >= n) AS problems FROM v, n UNION ALL SELECT 'vector ids used twice', count(*) FROM (SELECT vector_id FROM v GROUP BY 1 HAVING count(*) > 1) UNION ALL SELECT 'chunks with two vectors', count(*) FROM (SELECT chunk_id FROM v GROUP BY 1 HAVING count(*) > 1)
+UNION ALL SELECT 'chunks without a vector', count(*) FROM c WHERE chunk_id NOT IN (SELECT chunk_id FROM v) UNION ALL SELECT 'vectors without a chunk', count(*) FROM v WHERE chunk_id NOT IN (SELECT chunk_id FROM c)""")
+def vector_id_proof(spark, d):
+    v = F.col("vec_id")
+    rows = table(spark, d, "embeddings").select(v.alias("vector_id"), F.concat(F.lit("c"), (v - F.floor((v % 7) / 6)).cast("string")).alias("chunk_id"))
+    return shards.id_proof(rows, table(spark, d, "documents").select(F.concat(F.lit("c"), "doc_id").alias("chunk_id")))
+
+
+@query("SELECT vec_id, 4 * len(embedding)::INT AS bytes, embedding[1] AS first, embedding[len(embedding)] AS last FROM embeddings")
+def blob_vectors(spark, d):
+    """Vectors to bytes and back."""
+    blobs = table(spark, d, "embeddings").select("vec_id", vectors.encode(F.col("embedding")).alias("blob"))
+    return blobs.select("vec_id", F.octet_length("blob").alias("bytes"), vectors.decode_float32(F.col("blob")).alias("v")).select("vec_id", "bytes", F.element_at("v", 1).alias("first"), F.element_at("v", -1).alias("last"))
+
+
 @query()
 def vector_cells(spark, d):
     rows = table(spark, d, "embeddings")
@@ -489,11 +527,87 @@ def group_articles(spark, d):
     return entities.group_articles(_members(spark, d)[1], ["Red Widget", "Blue bolt", "small ring"])
 
 
-@query(f"WITH {_MENTIONS}, c AS (SELECT normalized_name, count(*) AS article_count FROM n GROUP BY 1) SELECT normalized_name, article_count, levenshtein(normalized_name, 'red widgat')::INT AS distance FROM c WHERE length(normalized_name) BETWEEN 8 AND 12 AND normalized_name[1] = 'r' AND levenshtein(normalized_name, 'red widgat') <= 2 ORDER BY distance, article_count DESC, normalized_name LIMIT 100")
+@query(f"WITH {_MENTIONS}, c AS (SELECT normalized_name, count(*) AS article_count FROM n GROUP BY 1) SELECT normalized_name, article_count, levenshtein(normalized_name, 'red widgat')::INT AS distance FROM c WHERE length(normalized_name) BETWEEN 8 AND 12 AND levenshtein(normalized_name, 'red widgat') <= 2 ORDER BY distance, article_count DESC, normalized_name LIMIT 100")
 def fuzzy_names(spark, d):
     return entities.search(_members(spark, d)[0], "Red widgat").select("normalized_name", "article_count", "distance")
 
 
+@query(f"WITH {_MENTIONS} SELECT lower(text) AS normalized_name, arg_min(text, struct_pack(a := article_id, b := entity_index)) AS name FROM m GROUP BY 1")
+def name_spellings(spark, d):
+    return _members(spark, d)[0].select("normalized_name", "name")
+
+
+@query(f"WITH {_MENTIONS}, e AS (SELECT DISTINCT lower(p_name) AS normalized_name, p_partkey + 1 AS article_id FROM part UNION SELECT 'no such name', 5) SELECT e.*, normalized_name NOT IN (SELECT normalized_name FROM n) AS name_missing FROM e WHERE (normalized_name, article_id) NOT IN (SELECT (normalized_name, article_id) FROM n)")
+def missing_memberships(spark, d):
+    expected = table(spark, d, "part").select(F.lower("p_name").alias("normalized_name"), (F.col("p_partkey") + 1).alias("article_id")).union(spark.createDataFrame([("no such name", 5)], "n string, a long"))
+    return entities.missing_memberships(expected, *_members(spark, d))
+
+
+_GROUPS = "g AS (SELECT p_size AS group_id, CASE WHEN p_size = 7 THEN 'Red Widgets' WHEN p_size % 2 = 0 THEN min(p_name) ELSE upper(min(p_name)) || ' & CO' END AS preferred, CASE WHEN p_size % 3 > 0 THEN count(*) END AS article_count FROM part GROUP BY 1), mb AS (SELECT lower(p_name) AS name, min(p_size) AS group_id FROM part WHERE p_size > 20 GROUP BY 1)"
+
+
+def _discovery_sql(wanted: str, prefix: bool, most: int) -> str:
+    like = f"starts_with({{}}, '{wanted}')" if prefix else f"{{}} = '{wanted}'"
+    near = f"length(normalized_name) BETWEEN {len(wanted) - most} AND {len(wanted) + most} AND levenshtein(normalized_name, '{wanted}') <= {most}"
+    return f"""WITH {_MENTIONS}, c AS (SELECT normalized_name, count(*) AS article_count FROM n GROUP BY 1), {_GROUPS},
+own AS (SELECT 0 AS tier, 0 AS distance, NULL::BIGINT AS cnt, lower(preferred) AS key, NULL::VARCHAR AS matched, group_id FROM g WHERE {like.format('lower(preferred)')} ORDER BY 4, 6 LIMIT 100),
+lit AS (SELECT normalized_name, article_count, 0 AS distance FROM c WHERE {like.format('normalized_name')} AND EXISTS (SELECT 1 FROM own) ORDER BY 1 LIMIT 100),
+fuzzy AS (SELECT normalized_name, article_count, {f"0" if prefix else f"levenshtein(normalized_name, '{wanted}')"} AS distance FROM c WHERE {like.format('normalized_name') if prefix else near} AND NOT EXISTS (SELECT 1 FROM own) ORDER BY distance, article_count DESC, normalized_name LIMIT 100),
+r AS (SELECT * FROM own UNION ALL SELECT 1, distance, article_count, normalized_name, normalized_name, mb.group_id FROM (SELECT * FROM lit UNION ALL SELECT * FROM fuzzy) x LEFT JOIN mb ON mb.name = x.normalized_name),
+m2 AS (SELECT *, row_number() OVER (ORDER BY tier, distance, cnt DESC NULLS LAST, key, group_id) AS met FROM r),
+t AS (SELECT *, row_number() OVER (PARTITION BY coalesce(group_id::VARCHAR, 'name:' || matched) ORDER BY met) AS turn FROM m2)
+SELECT CASE WHEN t.group_id IS NOT NULL THEN preferred ELSE matched END AS name, t.group_id, CASE WHEN t.group_id IS NOT NULL THEN matched END AS matched_name, CASE WHEN t.group_id IS NOT NULL THEN article_count ELSE cnt END AS article_count, distance::INT AS distance, (row_number() OVER (ORDER BY met))::INT AS place FROM t LEFT JOIN g ON g.group_id = t.group_id WHERE turn = 1 QUALIFY place <= 100"""
+
+
+def _discovered(spark, d, wanted: str) -> DataFrame:
+    parts = table(spark, d, "part")
+    size, least = F.col("p_size"), F.min("p_name")
+    preferred = F.when(size == 7, "Red Widgets").when(size % 2 == 0, least).otherwise(F.concat(F.upper(least), F.lit(" & CO")))
+    groups = parts.groupBy("p_size").agg(preferred.alias("preferred"), F.when(size % 3 > 0, F.count(F.lit(1))).alias("article_count")).withColumnRenamed("p_size", "group_id")
+    members = parts.where("p_size > 20").groupBy(F.lower("p_name").alias("name")).agg(F.min("p_size").alias("group_id"))
+    return entities.discover(_members(spark, d)[0], groups, members, wanted)
+
+
+@query(_discovery_sql("red widgets", False, 2))
+def curated_discovery(spark, d):
+    """A preferred name, in the place of near ones."""
+    return _discovered(spark, d, "Red  widgets")
+
+
+@query(_discovery_sql("blue", True, 0))
+def curated_discovery_prefix(spark, d):
+    return _discovered(spark, d, "Blue*")
+
+
+@query(_discovery_sql("rad widgit", False, 2))
+def curated_discovery_near(spark, d):
+    """No preferred name is near enough: names by distance, those in groups as their groups."""
+    return _discovered(spark, d, "rad widgit")
+
+
+@query(f"WITH {_MENTIONS}, c AS (SELECT normalized_name, count(*) AS article_count FROM n GROUP BY 1), {_GROUPS} SELECT normalized_name, article_count FROM c WHERE normalized_name NOT IN (SELECT name FROM mb) AND normalized_name LIKE '%b%' ORDER BY article_count DESC, normalized_name LIMIT 8")
+def discovery_frontier(spark, d):
+    names = _members(spark, d)[0].select("normalized_name", "article_count")
+    grouped = table(spark, d, "part").where("p_size > 20").select(F.lower("p_name").alias("normalized_name")).distinct()
+    queue = names.select("normalized_name", F.when(F.contains("normalized_name", F.lit("b")), "queued").otherwise("done").alias("state"))
+    return entities.frontier(names, grouped, queue, 8)
+
+
+_LETTERS = "l AS (SELECT name, cnt, regexp_replace(name, '[^a-z0-9]+', '', 'g') AS letters, replace(translate(regexp_replace(name, '[^a-z0-9]+', '', 'g'), 'l10', 'iio'), 'rn', 'm') AS sig FROM x)"
+
+
+@query(f"""WITH x AS (SELECT lower(p_name) AS name, count(*) * 10 AS cnt FROM part GROUP BY 1 UNION ALL SELECT DISTINCT replace(lower(p_name), ' ', '-'), 2 FROM part UNION ALL SELECT DISTINCT replace(lower(p_name), 'l', '1') || ' x', 1 FROM part UNION ALL SELECT DISTINCT lower(p_name) || ' x', 60 FROM part), {_LETTERS},
+e AS (SELECT letters, min(name) AS a FROM l WHERE length(letters) >= 4 GROUP BY 1 HAVING count(*) > 1),
+top AS (SELECT sig, arg_max(struct_pack(name, letters, cnt), struct_pack(cnt, name)) AS t FROM l WHERE length(letters) >= 8 GROUP BY 1)
+SELECT DISTINCT a, b FROM (SELECT e.a, l.name AS b FROM l JOIN e USING (letters) WHERE l.name <> e.a
+UNION ALL SELECT least(l.name, t.name), greatest(l.name, t.name) FROM l JOIN top USING (sig) WHERE length(l.letters) >= 8 AND t.cnt >= 10 AND l.letters <> t.letters AND l.letters[1] = t.letters[1] AND t.cnt >= 5 * greatest(1, l.cnt))""")
+def ocr_policy_pairs(spark, d):
+    own = table(spark, d, "part").groupBy(F.lower("p_name").alias("n")).agg((F.count(F.lit(1)) * 10).alias("c"))
+    other = [own.select(F.replace("n", F.lit(" "), F.lit("-")), F.lit(2).cast("long")).distinct(), own.select(F.concat(F.replace("n", F.lit("l"), F.lit("1")), F.lit(" x")), F.lit(1).cast("long")).distinct(), own.select(F.concat("n", F.lit(" x")), F.lit(60).cast("long")).distinct()]
+    names = own.union(other[0]).union(other[1]).union(other[2]).toDF("normalized_name", "article_count")
+    return entities.policy_pairs(names)
+
+
 @query("SELECT key, count(*) AS names, min(p_name) AS first_name FROM (SELECT p_name, translate(replace(regexp_replace(lower(p_name), '[^a-z0-9]+', '', 'g'), 'rn', 'm'), 'l10', 'iio') AS key FROM part) GROUP BY 1")
 def ocr_key_groups(spark, d):
     from lectern.functions.text import ocr_key_col
@@ -506,17 +620,41 @@ def evidence_spread(spark, d):
     return relational.spread(table(spark, d, "part").select("p_brand", "p_type", "p_size", "p_partkey"), "p_brand", ["p_type"], ["p_size", "p_partkey"], 3)
 
 
-@query("SELECT p_brand, max_by(p_name, struct_pack(a := p_retailprice, b := p_partkey)) AS representative FROM part GROUP BY 1")
+@query("WITH c AS (SELECT p_brand, p_name, count(*) AS n FROM part GROUP BY 1, 2) SELECT p_brand, arg_min(p_name, struct_pack(a := -n, b := p_name)) AS representative FROM c GROUP BY 1")
 def representatives(spark, d):
-    return table(spark, d, "part").groupBy("p_brand").agg(F.max_by("p_name", F.struct("p_retailprice", "p_partkey")).alias("representative"))
+    counts = table(spark, d, "part").groupBy("p_brand", "p_name").agg(F.count(F.lit(1)).alias("n"))
+    return relational.first_of_group(counts, "p_brand", F.desc("n"), "p_name").select("p_brand", F.col("p_name").alias("representative"))
 
 
 # statistics and samples
 
 
-@query("SELECT l_returnflag, l_linestatus, count(*) AS runs, round(avg(l_extendedprice), 4) AS mean, round(stddev_samp(l_extendedprice), 4) AS deviation, max(l_quantity) AS most FROM lineitem GROUP BY 1, 2")
+@query("SELECT l_returnflag, l_linestatus, count(*) AS runs, round(avg(l_quantity), 6) AS mean, round(stddev_samp(l_quantity), 6) AS deviation, round(sum(l_linenumber) / sum(l_quantity), 9) AS articles_a_second FROM lineitem GROUP BY 1, 2")
 def stats_by_config(spark, d):
-    return table(spark, d, "lineitem").groupBy("l_returnflag", "l_linestatus").agg(F.count(F.lit(1)).alias("runs"), F.round(F.avg("l_extendedprice"), 4).alias("mean"), F.round(F.stddev_samp("l_extendedprice"), 4).alias("deviation"), F.max("l_quantity").alias("most"))
+    runs = table(spark, d, "lineitem").select("l_returnflag", "l_linestatus", F.col("l_quantity").alias("seconds"), F.col("l_linenumber").alias("articles"))
+    return alignment.run_summary(runs).select("l_returnflag", "l_linestatus", "runs", F.round("mean", 6).alias("mean"), F.round("deviation", 6).alias("deviation"), F.round("articles_a_second", 9).alias("articles_a_second"))
+
+
+@query("SELECT event_type, count(*) AS runs, round(sum(user_id) / sum(value), 6) AS documents_a_second, round(sum(event_id) / sum(value), 6) AS tokens_a_second, round(max(user_id / value), 6) AS best FROM events WHERE value > 0 GROUP BY 1")
+def run_throughput(spark, d):
+    runs = table(spark, d, "events").select("event_type", F.col("user_id").alias("documents"), F.col("event_id").alias("tokens"), F.col("value").alias("seconds"))
+    found = alignment.throughput(runs, ["event_type"])
+    return found.select("event_type", "runs", *[F.round(c, 6).alias(c) for c in ("documents_a_second", "tokens_a_second", "best")])
+
+
+@query("SELECT user_id AS job_id, count(*) AS items, count(*) FILTER (event_type = 'purchase') AS completed, count(*) FILTER (event_type = 'error') AS failed, bool_and(event_type IN ('purchase', 'error', 'view')) AS terminal FROM events GROUP BY 1")
+def job_status(spark, d):
+    kind = F.col("event_type")
+    items = table(spark, d, "events").select(F.col("user_id").alias("job_id"), F.when(kind == "purchase", "completed").when(kind == "error", "failed").when(kind == "view", "expired").otherwise("running").alias("status"))
+    return requests.job_status(items)
+
+
+@query("WITH a AS (SELECT DISTINCT p_partkey AS article_id, p_size AS s, p_size + 3 AS e, p_type AS label FROM part WHERE p_type IN ('ECONOMY', 'SMALL')), b AS (SELECT DISTINCT p_partkey AS article_id, p_size + p_partkey % 2 AS s, p_size + 3 AS e, CASE WHEN p_partkey % 5 = 0 THEN 'SMALL' ELSE p_type END AS label FROM part), c AS (SELECT * FROM b WHERE label IN ('ECONOMY', 'SMALL')), l AS (SELECT article_id, count(*) AS n FROM (SELECT * FROM a EXCEPT SELECT * FROM c) GROUP BY 1), r AS (SELECT article_id, count(*) AS n FROM (SELECT * FROM c EXCEPT SELECT * FROM a) GROUP BY 1) SELECT coalesce(l.article_id, r.article_id) AS article_id, coalesce(l.n, 0) AS only_left, coalesce(r.n, 0) AS only_right FROM l FULL JOIN r ON l.article_id = r.article_id")
+def disagreement_report(spark, d):
+    parts = table(spark, d, "part")
+    left = parts.select(F.col("p_partkey").alias("article_id"), F.col("p_size").alias("char_start"), (F.col("p_size") + 3).alias("char_end"), F.col("p_type").alias("label"))
+    right = parts.select(F.col("p_partkey").alias("article_id"), (F.col("p_size") + F.col("p_partkey") % 2).cast("int").alias("char_start"), (F.col("p_size") + 3).alias("char_end"), F.when(F.col("p_partkey") % 5 == 0, "SMALL").otherwise(F.col("p_type")).alias("label"))
+    return alignment.disagreements(left, right, ["ECONOMY", "SMALL"])
 
 
 @query("SELECT lang, CASE WHEN length(text) < 1000 THEN '<1k' WHEN length(text) < 5000 THEN '1k-5k' ELSE '>=5k' END AS bucket, count(*) AS documents FROM documents GROUP BY 1, 2")
@@ -548,11 +686,16 @@ def rejected_pairs(spark, d):
     return a.join(b, "group_id").where("a < b and ka + kb > 20").select("group_id", "a", "b")
 
 
-@query("SELECT s.s_suppkey, coalesce(n.n_nationkey, s.s_nationkey) AS canonical_id FROM supplier s LEFT JOIN (SELECT n_nationkey + 0 AS n_nationkey, n_nationkey AS old FROM nation WHERE n_regionkey > 2) n ON s.s_nationkey = n.old")
+_REDIRECTS = "r AS (SELECT n_nationkey AS old, CASE WHEN n_nationkey % 2 = 0 THEN n_nationkey - 3 ELSE n_nationkey - 1 END AS new FROM nation WHERE n_nationkey > 6 UNION ALL SELECT 5, 6 UNION ALL SELECT 6, 5)"
+
+
+@query(f"WITH RECURSIVE {_REDIRECTS}, walk AS (SELECT DISTINCT s_nationkey AS g, s_nationkey AS node, 0 AS hops FROM supplier UNION ALL SELECT g, r.new, hops + 1 FROM walk JOIN r ON node = r.old WHERE hops < 101), ends AS (SELECT g, arg_max(node, hops) AS node, max(hops) AS hops FROM walk GROUP BY g) SELECT s_suppkey, CASE WHEN hops <= 100 THEN node END AS canonical_id FROM supplier JOIN ends ON s_nationkey = g")
 def redirected_groups(spark, d):
-    redirects = table(spark, d, "nation").where("n_regionkey > 2").select(F.col("n_nationkey").alias("old"), F.col("n_nationkey").alias("new"))
+    """Chains of several redirects, some of which end in a circle of two."""
+    key = F.col("n_nationkey")
+    redirects = table(spark, d, "nation").where("n_nationkey > 6").select(key.alias("old"), F.when(key % 2 == 0, key - 3).otherwise(key - 1).alias("new")).union(spark.createDataFrame([(5, 6), (6, 5)], "old int, new int"))
     groups = table(spark, d, "supplier").select("s_suppkey", F.col("s_nationkey").alias("group_id"))
-    return groups.join(entities.resolve_redirects(groups.select("group_id").distinct(), redirects), "group_id").select("s_suppkey", "canonical_id")
+    return groups.join(entities.resolve_redirects(groups.select("group_id").distinct(), redirects, scratch_dir(spark, "redirects")), "group_id").select("s_suppkey", "canonical_id")
 
 
 @query("SELECT r.r_name, n.n_name, count(DISTINCT o.o_orderkey) AS issues, count(*) AS articles FROM lineitem l JOIN orders o ON l.l_orderkey = o.o_orderkey JOIN customer c ON o.o_custkey = c.c_custkey JOIN nation n ON c.c_nationkey = n.n_nationkey JOIN region r ON n.n_regionkey = r.r_regionkey WHERE l.l_returnflag = 'R' GROUP BY 1, 2")
@@ -594,11 +737,9 @@ def events_sessions(spark, d):
     return table(spark, d, "events").groupBy("user_id", F.session_window("ts", "2 hours").alias("w")).agg(F.count(F.lit(1)).alias("events")).select("user_id", F.col("w.start").alias("begins"), "events")
 
 
-@query()
+@query("""WITH RECURSIVE d AS (SELECT doc_id, doc_id // 500 AS block, strlen(coalesce(text, '')) AS n, row_number() OVER (PARTITION BY doc_id // 500 ORDER BY doc_id) AS i FROM documents),
+walk AS (SELECT doc_id, block, i, block * 1048576 AS request, 0 AS place, n AS size FROM d WHERE i = 1
+  UNION ALL SELECT d.doc_id, d.block, d.i, CASE WHEN w.place + 1 = 16 OR w.size + d.n > 60000 THEN w.request + 1 ELSE w.request END, CASE WHEN w.place + 1 = 16 OR w.size + d.n > 60000 THEN 0 ELSE w.place + 1 END, CASE WHEN w.place + 1 = 16 OR w.size + d.n > 60000 THEN d.n ELSE w.size + d.n END FROM walk w JOIN d ON d.block = w.block AND d.i = w.i + 1)
+SELECT doc_id, request::BIGINT AS request, place::INT AS place FROM walk""")
 def request_packing(spark, d):
-    from lectern.operators.requests import pack_requests
-
-    docs = table(spark, d, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    return pack_requests(docs, "doc_id", "text", 64, 200_000)
-
-
+    return requests.pack_requests(table(spark, d, "documents"), "doc_id", "text", 16, 60_000, 500)
