@@ -37,6 +37,8 @@ class StaleInput(ValueError):
 
 class Archive:
     def __init__(self, spark: SparkSession, root: str):
+        if "://" in root and not root.startswith("file:"):
+            raise ValueError("an archive's lock, epoch and pointer need a file system that all drivers mount, such as file:///shared")
         self.spark, self.root = spark, root.rstrip("/")
         self.local = Path(re.sub("^file:/*", "/", self.root))
 
