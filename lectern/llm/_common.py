@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
+import io
 import tempfile
 import uuid
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -46,10 +49,56 @@ def free_shuffles(spark: SparkSession) -> None:
 
 def drop_table(table: DataFrame) -> None:
     """Deletes the files behind a materialized table that nothing will read again."""
-    spark = table.sparkSession
     for folder in {f.rpartition("/")[0] for f in table.inputFiles()[:1]}:
-        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
-        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        drop_folder(table.sparkSession, folder)
+
+
+def drop_folder(spark: SparkSession, folder: str) -> None:
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def filesystem(path: str):
+    """(filesystem, path on it) of a URI or a plain path."""
+    from pyarrow import fs
+
+    if "://" not in path and not path.startswith("file:"):
+        return fs.LocalFileSystem(), path
+    if path.startswith("file:"):
+        return fs.LocalFileSystem(), "/" + path[5:].lstrip("/")
+    return fs.FileSystem.from_uri(path)
+
+
+def write_array(path: str, array: np.ndarray) -> str:
+    """Writes an array for all tasks to the shared folder; they read it with ``read_array``."""
+    files, own = filesystem(path)
+    files.create_dir(own.rpartition("/")[0], recursive=True)
+    held = io.BytesIO()
+    np.save(held, array)
+    with files.open_output_stream(own) as out:
+        out.write(held.getbuffer())
+    return path
+
+
+@lru_cache(maxsize=1)
+def read_array(path: str) -> np.ndarray:
+    """The array in the one copy that was read."""
+    files, own = filesystem(path)
+    with files.open_input_file(own) as source:
+        data = source.read_buffer()
+    head = io.BytesIO(data.slice(0, min(1024, data.size)).to_pybytes())
+    np.lib.format.read_magic(head)
+    shape, columns, dtype = np.lib.format.read_array_header_1_0(head)
+    return np.frombuffer(data, dtype, offset=head.tell()).reshape(shape, order="F" if columns else "C")
+
+
+def give_back() -> None:
+    """Returns memory that freed arrays have left to the system, which the C library would else keep for later."""
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except AttributeError:  # another C library
+        pass
+    pa.default_memory_pool().release_unused()
 
 
 def fresh(name: str, taken: list[str]) -> str:

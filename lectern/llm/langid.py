@@ -14,19 +14,16 @@ longer than a slice are read in pieces, again in each step.
 
 from __future__ import annotations
 
-import io
 import zlib
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lectern.llm._common import binary_texts, materialize, named, scratch_dir, text_slices
-from lectern.llm.warc import filesystem
+from lectern.llm._common import binary_texts, materialize, named, read_array, scratch_dir, text_slices, write_array
 
 #: Cells of a language's table of hashed n-grams.
 CELLS = 1 << 15
@@ -171,24 +168,7 @@ class Model:
 
     def block(self, i: int) -> np.ndarray:
         own = self.blocks[i]
-        return own if isinstance(own, np.ndarray) else _read_block(own)
-
-
-@lru_cache(maxsize=2)
-def _read_block(path: str) -> np.ndarray:
-    files, own = filesystem(path)
-    with files.open_input_file(own) as source:
-        return np.load(io.BytesIO(source.read()))
-
-
-def _write_block(spark: SparkSession, path: str, table: np.ndarray) -> str:
-    files, own = filesystem(path)
-    files.create_dir(own.rpartition("/")[0], recursive=True)
-    held = io.BytesIO()
-    np.save(held, table)
-    with files.open_output_stream(own) as out:
-        out.write(held.getvalue())
-    return path
+        return own if isinstance(own, np.ndarray) else read_array(own)
 
 
 def fit(docs: DataFrame, block: int = CANDIDATES) -> Model:
@@ -211,7 +191,7 @@ def fit(docs: DataFrame, block: int = CANDIDATES) -> Model:
         counts[found.column("cell").to_numpy() - a * CELLS] = found.column("n").to_numpy()
         counts = counts.reshape(own, CELLS)
         table = np.ascontiguousarray(np.log((counts + SMOOTHING) / (counts.sum(1, keepdims=True) + SMOOTHING * CELLS)).T, np.float32)
-        model.blocks.append(table if len(blocks) == 1 else _write_block(docs.sparkSession, f"{folder}/{a // block:06d}.npy", table))
+        model.blocks.append(table if len(blocks) == 1 else write_array(f"{folder}/{a // block:06d}.npy", table))
     return model
 
 

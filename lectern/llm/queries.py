@@ -1,4 +1,7 @@
-"""The registered queries of the training-data operators, with their SQL where SQL can express them."""
+"""The registered queries of the training-data operators, with their SQL where SQL can express them.
+
+Each reads the named columns of its table alone, so that others may have any names, but for op7, which returns all.
+"""
 
 from __future__ import annotations
 
@@ -24,43 +27,63 @@ def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op1_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts without their repeats of 200 bytes. Null texts are empty; texts shorter than 200 bytes keep all; repeated rows
+    remove each other's bytes, and each gets its row; long texts are one block each; no rows give none."""
     return repeats.remove_repeats(_documents(spark, sf_dir))
 
 
 def op2_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints and components. Null texts and those without words share fingerprint zero; repeated rows get a row each;
+    a null id never names a component that has another; long texts are read whole; no rows give none."""
     return simhash.near_duplicates(_documents(spark, sf_dir))
 
 
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Predicted languages. Null texts and those without a letter are ``und`` with score 0; ties go to the first name; repeated
+    rows are judged alike; long texts are read in pieces; without a labelled row all are ``und``; no rows give none."""
     return langid.identify(_documents(spark, sf_dir)).drop("languages")
 
 
 def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records read back. A null html is an empty payload; a page without an id revisits the smallest id of its payload;
+    repeated rows with the smallest id are all responses; a long page is one record; no pages give no archive and no rows."""
     found = warc.round_trip(spread(spark.read.parquet(f"{sf_dir}/pages.parquet")))
     return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
 def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Spans by document. Null texts are empty and have none; repeated rows are scanned once and all get the spans; matches at
+    one place come in the order of the kinds; long texts take time in proportion; no rows give none."""
     return secrets.scan_documents(_documents(spark, sf_dir))
 
 
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups of equal texts. Null texts are equal to empty ones; ties don't arise, as the smallest id stays and repeated rows
+    with it all say so; a null id never is the smallest; long texts are compared in full; no rows give none."""
     return exact_dedup.exact_groups(_documents(spark, sf_dir))
 
 
 def op7_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows replicated to the sources' shares. Texts aren't looked at; null sources are a source; null ids are drawn as one
+    text; repeated rows get the same count each; columns of the input stay; no rows give none."""
     return mixing.mix(_documents(spark, sf_dir))
 
 
 def op8_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores by document. Null and empty texts are their end alone; repeated rows count as often as they come; long texts are
+    read in pieces that know the words before them; with no training text all words are unknown; no rows give none."""
     return lm.score(_documents(spark, sf_dir))
 
 
 def op9_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Neighbours by query. Vectors that are null, zero or hold null or non-finite components take no part; of rows that share
+    an id the least vector does; ties go to the smaller id; fewer candidates than 20 all come; no rows give none."""
     return ann.search(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
 
 
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pieces by sequence. Null and empty texts are their end id alone; repeated rows are packed each on their own; ties go to the
+    sequence opened first; long texts fill sequences of their own; no rows give none."""
     columns = [c for c in packing.SCHEMA.replace(",", "").split()[::2] if not c.startswith("sequence_tokens") and c != "sequence_cost"]
     return packing.pack(_documents(spark, sf_dir), *tokenizer_files()).select(*columns)
 

@@ -338,7 +338,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     the kept bytes.
 
     A null text is empty; ids may be null or repeat, and rows with equal texts remove each other's bytes,
-    none of them excepted. A text shorter than ``length`` keeps all bytes. Other columns aren't read.
+    none of them excepted. A text shorter than ``length`` keeps all bytes. Texts that are longer than a slice are read
+    in slices, one after the other. No rows give none; other columns aren't read.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     blocks = materialize(rows.mapInArrow(_blocks, _BLOCK), "repeat-blocks")

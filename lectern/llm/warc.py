@@ -19,24 +19,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lectern.llm._common import materialize, scratch_dir
+from lectern.llm._common import filesystem, materialize, scratch_dir
 
 VERSION = b"WARC/1.1"
 READ_BYTES = 1 << 16
 _DATE = "1970-01-01T00:00:00Z"
 
 
-def filesystem(path: str):
-    """(filesystem, path on it) of a URI or a plain path."""
-    from pyarrow import fs
-
-    if "://" not in path and not path.startswith("file:"):
-        return fs.LocalFileSystem(), path
-    if path.startswith("file:"):
-        return fs.LocalFileSystem(), "/" + path[5:].lstrip("/")
-    return fs.FileSystem.from_uri(path)
-
-
 def base32(hex_digest: str) -> str:
     return base64.b32encode(bytes.fromhex(hex_digest)).decode()
 
@@ -134,7 +123,8 @@ def write_archives(pages: DataFrame, folder: str, id_col: str = "page_id", url_c
 
     Of equal payloads with ``revisit_min_bytes`` bytes or more the smallest id is the response and others
     revisit it. A null html is empty; a page without an id revisits the smallest id, if there is one; repeated rows
-    with the smallest id are all responses. The join on digests may be split where one payload is common.
+    with the smallest id are all responses. A long page is one record. No pages give no archive; columns that aren't
+    named aren't read, so that they may have any names. The join on digests may be split where one payload is common.
     """
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), F.coalesce(F.col(html_col), F.lit("")).cast("binary").alias("payload"))
     keyed = rows.withColumn("sha256", F.unhex(F.sha2("payload", 256))).withColumn("size", F.octet_length("payload").cast("long"))
