@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lectern.functions.text import ascii_tokens
-from lectern.operators import chunking, lexical, snippets
+from lectern.operators import chunking, entities, lexical, relational, snippets
+from lectern.plans import baseline, models
 from lectern.plans.engine import Engine
 from lectern.plans.ledger import Archive
 from lectern.plans.registry import once, query, table, texts
@@ -182,3 +183,59 @@ def archive_issues(spark, d):
     return rows.select("newspaper_id", "content_sha256", "source", "date", F.element_at("identifiers", 1).alias("identifier"))
 
 
+
+
+_CHECKS = {
+    "issues": ("issues that differ from their digest", "identifiers of two issues"),
+    "articles": ("articles without an issue", "articles that their issue doesn''t give", "articles that are missing", "articles that differ from their span"),
+    "chunks": ("chunks without an article", "chunks out of order", "chunk ids used twice"),
+    "lexical": ("articles that aren''t indexed", "indexed documents without an article", "documents indexed twice", "documents of another length"),
+    "vectors": ("vector ids outside 0..n-1", "vector ids used twice", "chunks with two vectors", "chunks without a vector", "vectors without a chunk", "vectors of another dimension", "vectors that aren''t at length 1", "vectors of another text"),
+    "mentions": ("articles that weren''t looked at", "completions without an article", "completions of another text", "completions of another number", "mentions without a completion", "mentions that aren''t in the text", "labels that are blank or scores that aren''t finite"),
+    "dictionary": ("memberships that are missing", "memberships without a mention", "memberships of another place or text", "names that are missing", "names without a mention", "names of another count"),
+}
+_ROWS = ", ".join(f"('{stage}', '{check}')" for stage, checks in _CHECKS.items() for check in checks)
+
+
+def _stages(spark, d) -> tuple:
+    """Index, vectors, mentions and dictionary of the archive, with articles under numbers as ids."""
+
+    def make() -> tuple:
+        archive = _archive(spark, d)
+        articles = archive.read("articles", chunking.ARTICLES).withColumn("is_valid", F.lit(1))
+        chunks = archive.read("chunks", chunking.CHUNKS)
+        path = scratch_dir(spark, "stages")
+        lexical.build_index(articles, f"{path}/index", "article_id", "title", "content")
+        relational.global_rank(articles.select("article_id", "content", "is_valid"), [F.col("article_id")], f"{path}/article_ranks").select(F.col("rank").alias("article_id"), "content", "is_valid").write.parquet(f"{path}/articles")
+        numbered = spark.read.parquet(f"{path}/articles")
+        entities.extract(numbered).write.parquet(f"{path}/mentions")
+        mentions = spark.read.parquet(f"{path}/mentions")
+        embedded = models.embed(chunks.select("chunk_id", "text")).where("is_valid = 1").join(chunks.select("chunk_id", baseline.content_digest("text").alias("text_sha256")), "chunk_id")
+        ranked = relational.global_rank(embedded, [F.col("chunk_id")], f"{path}/vectors")
+        vectors = ranked.select((F.col("rank") - 1).alias("vector_id"), "chunk_id", "text_sha256", "embedding")
+        return archive, articles, numbered, chunks, spark.read.parquet(f"{path}/index/documents"), mentions, entities.completions(numbered, mentions), vectors
+
+    return once(spark, d, "stages", make)
+
+
+@query(f"SELECT *, 0::BIGINT AS problems FROM (VALUES {_ROWS}) v(stage, \"check\")")
+def stage_audits(spark, d):
+    """All seven stages, none of which has a problem."""
+    archive, articles, numbered, chunks, documents, mentions, done, vectors = _stages(spark, d)
+    names, members = entities.dictionary(mentions, done)
+    out = baseline.audit_corpus(archive)
+    for audit in (baseline.audit_lexical(documents, articles), baseline.audit_vectors(vectors, chunks, 256), baseline.audit_mentions(mentions, done, numbered), baseline.audit_dictionary(names, members, mentions, done)):
+        out = out.unionByName(audit)
+    return out
+
+
+@query(f"""WITH {_MARKDOWN}, {_ARTICLES}, r AS (SELECT content, row_number() OVER (ORDER BY article_id) AS id FROM b)
+SELECT 'completions of another text' AS "check", count(*) FILTER (id % 7 = 0) AS problems FROM r UNION ALL SELECT 'articles that aren''t indexed', count(*) FILTER (id % 5 = 0) FROM r""")
+def stage_audits_of_changed_texts(spark, d):
+    """What the audits say when some articles' texts have changed, and some aren't indexed."""
+    archive, articles, numbered, chunks, documents, mentions, done, vectors = _stages(spark, d)
+    changed = numbered.withColumn("content", F.when(F.col("article_id") % 7 == 0, F.concat("content", F.lit(" "))).otherwise(F.col("content")))
+    ranked = numbered.where("article_id % 5 = 0").join(relational.global_rank(articles.select(F.col("article_id").alias("text_id")), [F.col("text_id")], scratch_dir(spark, "ids")), F.col("rank") == F.col("article_id"))
+    fewer = documents.join(ranked.select(F.col("text_id").alias("doc_id")), "doc_id", "left_anti")
+    both = baseline.audit_mentions(mentions, done, changed).unionByName(baseline.audit_lexical(fewer, articles))
+    return both.where(F.col("check").isin("completions of another text", "articles that aren't indexed")).select("check", "problems")
