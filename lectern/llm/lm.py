@@ -1,53 +1,67 @@
 """Language-model scores by a probabilistic suffix tree over words.
 
-Nothing is cut by relative frequency: every pair and triple that the training texts hold twice takes part, so
-the tree grows with the corpus and doesn't depend on how the input is split. It lies in tables, none of which
-the driver holds.
-
-1. Counts: tasks send the n-grams of their stretches as arrays, by context, to the tasks that add them up.
-2. Tree: a context stays if its next words diverge from those of its suffix, whose probabilities are joined to
-   it: word counts to pairs, pairs to triples.
-3. Weights. If a context backs off, the probability is a product, so the log of every token's probability is a
-   sum over its word, its pair and its triple of one weight each: the share of the context that an n-gram is
-   (as a state) and what its listing adds over backing off (as a next word).
-4. Scores. Weights of frequent n-grams are added in place; each occurrence of a rarer word or of a rarer n-gram
-   with a weight is sent once to the task that owns it and sends back its share of each document's score. A
-   bitmap of the weights' keys, of bounded size, only spares occurrences that have no weight the way.
+Nothing is cut by relative frequency: every n-gram that the training texts hold twice takes part, so the tree
+grows with the corpus and doesn't depend on how the input is split. Contexts of up to ``depth`` words are
+states if their next words diverge from those of their suffix, whose probabilities they are smoothed with.
+
+Texts are written once as blocks of word numbers. An n-gram is told by a 64-bit key that its first and its last
+words but one make; the table of all keys lies in parts by the key's first bits, one for each task of a shuffle,
+and what is sent between tasks are packed arrays, each for one part:
+
+1. Counts: blocks send their n-grams, by context, to the part of the context, which adds them up.
+2. States, order by order: each n-gram that came twice asks for its suffix's probability in the part of the
+   suffix and takes it to the part of its context, where the states are chosen. Only n-grams whose context came
+   twice are counted one order up; a bitmap of bounded size, which may err to the safe side, says which.
+3. Weights. As a context backs off by a factor, the log of a token's probability is a sum over the n-grams that
+   end with it of one weight each: what its listing adds (as a next word) and its own factor (as a context).
+4. Scores: blocks ask the parts for the weights of their n-grams, each once, and add the answers up by text.
+
+A task holds one part, or one block, at a time. A part holds the words that follow a context twice, so that the
+largest one is bounded by the vocabulary.
 """
 
 from __future__ import annotations
 
 import math
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
+from functools import reduce
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+import zstandard
+from pyspark import TaskContext
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lectern.llm._common import LOWER, drop_table, materialize, mix, prefix_hash, substring_hash, text_slices, words
+from lectern.llm._common import LOWER, binary_texts, drop_folder, drop_table, free_shuffles, give_back, materialize, mix, named, prefix_hash, read_array, scratch_dir, substring_hash, words, write_array
 
 END = np.uint64(0xE4D)
 _C1, _C2 = np.uint64(0x9FB21C651E98DF25), np.uint64(0xD6E8FEB86659FD93)
+_HIGH = np.uint64(0xFFFFFFFF00000000)
+_HALF = np.uint64(32)
 
 
 @dataclass(frozen=True)
 class TreeParams:
-    #: Words of twice this relative frequency, and n-grams of this one, are scored where they are read.
-    frequency: float = 1e-6
-    #: Tokens of a stretch.
-    stretch: int = 4_000_000
-    #: A pair or triple that comes less often can't be told from chance and isn't listed.
+    #: Words of the longest context.
+    depth: int = 3
+    #: An n-gram that comes less often can't be told from chance and isn't listed.
     least_count: int = 2
     #: Least divergence from the suffix's distribution, in nats, and its significance in standard deviations.
     divergence: float = 0.02
     deviations: float = 4.0
     #: Absolute discount of the next words' counts.
     discount: float = 0.75
-    #: Most bits, as a power of two, of the bitmap that every task holds.
+    #: Bytes of text in a block; a longer text is cut between words.
+    block_bytes: int = 4 << 20
+    #: Most bits, as a power of two, of the bitmaps that every task holds.
     bitmap: int = 28
+    #: Rounds in which n-grams are counted and asked for, each for a range of keys, and texts scored, so that what is
+    #: sent at once takes so much less of the disks.
+    rounds: int = 3
 
 
 def held_out(doc_id: int | None, modulus: int = 7, remainder: int = 2) -> bool:
@@ -58,148 +72,368 @@ def pair_key(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return mix(a * _C1 + b * _C2)
 
 
-def triple_key(a: np.ndarray, b: np.ndarray, c: np.ndarray) -> np.ndarray:
-    """That of a triple's two pairs."""
-    return pair_key(pair_key(a, b), pair_key(b, c))
+def longer(keys: np.ndarray) -> np.ndarray:
+    """The keys of the n-grams one word longer that end at each place but the first, from those of its two parts."""
+    out = np.zeros(len(keys), np.uint64)
+    out[1:] = pair_key(keys[:-1], keys[1:])
+    return out
+
+
+# blocks
+
+_BLOCK = "block long, rows array<long>, ids array<long>, sizes array<int>, lead array<int>, whole array<boolean>, words binary, tokens binary"
+_BLOCK_NAMES = ["block", "rows", "ids", "sizes", "lead", "whole", "words", "tokens"]
+_SPACES = np.zeros(256, bool)
+_SPACES[[9, 10, 11, 12, 13, 32]] = True
+
+
+def _cut(data: np.ndarray, limit: int) -> list[tuple[int, int]]:
+    """Pieces of ``limit`` bytes and what the last word of each takes more."""
+    out, at = [], 0
+    while len(data) - at > limit:
+        end = at + limit
+        while end < len(data) and not len(found := np.flatnonzero(_SPACES[data[end : end + limit]])):
+            end += limit
+        end = end + int(found[0]) if end < len(data) else len(data)
+        out.append((at, end))
+        at = end
+    return [*out, (at, len(data))] if at < len(data) or not out else out
 
 
 @dataclass
-class Tokens:
+class _Held:
+    """Texts that become one block: their words' hashes, and for each text row, id, tokens, lead and wholeness."""
+
+    token: list
+    rows: list
     ids: list
-    data: np.ndarray
-    offsets: np.ndarray
-    #: Hash of each token, ends included, and the index of its text.
+    sizes: list
+    lead: list
+    whole: list
+
+    def packed(self, block: int) -> pa.RecordBatch:
+        token = np.concatenate(self.token) if self.token else np.zeros(0, np.uint64)
+        known, index, n = np.unique(token, return_inverse=True, return_counts=True)
+        # Numbers by frequency: small ones come often, and the bytes of higher places are mostly zero.
+        order = np.argsort(-n, kind="stable")
+        number = np.empty(len(known), np.uint32)
+        number[order] = np.arange(len(known), dtype=np.uint32)
+        planes = _planes(number[index])
+        lists = [pa.array([x], pa.list_(t)) for x, t in ((self.rows, pa.int64()), (self.ids, pa.int64()), (self.sizes, pa.int32()), (self.lead, pa.int32()), (self.whole, pa.bool_()))]
+        return pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), *lists, pa.array([known[order].tobytes()], pa.binary()), pa.array([zstandard.ZstdCompressor(level=1).compress(planes)], pa.binary())], _BLOCK_NAMES)
+
+
+def _hashes(data: np.ndarray, offsets: np.ndarray, end: bool) -> tuple[np.ndarray, np.ndarray]:
+    """The tokens of texts side by side and how many each has, with its end if asked for."""
+    data = LOWER[data]
+    start, stop, doc = words(data, offsets)
+    n = len(offsets) - 1
+    h = substring_hash(prefix_hash(data), start, stop)
+    sizes = np.bincount(doc, minlength=n)
+    if not end:
+        return h, sizes
+    token = np.full(len(h) + n, END, np.uint64)
+    token[np.arange(len(h)) + doc] = h
+    return token, sizes + 1
+
+
+def _blocks(p: TreeParams):
+    def run(batches):
+        block = row = TaskContext.get().partitionId() << 40
+        held, size = _Held([], [], [], [], [], []), 0
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            ids = batch.column(0).to_pylist()
+            values = binary_texts(batch)
+            _, offsets, data = values.buffers()
+            offsets = np.frombuffer(offsets, np.int64, len(values) + 1, values.offset * 8)
+            data = np.frombuffer(data, np.uint8) if data is not None and data.size else np.zeros(0, np.uint8)
+            first = 0
+            while first < len(ids):
+                last = int(np.searchsorted(offsets, offsets[first] + max(1, p.block_bytes - size), "right")) - 1
+                last = min(max(last, first + 1), len(ids))
+                a, b = int(offsets[first]), int(offsets[last])
+                pieces = _cut(data[a:b], p.block_bytes) if last == first + 1 else [(0, b - a)]
+                if len(pieces) == 1:
+                    token, sizes = _hashes(data[a:b], offsets[first : last + 1] - a, True)
+                    held.token.append(token)
+                    held.rows += range(row, row + last - first)
+                    held.ids += ids[first:last]
+                    held.sizes += sizes.tolist()
+                    held.lead += [0] * (last - first)
+                    held.whole += [True] * (last - first)
+                    size += b - a
+                else:
+                    lead = np.zeros(0, np.uint64)
+                    for k, (x, y) in enumerate(pieces):
+                        token, _ = _hashes(data[a + x : a + y], np.array([0, y - x]), k == len(pieces) - 1)
+                        own = np.append(lead, token)
+                        one = _Held([own], [row], [ids[first]], [len(own)], [len(lead)], [False])
+                        yield one.packed(block)
+                        block += 1
+                        lead = own[-p.depth :]
+                row += last - first
+                first = last
+                if size >= p.block_bytes:
+                    yield held.packed(block)
+                    block, held, size = block + 1, _Held([], [], [], [], [], []), 0
+        if held.rows:
+            yield held.packed(block)
+
+    return run
+
+
+@dataclass
+class Block:
+    rows: np.ndarray
+    ids: list
+    whole: np.ndarray
+    #: Hash of each token and the index of its text; whether it is this block's to count and score; how many
+    #: tokens of the text come before it.
     token: np.ndarray
     doc: np.ndarray
-    #: How many tokens of its own text come before it, 2 at most.
+    own: np.ndarray
     before: np.ndarray
-    prefix: np.ndarray
-
-
-def tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[Tokens]:
-    for rows, data, offsets in text_slices(batches):
-        data = LOWER[data]
-        start, end, doc = words(data, offsets)
-        prefix = prefix_hash(data)
-        n = len(offsets) - 1
-        # The words in front of a text's end are those of the texts up to it.
-        place = np.arange(len(start)) + doc
-        token = np.empty(len(start) + n, np.uint64)
-        owner = np.empty(len(token), np.int64)
-        token[place], owner[place] = substring_hash(prefix, start, end), doc
-        ends = np.searchsorted(doc, np.arange(n), "right") + np.arange(n)
-        token[ends], owner[ends] = END, np.arange(n)
-        before = np.zeros(len(token), np.int8)
-        before[1:] += owner[1:] == owner[:-1]
-        before[2:] += owner[2:] == owner[:-2]
-        yield Tokens(rows.column(0).to_pylist(), data, offsets, token, owner, before, prefix)
-
-
-def _grams(w: np.ndarray, before: np.ndarray, train: np.ndarray, order: int) -> tuple[np.ndarray, np.ndarray]:
-    """(places, keys) of the training tokens that end an n-gram."""
-    at = np.flatnonzero(train & (before >= order - 1))
-    if order == 1:
-        return at, w[at]
-    return at, pair_key(w[at - 1], w[at]) if order == 2 else triple_key(w[at - 2], w[at - 1], w[at])
-
-
-_SENT_COUNTS = pa.schema([("part", pa.int32()), ("grams", pa.int32()), ("data", pa.binary())])
-_COUNTED = pa.schema([("grams", pa.int32()), ("context", pa.int64()), ("sub", pa.int64()), ("n", pa.int64()), ("own", pa.int64())])
-_WEIGHED = pa.schema([("key", pa.int64()), ("share", pa.float64()), ("log_p", pa.float64()), ("v", pa.float64()), ("n", pa.int64())])
-
-
-def _counts(p: TreeParams, orders: tuple[int, ...], parts: int, bits: np.ndarray | None = None):
-    """The n-grams of each stretch with their counts, by the part that owns the context (a word's own is itself).
-    An n-gram is its context and, as ``sub``, its last word (pairs) or its last two (triples). Of triples only
-    those both of whose pairs may be in the tree, by the bitmap of these, are sent."""
-
-    def flush(held: list):
-        w, before, train = (np.concatenate(x) for x in zip(*held))
-        held.clear()
-        for order in orders:
-            if order == 3:
-                at = np.flatnonzero(train & (before >= 2))
-                context, sub = pair_key(w[at - 2], w[at - 1]), pair_key(w[at - 1], w[at])
-                likely = _bit(context, bits) & _bit(sub, bits)
-                at, keys = at[likely], pair_key(context[likely], sub[likely])
-            else:
-                at, keys = _grams(w, before, train, order)
-            if not len(keys):
-                continue
-            by_key = np.argsort(keys)
-            keys = keys[by_key]
-            first = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
-            n = np.diff(np.append(first, len(keys))).astype(np.uint32)
-            i = at[by_key[first]]
-            if order == 1:
-                context, sub = w[i], w[i]
-            elif order == 2:
-                context, sub = w[i - 1], w[i]
-            else:
-                context, sub = pair_key(w[i - 2], w[i - 1]), pair_key(w[i - 1], w[i])
-            # Sorted contexts repeat, so they are packed well, and parts are ranges of them.
-            by_context = np.argsort(context)
-            context, sub, n = context[by_context], sub[by_context], n[by_context]
-            part = ((context >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int32)
-            edges = np.flatnonzero(np.append(True, part[1:] != part[:-1]))
-            for a, b in zip(edges.tolist(), [*edges[1:].tolist(), len(part)]):
-                data = context[a:b].tobytes() + sub[a:b].tobytes() + n[a:b].tobytes()
-                yield pa.RecordBatch.from_arrays([pa.array([part[a]], pa.int32()), pa.array([order], pa.int32()), pa.array([data], pa.binary())], schema=_SENT_COUNTS)
+    #: The words and each token's.
+    words: np.ndarray
+    number: np.ndarray
+
+
+def _open(row: dict) -> Block:
+    size = np.asarray(row["sizes"], np.int64)
+    n = int(size.sum())
+    known = np.frombuffer(row["words"], np.uint64)
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(row["tokens"], max_output_size=4 * n + 1), np.uint8) if n else np.zeros(0, np.uint8)
+    number = np.ascontiguousarray(planes.reshape(4, -1).T).view(np.uint32).reshape(-1)
+    doc = np.repeat(np.arange(len(size), dtype=np.int32), size)
+    before = np.arange(n, dtype=np.int32) - np.repeat((np.cumsum(size) - size).astype(np.int32), size)
+    return Block(np.asarray(row["rows"], np.int64), list(row["ids"]), np.asarray(row["whole"], bool), known[number], doc, before >= np.asarray(row["lead"])[doc], before, known, number)
+
+
+def _rows(batch: pa.RecordBatch, names=_BLOCK_NAMES) -> Iterator[dict]:
+    for i in range(batch.num_rows):
+        yield {c: batch.column(c)[i].as_py() for c in names}
+    give_back()
+
+
+# packed arrays by part
+
+_SENT = "part int, kind int, block long, n long, data binary"
+_SENT_ARROW = pa.schema([("part", pa.int32()), ("kind", pa.int32()), ("block", pa.int64()), ("n", pa.int64()), ("data", pa.binary())])
+
+
+def part_of(keys: np.ndarray, parts: int) -> np.ndarray:
+    return ((keys >> _HALF) * np.uint64(parts) >> _HALF).astype(np.int32)
+
+
+def _planes(x: np.ndarray) -> bytes:
+    """All first bytes, then all second ones and so on, as high ones are mostly alike."""
+    return np.ascontiguousarray(x).view(np.uint8).reshape(len(x), -1).T.tobytes()
+
+
+def _pack(columns: list[np.ndarray]) -> bytes:
+    """The first column, keys in about their order, as differences; whole numbers by planes; others as they are."""
+    first = columns[0].copy()
+    first[1:] -= columns[0][:-1]
+    rest = [x.tobytes() if x.dtype in (np.uint64, np.float64, np.float32) else _planes(x) for x in columns[1:]]
+    return zstandard.ZstdCompressor(level=1).compress(b"".join([_planes(first), *rest]))
+
+
+def _unpack(data: bytes, n: int, *types) -> list[np.ndarray]:
+    raw = zstandard.ZstdDecompressor().decompress(data, max_output_size=n * sum(np.dtype(t).itemsize for t in types))
+    out, at = [], 0
+    for i, t in enumerate(types):
+        size = np.dtype(t).itemsize
+        if i and t in (np.uint64, np.float64, np.float32):
+            out.append(np.frombuffer(raw, t, n, at))
+        else:
+            out.append(np.ascontiguousarray(np.frombuffer(raw, np.uint8, n * size, at).reshape(size, n).T).view(t).reshape(-1))
+        at += n * size
+    out[0] = np.cumsum(out[0], dtype=np.uint64)
+    return out
+
+
+def _split(by: np.ndarray, columns: list[np.ndarray], parts: int, kind: int, block: int | None = None) -> pa.RecordBatch | None:
+    """A row for each part of ``by``, which is sorted by its upper half at least."""
+    part = part_of(by, parts)
+    edges = np.flatnonzero(np.append(True, part[1:] != part[:-1])) if len(part) else part
+    if not len(edges):
+        return None
+    stops = np.append(edges[1:], len(part))
+    data = [_pack([c[a:b] for c in columns]) for a, b in zip(edges.tolist(), stops.tolist())]
+    m = len(edges)
+    return pa.RecordBatch.from_arrays([pa.array(part[edges]), pa.array(np.full(m, kind, np.int32)), pa.array([block] * m, pa.int64()), pa.array(stops - edges), pa.array(data, pa.binary())], schema=_SENT_ARROW)
+
+
+def _table(rounds: Iterable[DataFrame], name: str) -> tuple[DataFrame, str]:
+    """Packed arrays of several rounds written one after the other, by kind, and their folder."""
+    path = ""
+    for df in rounds:
+        path = path or scratch_dir(df.sparkSession, name)
+        df.write.mode("append").partitionBy("kind").parquet(path)
+        free_shuffles(df.sparkSession)
+    return df.sparkSession.read.schema(df.schema).parquet(path).select(*df.columns), path
+
+
+def _parted(df: DataFrame, cut: tuple[int, int] | None = None) -> DataFrame:
+    """One task a part, of all or those in ``cut``, its rows by kind."""
+    first, last = cut or (0, _parts(df))
+    return df.repartitionById(last - first, F.col("part") - first).sortWithinPartitions("part", "kind")
+
+
+def _parts(df: DataFrame) -> int:
+    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+
+def _by_part(batches) -> Iterator[tuple[int, Iterator[tuple[int, int | None, int, bytes]]]]:
+    rows = (r for b in batches for r in zip(*(b.column(c).to_pylist() if c != "data" else b.column(c) for c in ("part", "kind", "block", "n", "data"))))
+    for part, own in groupby(rows, key=lambda r: r[0]):
+        yield part, ((kind, block, n, data.as_py()) for _, kind, block, n, data in own)
+        give_back()
+
+
+# 1: counts
+
+
+def _bit(keys: np.ndarray, bits: np.ndarray) -> np.ndarray:
+    at = keys >> np.uint64(64 - (len(bits) * 8).bit_length() + 1)
+    return (bits[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8)) & np.uint8(1) > 0
+
 
+def _sum(first: np.ndarray, second: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(first, second, n) by first, each pair once."""
+    # One sort of 64 bits: equal pairs come together, and others between them only by chance, which adds up later.
+    order = np.argsort((first & _HIGH) | (second >> _HALF))
+    first, second, n = first[order], second[order], n[order]
+    new = np.flatnonzero(np.append(True, (first[1:] != first[:-1]) | (second[1:] != second[:-1]))) if len(first) else order
+    return first[new], second[new], np.add.reduceat(n, new, dtype=n.dtype) if len(new) else n
+
+
+def _exact(first: np.ndarray, second: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(first, second, n) by first, each pair, as its key tells it, once."""
+    keys = pair_key(first, second)
+    order = np.argsort(keys)
+    keys = keys[order]
+    new = np.flatnonzero(np.append(True, keys[1:] != keys[:-1])) if len(keys) else order
+    n = np.add.reduceat(n[order], new, dtype=n.dtype) if len(new) else n
+    at = order[new]
+    by_first = np.argsort(first[at])
+    at = at[by_first]
+    return first[at], second[at], n[by_first]
+
+
+def _inside(parts: int, first: int, last: int):
+    """Whether keys are of the parts from ``first`` to before ``last``."""
+    low, high = (np.uint64(-(-(x << 32) // parts)) << _HALF if x < parts else None for x in (first, last))
+    return lambda keys: (keys >= low) & (keys < high) if high is not None else keys >= low
+
+
+def _counts(order: int, parts: int, bitmap: str | None, cut: tuple[int, int]):
+    """A block's n-grams of ``order`` words as (context, suffix, n); with order 2 its words too, as (word, n). Where the
+    bitmap says that a suffix came but once, which nothing follows twice, it is written as 0. Only contexts
+    of the parts in ``cut`` are sent."""
+    inside = _inside(parts, *cut)
+
+    def run(batches):
+        bits = read_array(bitmap) if bitmap else None
+        for batch in batches:
+            for row in _rows(batch):
+                b = _open(row)
+                train = b.own & np.array([not held_out(i) for i in b.ids], bool)[b.doc]
+                if order == 2 and train.any():
+                    n = np.bincount(b.number[train], minlength=len(b.words)).astype(np.uint32)
+                    at = np.flatnonzero((n > 0) & inside(b.words))
+                    at = at[np.argsort(b.words[at])]
+                    if (sent := _split(b.words[at], [b.words[at], n[at]], parts, _WORDS)) is not None:
+                        yield sent
+                keys = b.token
+                for _ in range(order - 2):
+                    keys = longer(keys)
+                at = np.flatnonzero(train & (b.before >= order - 1))
+                at = at[inside(keys[at - 1])]
+                context, suffix = keys[at - 1], keys[at]
+                if bits is not None:
+                    likely = _bit(context, bits)
+                    context, suffix = context[likely], suffix[likely]
+                    suffix[~_bit(suffix, bits)] = 0
+                context, suffix, n = _sum(context, suffix, np.ones(len(context), np.uint32))
+                if (sent := _split(context, [context, suffix, n], parts, order)) is not None:
+                    yield sent
+
+    return run
+
+
+#: Rows that the adder leaves: words with their counts (n of the row has how many), n-grams that ask for their suffix.
+_WORDS, _ASK, _KNOWN, _WEIGHT, _STATE, _TOTAL = 1, 2, 0, 5, 6, 9
+
+
+def _adder(p: TreeParams, parts: int, most: int = 1 << 22):
     def run(batches):
-        held, n = [], 0
-        for t in tokens(batches):
-            train = np.array([not held_out(i) for i in t.ids], bool)[t.doc]
-            held.append((t.token, t.before, train))
-            n += int(train.sum())
-            if n >= p.stretch:
-                yield from flush(held)
-                n = 0
-        if held:
-            yield from flush(held)
+        for _, rows in _by_part(batches):
+            for kind, own in groupby(rows, key=lambda r: r[0]):
+                held, waiting = [], 0
+                for _, _, n, data in own:
+                    if kind == _WORDS:
+                        word, count = _unpack(data, n, np.uint64, np.uint32)
+                        held.append((word, word, count.astype(np.int64)))
+                    else:
+                        context, suffix, count = _unpack(data, n, np.uint64, np.uint64, np.uint32)
+                        held.append((context, suffix, count.astype(np.int64)))
+                    waiting += n
+                    if waiting > most:
+                        held, waiting = [_exact(*map(np.concatenate, zip(*held)))], 0
+                context, suffix, n = _exact(*map(np.concatenate, zip(*held)))
+                held.clear()
+                if kind == _WORDS:
+                    yield _split(context, [context, n], parts, _WORDS)
+                    yield pa.RecordBatch.from_pylist([{"part": 0, "kind": _TOTAL, "block": int(n.sum()), "n": len(n), "data": b""}], schema=_SENT_ARROW)
+                    continue
+                first = np.flatnonzero(np.append(True, context[1:] != context[:-1]))
+                total = np.repeat(np.add.reduceat(n, first), np.diff(np.append(first, len(context))))
+                keep = np.flatnonzero((n >= p.least_count) & (suffix != 0))
+                keep = keep[np.argsort(suffix[keep])]
+                if (sent := _split(suffix[keep], [x[keep] for x in (suffix, context, n, total)], parts, _ASK)) is not None:
+                    yield sent
 
     return run
 
 
-def _added(held: list) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(context, sub, n), sorted, each n-gram once."""
-    context, sub, n = (np.concatenate(x) for x in zip(*held))
-    at = np.lexsort((sub, context))
-    context, sub, n = context[at], sub[at], n[at].astype(np.int64)
-    first = np.flatnonzero(np.append(True, (context[1:] != context[:-1]) | (sub[1:] != sub[:-1])))
-    return context[first], sub[first], np.add.reduceat(n, first)
+# 2: states and weights
 
 
-def _adder(p: TreeParams, most: int = 1 << 21):
-    """Adds up what ``_counts`` sent: all words, and the pairs and triples that come often enough, with the
-    count of their contexts."""
+def _joiner(parts: int, total: int):
+    """N-grams with their suffixes' share (of its own context) and log-probability, to the part of the context."""
 
     def run(batches):
-        held, waiting = {1: [], 2: [], 3: []}, {1: 0, 2: 0, 3: 0}
-        for batch in batches:
-            for order, data in zip(batch.column("grams").to_pylist(), batch.column("data").to_pylist()):
-                m = len(data) // 20
-                held[order].append((np.frombuffer(data, np.uint64, m), np.frombuffer(data, np.uint64, m, 8 * m), np.frombuffer(data, np.uint32, m, 16 * m)))
-                waiting[order] += m
-                if waiting[order] > most:
-                    held[order], waiting[order] = [_added(held[order])], 0
-        for order, parts in held.items():
-            if not parts:
-                continue
-            context, sub, n = _added(parts)
-            parts.clear()
-            first = np.flatnonzero(np.append(True, context[1:] != context[:-1]))
-            own = np.repeat(np.add.reduceat(n, first), np.diff(np.append(first, len(context))))
-            keep = np.flatnonzero(n >= (1 if order == 1 else p.least_count))
-            for a in range(0, len(keep), 1 << 16):
-                k = keep[a : a + (1 << 16)]
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(k), order, np.int32)), *(pa.array(c[k].view(np.int64)) for c in (context, sub, n, own))], schema=_COUNTED)
+        for _, rows in _by_part(batches):
+            known, keys, share, log_p = [], np.zeros(0, np.uint64), np.zeros(0), np.zeros(0)
+            for kind, own in groupby(rows, key=lambda r: r[0]):
+                for _, _, n, data in own:
+                    if kind == _KNOWN:
+                        known.append([x.astype(np.float64) if i else x for i, x in enumerate(_unpack(data, n, np.uint64, np.float32, np.float32))])
+                    elif kind == _WORDS:
+                        word, count = _unpack(data, n, np.uint64, np.int64)
+                        known.append((word, count / (total + 1), np.log10(count / (total + 1))))
+                    else:
+                        if known:
+                            keys, share, log_p = map(np.concatenate, zip(*known))
+                            order = np.argsort(keys)
+                            keys, share, log_p, known = keys[order], share[order], log_p[order], []
+                        suffix, context, count, whole = _unpack(data, n, np.uint64, np.uint64, np.int64, np.int64)
+                        at = np.minimum(np.searchsorted(keys, suffix), max(len(keys) - 1, 0))
+                        found = keys[at] == suffix if len(keys) else np.zeros(n, bool)
+                        at, to = at[found], np.flatnonzero(found)
+                        order = np.argsort(context[to])
+                        at, to = at[order], to[order]
+                        if (sent := _split(context[to], [context[to], suffix[to], count[to], whole[to], share[at].astype(np.float32), log_p[at].astype(np.float32)], parts, _ASK)) is not None:
+                            yield sent
 
     return run
 
 
-def _stays(index: np.ndarray, n: np.ndarray, own: np.ndarray, lower: np.ndarray, p: TreeParams) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Whether each context stays and the suffix's weight in it, and each next word's own probability.
+def stays(index: np.ndarray, n: np.ndarray, own: np.ndarray, lower: np.ndarray, p: TreeParams) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Whether each context is a state and the suffix's weight in it, and each next word's own probability.
     ``index`` is the context of each next word; ``lower`` is its probability after the suffix."""
     size = np.bincount(index)
     total_own = np.zeros(len(size))
@@ -210,277 +444,297 @@ def _stays(index: np.ndarray, n: np.ndarray, own: np.ndarray, lower: np.ndarray,
     left = np.maximum(1 - np.bincount(index, share), 0)
     left_lower = np.maximum(1 - np.bincount(index, lower), 1e-12)
     kl = kl + np.where(left > 0, left * np.log(np.maximum(left, 1e-300) / left_lower), 0)
-    stays = (kl >= p.divergence) & (2 * total_own * kl > size + p.deviations * np.sqrt(2 * size))
-    return stays, 1 - np.bincount(index, mass), mass
-
-
-def _weigher(p: TreeParams, rows: int = 1 << 18):
-    """Rows (context, sub, n, own, lower, log_p), sorted by context, to weights. ``log_p`` is the log of the
-    next word's probability in the tree after the suffix. A row with a share is an n-gram, others are states."""
-
-    def weigh(context, sub, n, own, lower, log_p):
-        first = np.append(True, context[1:] != context[:-1])
-        index = np.cumsum(first) - 1
-        stays, back, mass = _stays(index, n, own, lower, p)
-        at = np.flatnonzero(first)[stays]
-        log_back = np.log10(back)
-        here = stays[index]
-        whole = np.where(here, np.log10(mass + back[index] * 10**log_p), log_p)
-        # What listing the word adds over backing off to the suffix.
-        v = np.where(here, whole - log_back[index] - log_p, 0.0)
-        none = np.full(len(at), np.nan)
-        yield pa.RecordBatch.from_arrays([pa.array(c) for c in (pair_key(context, sub).view(np.int64), n / own, whole, v, n)], schema=_WEIGHED)
-        yield pa.RecordBatch.from_arrays([pa.array(context[at].view(np.int64)), pa.array(none, from_pandas=True), pa.array(none, from_pandas=True), pa.array(log_back[stays]), pa.array(own[at])], schema=_WEIGHED)
+    diverges = (kl >= p.divergence) & (2 * total_own * kl > size + p.deviations * np.sqrt(2 * size))
+    return diverges, 1 - np.bincount(index, mass), mass
+
+
+def _weigher(p: TreeParams, parts: int, last: bool):
+    """N-grams by context to what is known of them, for the next order, and to weights."""
 
     def run(batches):
-        held, waiting = [], 0
-        for batch in batches:
-            columns = [batch.column(c).to_numpy() for c in ("context", "sub", "n", "own", "lower", "log_p")]
-            held.append([np.ascontiguousarray(c).view(np.uint64) if i < 2 else c for i, c in enumerate(columns)])
-            waiting += batch.num_rows
-            if waiting < rows:
-                continue
-            joined = [np.concatenate(c) for c in zip(*held)]
-            last = int(np.searchsorted(joined[0].view(np.int64), joined[0].view(np.int64)[-1]))  # the last context may go on
-            if last:
-                yield from weigh(*(c[:last] for c in joined))
-            held, waiting = [[c[last:] for c in joined]], 0
-        if held and sum(len(h[0]) for h in held):
-            yield from weigh(*(np.concatenate(c) for c in zip(*held)))
+        for _, rows in _by_part(batches):
+            context, suffix, n, own, lower, log_p = map(np.concatenate, zip(*(_unpack(data, m, np.uint64, np.uint64, np.int64, np.int64, np.float32, np.float32) for _, _, m, data in rows)))
+            lower, log_p = lower.astype(np.float64), log_p.astype(np.float64)
+            order = np.argsort(context)
+            context, suffix, n, own, lower, log_p = (x[order] for x in (context, suffix, n, own, lower, log_p))
+            first = np.append(True, context[1:] != context[:-1])
+            index = np.cumsum(first) - 1
+            state, back, mass = stays(index, n, own, lower, p)
+            log_back = np.log10(back)
+            here = state[index]
+            whole = np.where(here, np.log10(mass + back[index] * 10**log_p), log_p)
+            keys = pair_key(context, suffix)
+            order = np.argsort(keys)
+            if not last:
+                yield _split(keys[order], [keys[order], (n / own)[order].astype(np.float32), whole[order].astype(np.float32)], parts, _KNOWN)
+            # What listing the word adds over backing off to the suffix; and the states' own weights.
+            order = order[here[order]]
+            if (sent := _split(keys[order], [keys[order], (whole - log_back[index] - log_p)[order].astype(np.float32)], parts, _WEIGHT)) is not None:
+                yield sent
+            at = np.flatnonzero(first)[state]
+            if (sent := _split(context[at], [context[at], log_back[state].astype(np.float32)], parts, _STATE)) is not None:
+                yield sent
 
     return run
 
 
-@dataclass
-class Tree:
-    """Sorted keys with what a token of that key gets: words, then states and their next words by order."""
+def _heads(batches):
+    """The upper halves of packed keys."""
+    for batch in batches:
+        if batch.num_rows:
+            kinds = {_KNOWN: (np.uint64, np.float32, np.float32), _WEIGHT: (np.uint64, np.float32), _STATE: (np.uint64, np.float32)}
+            data = [(_unpack(d.as_py(), n, *kinds[k])[0] >> _HALF).astype(np.uint32).tobytes() for d, n, k in zip(batch.column("data"), batch.column("n").to_pylist(), batch.column("kind").to_pylist())]
+            yield pa.RecordBatch.from_arrays([batch.column("part"), batch.column("kind"), batch.column("block"), batch.column("n"), pa.array(data, pa.binary())], schema=_SENT_ARROW)
 
-    total: int
-    word: np.ndarray
-    word_count: np.ndarray
-    rest: float
-    states: list[tuple[np.ndarray, np.ndarray]]  # by order: context keys, weight of the suffix
-    nexts: list[tuple[np.ndarray, np.ndarray]]  # by order: n-gram keys, own probability
-
-
-def build_tree(found: dict[str, np.ndarray], count: np.ndarray, total: int, p: TreeParams) -> Tree:
-    """The tree in memory, over n-grams with their exact counts: the plain form of what ``fit`` keeps in tables.
-    A word's probability at its root is count / (total + 1); one that isn't listed has the rest."""
-    order = found["grams"]
-    one = order == 1
-    word, word_count = _sorted(found["key"][one], count[one])
-    rest = (total - int(word_count.sum()) + 1) / (total + 1)
-
-    states, nexts = [], []
-    above = (word, word_count)
-    for k in (2, 3):
-        pick = (order == k) & (count >= p.least_count)
-        keys, contexts, suffix, nxt, n = (x[pick] for x in (found["key"], found["context"], found["suffix"], found["next"], count))
-        own = _lookup(*above, contexts)
-        # The suffix's probability of the next word: the root's, or that of one order down.
-        lower = _lookup(word, word_count, nxt) / (total + 1) if k == 2 else _lookup(*shares, suffix)
-        state, index = np.unique(contexts, return_inverse=True)
-        stays, weight, mass = _stays(index, n, own, lower, p)
-        states.append((state[stays], weight[stays]))
-        nexts.append(_sorted(keys[stays[index]], mass[stays[index]]))
-        above, shares = _sorted(keys, n), _sorted(keys, n / np.maximum(own, 1))
-    return Tree(total, word, word_count, rest, states, nexts)
-
-
-def _sorted(keys: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    at = np.argsort(keys, kind="stable")
-    return keys[at], values[at]
-
-
-def _lookup(keys: np.ndarray, values: np.ndarray, wanted: np.ndarray, default: float = 0.0) -> np.ndarray:
-    if not len(keys) or not len(wanted):
-        return np.full(len(wanted), default)
-    at = np.searchsorted(keys, wanted)
-    at[at == len(keys)] = 0
-    return np.where(keys[at] == wanted, values[at], default)
 
+def _bits_of_part(power: int):
+    """The bits of a part's range, from the byte that ``block`` says on."""
 
-@dataclass
-class Model:
-    """What every task holds, bounded by parameters: frequent words, frequent n-grams' weights and a bitmap of
-    the keys of all weights; and the table of the weights (key, v) of rarer ones."""
+    def run(batches):
+        for part, rows in _by_part(batches):
+            at = np.unique(np.concatenate([np.frombuffer(data, np.uint32) >> np.uint32(32 - power) for _, _, _, data in rows])).astype(np.int64)
+            low = int(at[0]) >> 3
+            found = np.zeros(((int(at[-1]) >> 3) - low + 1) * 8, bool)
+            found[at - low * 8] = True
+            yield pa.RecordBatch.from_pylist([{"part": part, "kind": 0, "block": low, "n": 0, "data": np.packbits(found, bitorder="little").tobytes()}], schema=_SENT_ARROW)
 
-    total: int
-    words: int
-    word: np.ndarray
-    word_count: np.ndarray
-    key: np.ndarray
-    weight: np.ndarray
-    bits: np.ndarray
+    return run
 
 
-def _bit(keys: np.ndarray, bits: np.ndarray) -> np.ndarray:
-    at = keys >> np.uint64(64 - (len(bits) * 8).bit_length() + 1)
-    return (bits[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8)) & np.uint8(1) > 0
+def _bitmap(packed: DataFrame, p: TreeParams) -> str:
+    """The file of a bit for each key of the packed arrays, which others may share: sixteen bits a key, as far as
+    ``p.bitmap`` goes."""
+    n = packed.agg(F.sum("n")).first()[0] or 0
+    power = min(max((16 * n).bit_length(), 10), p.bitmap)
+    bits = np.zeros(1 << (power - 3), np.uint8)
+    found = _parted(packed.mapInArrow(_heads, _SENT)).mapInArrow(_bits_of_part(power), _SENT).select("block", "data").toArrow()
+    for low, data in zip(found.column("block").to_pylist(), found.column("data").to_pylist()):
+        bits[low : low + len(data)] |= np.frombuffer(data, np.uint8)
+    return write_array(scratch_dir(packed.sparkSession, "lm-bits") + ".npy", bits)
 
 
-_SEGMENTS = 6  # bits of a key that name its segment of the bitmap
+@dataclass
+class Model:
+    """The tokens and words learnt from, for the n-grams of each order, from one word on, the tables of their counts
+    and weights with their folders, and the bitmap of the weights' keys."""
 
+    total: int
+    words: int
+    tables: list[list[tuple[DataFrame, str]]]
+    bitmap: str
+    folders: list[str]
+
+
+def fit(blocks: DataFrame, p: TreeParams = TreeParams()) -> Model:
+    parts = _parts(blocks)
+    spark = blocks.sparkSession
+    bits, known, total, types, folders = None, None, 0, 0, []
+    tables: list[list[tuple[DataFrame, str]]] = [[] for _ in range(p.depth + 1)]
+    for order in range(2, p.depth + 2):
+        sent = ((blocks.mapInArrow(_counts(order, parts, bits, cut), _SENT), cut) for cut in _cuts(parts, p))
+        counted, counted_in = _table((_parted(*x).mapInArrow(_adder(p, parts), _SENT) for x in sent), f"lm-counts-{order}")
+        if order == 2:
+            sums = counted.where(F.col("kind") == _TOTAL).agg(F.sum("block"), F.sum("n")).first()
+            total, types = int(sums[0] or 0), int(sums[1] or 0)
+            known = counted.where(F.col("kind") == _WORDS)
+            tables[0].append((known, f"{counted_in}/kind={_WORDS}"))
+        asked, asked_in = _table([_parted(counted.where(F.col("kind") == _ASK).unionByName(known)).mapInArrow(_joiner(parts, total), _SENT)], f"lm-asked-{order}")
+        for old in [f"{counted_in}/kind={_ASK}", *[f"{x}/kind={_KNOWN}" for x in folders[1:][-1:]]]:
+            drop_folder(spark, old)
+        found, found_in = _table([_parted(asked).mapInArrow(_weigher(p, parts, order == p.depth + 1), _SENT)], f"lm-weights-{order}")
+        drop_folder(spark, asked_in)
+        folders += [counted_in, found_in] if order == 2 else [found_in]
+        known = found.where(F.col("kind") == _KNOWN)
+        for at, kind in ((order - 1, _WEIGHT), (order - 2, _STATE)):
+            tables[at].append((found.where(F.col("kind") == kind), f"{found_in}/kind={kind}"))
+        if bits:
+            drop_folder(spark, bits)
+        if order <= p.depth:
+            bits = _bitmap(known, p)
+    return Model(total, types, tables, _bitmap(_union([t for t, _ in sum(tables, [])[1:]]), p), folders)
+
+
+def _cuts(parts: int, p: TreeParams) -> list[tuple[int, int]]:
+    """The parts of each round."""
+    edges = [parts * k // p.rounds for k in range(p.rounds + 1)]
+    return [(a, b) for a, b in zip(edges, edges[1:]) if a < b]
+
+
+def _union(tables: list[DataFrame]) -> DataFrame:
+    return reduce(DataFrame.unionByName, tables)
+
+
+# 4: scores
+
+
+def _asked(b: Block, order: int, keys: np.ndarray, bits: np.ndarray, inside=None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Places whose n-grams may have a weight, the keys of these, each once and sorted, and each place's among them."""
+    at = np.flatnonzero(b.own & (b.before >= order - 1))
+    if inside:  # first, as the bitmap is far larger than a cache
+        at = at[inside(keys[at])]
+    at = at[_bit(keys[at], bits)]
+    found = keys[at]
+    by_key = np.argsort(found)
+    found = found[by_key]
+    new = np.append(True, found[1:] != found[:-1]) if len(found) else np.zeros(0, bool)
+    index = np.empty(len(at), np.int64)
+    index[by_key] = np.cumsum(new) - 1
+    return at, found[new], index
+
+
+def _asks(order: int, parts: int, bitmap: str, cut: tuple[int, int]):
+    inside = _inside(parts, *cut)
 
-def _segments(power: int):
     def run(batches):
-        found: dict[int, np.ndarray] = {}
+        bits = read_array(bitmap)
         for batch in batches:
-            keys = np.ascontiguousarray(batch.column("key").to_numpy()).view(np.uint64)
-            segment = (keys >> np.uint64(64 - _SEGMENTS)).astype(np.int64)
-            at = (keys >> np.uint64(64 - power)) & np.uint64((1 << (power - _SEGMENTS)) - 1)
-            for s in np.unique(segment).tolist():
-                found.setdefault(s, np.zeros(1 << (power - _SEGMENTS), bool))[at[segment == s]] = True
-        for s, bits in found.items():
-            yield pa.RecordBatch.from_pydict({"segment": pa.array([s], pa.int32()), "bits": pa.array([np.packbits(bits, bitorder="little").tobytes()], pa.binary())})
+            for row in _rows(batch):
+                if order == 1:
+                    asked = np.sort(np.frombuffer(row["words"], np.uint64))
+                    asked = asked[inside(asked)]
+                else:
+                    b = _open(row)
+                    keys = b.token
+                    for _ in range(order - 1):
+                        keys = longer(keys)
+                    asked = _asked(b, order, keys, bits, inside)[1]
+                if (sent := _split(asked, [asked], parts, 10 + order, row["block"])) is not None:
+                    yield sent
 
     return run
 
 
-# kinds of rows that come together in the last step: occurrences of a rarer word, in a training text or not, and
-# of an n-gram; sums of a text; weights
-_TRAIN, _OTHER, _GRAM, _TOKENS, _KNOWN, _BASE, _SCORE, _ROWS, _WEIGHT = range(9)
-_SENT = "w long, doc_id long, h int, kind int, v double"
-_SENT_ARROW = pa.schema([("w", pa.int64()), ("doc_id", pa.int64()), ("h", pa.int32()), ("kind", pa.int32()), ("v", pa.float64())])
-
-
-def _scorer(model: Model):
-    def rows(w, ids, h, kind, v):
-        return pa.RecordBatch.from_arrays([pa.array(w.view(np.int64)), ids, pa.array(h), pa.array(kind), pa.array(v)], schema=_SENT_ARROW)
-
-    def once(keys, docs):
-        """Equal keys of one text travel as one row: (keys, docs, times)."""
-        order = np.lexsort((keys, docs))
-        keys, docs = keys[order], docs[order]
-        first = np.flatnonzero(np.append(True, (keys[1:] != keys[:-1]) | (docs[1:] != docs[:-1])))
-        return keys[first], docs[first], np.diff(np.append(first, len(keys))).astype(np.float64)
+def _answers(batches):
+    """Asked keys' weights, and words' counts before them, by block; ``kind`` is the order that was asked for."""
+
+    def table(held):
+        if not held:
+            return np.zeros(0, np.uint64), np.zeros(0)
+        keys, values = map(np.concatenate, zip(*held))
+        order = np.argsort(keys)
+        keys, values = keys[order], values[order]
+        new = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
+        return keys[new], np.add.reduceat(values, new)
+
+    def of(keys, values, wanted):
+        if not len(keys):
+            return np.zeros(len(wanted))
+        at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
+        return np.where(keys[at] == wanted, values[at], 0.0)
+
+    for part, rows in _by_part(batches):
+        counts, weights, count, weight = [], [], None, None
+        for kind, block, n, data in rows:
+            if kind < 10:
+                key, value = _unpack(data, n, np.uint64, np.int64 if kind == _WORDS else np.float32)
+                (counts if kind == _WORDS else weights).append((key, value.astype(np.float64)))
+                continue
+            if count is None:
+                count, weight = table(counts), table(weights)
+                counts, weights = [], []
+            (wanted,) = _unpack(data, n, np.uint64)
+            found = of(*weight, wanted).astype(np.float32).tobytes()
+            if kind == 11:
+                found = of(*count, wanted).tobytes() + found
+            found = zstandard.ZstdCompressor(level=1).compress(found)
+            yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in ((part, pa.int32()), (kind, pa.int32()), (block, pa.int64()), (n, pa.int64()), (found, pa.binary()))], schema=_SENT_ARROW)
+
+
+_SUMS = "row long, doc_id long, whole boolean, n_tokens long, n_known long, base double, own double"
+_SUMS_NAMES = ["row", "doc_id", "whole", "n_tokens", "n_known", "base", "own"]
+
+
+def _scorer(p: TreeParams, bitmap: str):
+    """Blocks, each followed by the answers to it by kind and part, to the sums of its texts."""
+
+    def numbers(answers: list[tuple[int, bytes]], counts: bool = False) -> list[np.ndarray]:
+        raw = [(m, zstandard.ZstdDecompressor().decompress(d, max_output_size=(12 if counts else 4) * m)) for m, d in answers]
+        weights = np.concatenate([np.frombuffer(d, np.float32, m, 8 * m if counts else 0) for m, d in raw]).astype(np.float64)
+        return [np.concatenate([np.frombuffer(d, np.float64, m) for m, d in raw]), weights] if counts else [weights]
+
+    def sums(b: Block, answers: dict[int, list[tuple[int, bytes]]]):
+        n = len(b.ids)
+        pick = np.flatnonzero(b.own)
+        doc = b.doc[pick]
+        value = np.zeros(len(b.words))
+        count = np.zeros(len(b.words))
+        at = np.argsort(b.words)
+        if len(at):
+            count[at], value[at] = numbers(answers[11], counts=True)
+        by_text = lambda x: np.bincount(doc, x, minlength=n)
+        number = b.number[pick]
+        own = by_text((np.log10(np.maximum(count, 1)) + value)[number])
+        base, known = by_text(np.log10(count + 1)[number]), by_text((count > 0)[number])
+        keys = b.token
+        bits = read_array(bitmap)
+        for order in range(2, p.depth + 2):
+            keys = longer(keys)
+            places, asked, index = _asked(b, order, keys, bits)
+            if len(asked):
+                (weight,) = numbers(answers[10 + order])
+                own += np.bincount(b.doc[places], weight[index], minlength=n)
+        columns = [pa.array(b.rows), pa.array(b.ids, pa.int64()), pa.array(b.whole), pa.array(by_text(None).astype(np.int64)), pa.array(known.astype(np.int64)), pa.array(base), pa.array(own)]
+        return pa.RecordBatch.from_arrays(columns, _SUMS_NAMES)
 
     def run(batches):
-        for t in tokens(batches):
-            n = len(t.ids)
-            train = np.array([not held_out(i) for i in t.ids], bool)
-            h = (substring_hash(t.prefix, t.offsets[:-1], t.offsets[1:]) >> np.uint64(33)).astype(np.int32)
-            count = _lookup(model.word, model.word_count, t.token)
-            rare = count == 0
-            w = t.token
-            one, two = np.flatnonzero(t.before >= 1), np.flatnonzero(t.before >= 2)
-            pair = np.zeros(len(w), np.uint64)
-            pair[one] = pair_key(w[one - 1], w[one])
-            own = np.where(rare, 0, np.log10(np.maximum(count, 1)))
-            sent_keys, sent_docs = [], []
-            for at, keys in ((np.arange(len(w)), w), (one, pair[one]), (two, pair_key(pair[two - 1], pair[two]))):
-                hit = np.flatnonzero(_bit(keys, model.bits))
-                at, keys = at[hit], keys[hit]
-                known = _lookup(model.key, model.weight, keys, np.nan)
-                away = np.isnan(known)
-                own[at] += np.where(away, 0.0, known)
-                if not sent_keys:
-                    away &= ~rare[at]  # a rarer word is sent anyway and meets its weight
-                sent_keys.append(keys[away])
-                sent_docs.append(t.doc[at[away]])
-            sums = lambda x: np.bincount(t.doc, x, minlength=n)
-            values = np.stack([sums(None), sums(~rare), sums(np.where(rare, 0, np.log10(count + 1))), sums(own), np.ones(n)], 1)
-            ids = pa.array(t.ids, pa.int64())
-            doc5 = np.repeat(np.arange(n), 5)
-            kinds = np.tile(np.arange(_TOKENS, _ROWS + 1, dtype=np.int32), n)
-            spread = mix(h.astype(np.uint64) * _C1 + np.arange(n).astype(np.uint64))[doc5]  # these belong to no word
-            yield rows(spread, ids.take(pa.array(doc5)), h[doc5], kinds, values.reshape(-1))
-            for keys, docs, kind in ((w[rare], t.doc[rare], np.where(train, _TRAIN, _OTHER)), (np.concatenate(sent_keys), np.concatenate(sent_docs), np.full(n, _GRAM))):
-                if len(keys):
-                    keys, d, times = once(keys, docs)
-                    yield rows(keys, ids.take(pa.array(d)), h[d], kind[d].astype(np.int32), times)
+        held, answers = None, {}
+        for batch in batches:
+            kinds, sizes, data = batch.column("kind").to_pylist(), batch.column("n").to_pylist(), batch.column("data")
+            for i, kind in enumerate(kinds):
+                if kind < 0:
+                    if held is not None:
+                        yield sums(held, answers)
+                    held, answers = _open({c: batch.column(c)[i].as_py() for c in _BLOCK_NAMES}), {}
+                else:
+                    answers.setdefault(kind, []).append((sizes[i], data[i].as_py()))
+        if held is not None:
+            yield sums(held, answers)
 
     return run
 
 
-def _count(docs: DataFrame, p: TreeParams, orders: tuple[int, ...], name: str, bits: np.ndarray | None = None) -> DataFrame:
-    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    parts = 8 * n
-    sent = docs.mapInArrow(_counts(p, orders, parts, bits), "part int, grams int, data binary")
-    return materialize(sent.repartition(n, "part").mapInArrow(_adder(p), "grams int, context long, sub long, n long, own long"), name)
-
-
-def _bitmap(table: DataFrame, p: TreeParams) -> np.ndarray:
-    """A bit for each key of ``table``, which others may share: sixteen bits a key, as far as ``p.bitmap`` goes."""
-    power = min(max((16 * table.count()).bit_length(), 10), p.bitmap)
-    parts = table.select("key", F.shiftrightunsigned("key", 64 - _SEGMENTS).alias("segment")).repartition("segment").select("key")
-    found = parts.mapInArrow(_segments(power), "segment int, bits binary").toArrow()
-    size = 1 << (power - _SEGMENTS - 3)
-    bits = np.zeros(1 << (power - 3), np.uint8)
-    for s, part in zip(found.column("segment").to_pylist(), found.column("bits").to_pylist()):
-        bits[s * size : (s + 1) * size] = np.frombuffer(part, np.uint8)
-    return bits
-
-
-def _weights(grams: DataFrame, p: TreeParams, name: str) -> DataFrame:
-    n = int(grams.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    sorted_ = grams.select("context", "sub", "n", "own", "lower", "log_p").repartition(n, "context").sortWithinPartitions("context")
-    return materialize(sorted_.mapInArrow(_weigher(p), "key long, share double, log_p double, v double, n long"), name)
-
-
-def fit(docs: DataFrame, p: TreeParams = TreeParams()) -> tuple[Model, DataFrame]:
-    """The model learnt from the training texts of (doc_id, text), and the table of the rarer n-grams' weights."""
-    counted = _count(docs, p, (1, 2), "lm-pairs")
-    words = counted.where("grams = 1").select(F.col("sub").alias("w"), F.col("n").alias("c"))
-    sums = words.agg(F.sum("c"), F.count(F.lit(1))).first()
-    total, types = int(sums[0] or 0), sums[1]
-    root = F.col("c") / F.lit(float(total + 1))
-    pairs = counted.where("grams = 2").join(words.hint("merge"), F.col("sub") == F.col("w")).withColumn("lower", root).withColumn("log_p", F.log10(root))
-    pairs = _weights(pairs, p, "lm-pair-weights")
-    listed = words.where(F.col("c") >= max(1.0, p.frequency * total * 2)).toArrow()
-    drop_table(counted)
-    # A triple's two pairs come as often as it does at least, so that they are in the table of pairs.
-    known = pairs.where("share is not null")
-    triples = _count(docs, p, (3,), "lm-triples", _bitmap(known, p))
-    suffix = known.select(F.col("key").alias("suffix"), F.col("share").alias("lower"), "log_p")
-    whole = known.select(F.col("key").alias("whole"), F.col("n").alias("own"))
-    found = triples.drop("own").join(suffix.hint("merge"), F.col("sub") == F.col("suffix")).join(whole.hint("merge"), F.col("context") == F.col("whole"))
-    weights = _weights(found, p, "lm-triple-weights")
-    drop_table(triples)
-    both = pairs.select("key", "v", "n").unionByName(weights.select("key", "v", "n")).where("v != 0")
-    table = materialize(both.groupBy("key").agg(F.sum("v").alias("v"), F.max("n").alias("n")), "lm-weights")
-    for old in (pairs, weights):
-        drop_table(old)
-    many = max(1.0, p.frequency * total)
-    frequent = table.where(F.col("n") >= many).select("key", "v").toArrow()
-    longs = lambda c: np.ascontiguousarray(c.to_numpy()).astype(np.int64).view(np.uint64)
-    model = Model(total, types, *_sorted(longs(listed.column("w")), listed.column("c").to_numpy().astype(np.float64)), *_sorted(longs(frequent.column("key")), frequent.column("v").to_numpy().astype(np.float64)), _bitmap(table, p))
-    return model, table.where(F.col("n") < many).select("key", "v")
-
-
 def score(docs: DataFrame, p: TreeParams = TreeParams(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of ``docs``: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score.
 
     The words ``[^\\x20\\x09-\\x0D]+`` of a text, A-Z lower-cased, and one end are its tokens. A null or
     empty text is its end alone. Repeated rows count as often as they come, and each gets its row. With no
-    training text every token is unknown. Words are told apart by 64-bit hashes.
+    training text every token is unknown; no rows give none. Long texts are read in pieces, each with the
+    words before it as contexts. Other columns aren't read. Words are told apart by 64-bit hashes.
     """
-    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    model, weights = fit(docs, p)
-    sent = docs.mapInArrow(_scorer(model), _SENT)
-    none = lambda kind: F.lit(None).cast(kind)
-    sent = sent.unionByName(weights.select(F.col("key").alias("w"), none("long").alias("doc_id"), none("int").alias("h"), F.lit(_WEIGHT).alias("kind"), "v"))
-    by_key = Window.partitionBy("w").orderBy("w")  # all rows of a key are peers
-    of = lambda kind: F.sum(F.when(F.col("kind") == kind, F.col("v")).otherwise(0.0))
-    counted = sent.withColumn("c", of(_TRAIN).over(by_key)).withColumn("weight", of(_WEIGHT).over(by_key)).where(F.col("kind") != _WEIGHT)
-    rare = F.col("kind") <= _OTHER
-    log_count = lambda c: F.sum(F.when(rare, F.col("v") * F.log10(c)).otherwise(0.0))
-    per_text = counted.groupBy("doc_id", "h").agg(
-        of(_ROWS).alias("rows"),
-        of(_TOKENS).alias("n_tokens"),
-        (of(_KNOWN) + F.sum(F.when(rare & (F.col("c") > 0), F.col("v")).otherwise(0.0))).alias("n_known"),
-        (of(_BASE) + log_count(F.col("c") + 1)).alias("base"),
-        (of(_SCORE) + log_count(F.greatest("c", F.lit(1.0))) + F.sum(F.when(F.col("kind") <= _GRAM, F.col("v") * F.col("weight")).otherwise(0.0))).alias("own"),
-    )
-    per_row = per_text.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("rows").cast("int"))))
-    each = lambda c: F.col(c) / F.col("rows")
+    docs = docs.select(named(id_col).cast("long").alias("doc_id"), named(text_col).cast("string").alias("text"))
+    blocks = materialize(docs.mapInArrow(_blocks(p), _BLOCK), "lm-blocks")
+    model = fit(blocks, p)
+    parts = _parts(docs)
+    several = []
+    for order, tables in enumerate(model.tables, 1):
+        for cut in _cuts(parts, p) if order > 1 else [(0, parts)]:
+            asks = blocks.mapInArrow(_asks(order, parts, model.bitmap, cut), _SENT)
+            own = [t.where(F.col("part").between(cut[0], cut[1] - 1)) for t, _ in tables]
+            several.append(materialize(_parted(_union([asks, *own]), cut).mapInArrow(_answers, _SENT), "lm-answers"))
+        for _, folder in tables:
+            drop_folder(docs.sparkSession, folder)
+    answers = _union(several)
+    for folder in model.folders:
+        drop_folder(docs.sparkSession, folder)
+    none = [F.lit(None).cast(t).alias(c) for c, t in (x.split(" ") for x in _BLOCK.split(", ")[1:])]
+    both = answers.select("block", "kind", "part", "n", "data", *none).unionByName(blocks.select("block", F.lit(-1).alias("kind"), F.lit(0).alias("part"), F.lit(0).cast("long").alias("n"), F.lit(None).cast("binary").alias("data"), *_BLOCK_NAMES[1:]))
+    path = scratch_dir(docs.sparkSession, "lm-sums")
+    for k in range(p.rounds):
+        own = both.where(F.col("block") % p.rounds == k).repartition(-(-parts // p.rounds), "block").sortWithinPartitions("block", "kind", "part")
+        own.mapInArrow(_scorer(p, model.bitmap), _SUMS).write.mode("append").parquet(path)
+        free_shuffles(docs.sparkSession)
+    found = docs.sparkSession.read.schema(_SUMS).parquet(path)
+    for table in (*several, blocks):
+        drop_table(table)
+    pieces = found.where("not whole").groupBy("row").agg(F.first("doc_id").alias("doc_id"), *[F.sum(c).alias(c) for c in _SUMS_NAMES[3:]]).drop("row")
+    per_row = found.where("whole").drop("row", "whole").unionByName(pieces)
     held = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % 7 == 2
     return per_row.select(
         F.col("doc_id").alias(id_col),
         held.alias("held_out"),
-        F.round(each("n_tokens")).cast("long").alias("n_tokens"),
-        F.round(each("n_known")).cast("long").alias("n_known"),
+        "n_tokens",
+        "n_known",
         F.lit(model.total).cast("long").alias("train_tokens"),
-        (each("base") - each("n_tokens") * F.lit(math.log10(model.total + model.words + 1))).alias("base_score"),
-        (each("own") - each("n_tokens") * F.lit(math.log10(model.total + 1))).alias("score"),
+        (F.col("base") - F.col("n_tokens") * F.lit(math.log10(model.total + model.words + 1))).alias("base_score"),
+        (F.col("own") - F.col("n_tokens") * F.lit(math.log10(model.total + 1))).alias("score"),
     )

@@ -61,3 +61,50 @@ def unigram(rows):
     c = collections.Counter(w for i, t in rows if not held(i) for w in tok(t))
     n, v = sum(c.values()), len(c)
     return [(held(i), len(tok(t)), sum(w in c for w in tok(t)), n, sum(math.log10((c[w] + 1) / (n + v + 1)) for w in tok(t))) for i, t in rows]
+
+
+def suffix_tree(rows, p, model=False):
+    """The log10 probability of each text of (doc_id, text) by a tree in dictionaries, and the number of states; or with
+    ``model`` the probability of a word after a context, the states and the words learnt."""
+    held = lambda i: zlib.crc32(b"" if i is None else str(i).encode()) % 7 == 2
+    tok = lambda t: [*(t or "").encode().lower().split(), None]
+    texts = [tok(t) for _, t in rows]
+    train = [x for (i, _), x in zip(rows, texts) if not held(i)]
+    unigrams = collections.Counter(w for x in train for w in x)
+    total = sum(unigrams.values())
+    follow = collections.defaultdict(collections.Counter)
+    for x in train:
+        for i in range(1, len(x)):
+            for k in range(1, min(i, p.depth) + 1):
+                follow[tuple(x[i - k : i])][x[i]] += 1
+    state = {}
+    for context, after in follow.items():
+        own = sum(after.values())
+        listed = {w: n for w, n in after.items() if n >= p.least_count}
+        if not listed:
+            continue
+        if len(context) == 1:
+            lower = {w: unigrams[w] / (total + 1) for w in listed}
+        else:
+            suffix = follow[context[1:]]
+            lower = {w: suffix[w] / sum(suffix.values()) for w in listed}
+        kl = sum(n / own * math.log(n / own / lower[w]) for w, n in listed.items())
+        left = max(1 - sum(listed.values()) / own, 0)
+        if left > 1e-15:
+            kl += left * math.log(left / max(1 - sum(lower.values()), 1e-12))
+        if kl >= p.divergence and 2 * own * kl > len(listed) + p.deviations * math.sqrt(2 * len(listed)):
+            mass = {w: max(n - p.discount, 0) / own for w, n in listed.items()}
+            state[context] = (1 - sum(mass.values()), mass)
+
+    def probability(context, w):
+        if not context:
+            return max(unigrams[w], 1) / (total + 1)
+        shorter = probability(context[1:], w)
+        if context not in state:
+            return shorter
+        back, mass = state[context]
+        return mass.get(w, 0.0) + back * shorter
+
+    if model:
+        return probability, sorted(state, key=str), list(unigrams)
+    return [sum(math.log10(probability(tuple(x[max(0, i - p.depth) : i]), w)) for i, w in enumerate(x)) for x in texts], len(state)

@@ -10,6 +10,7 @@ import zlib
 
 import brute
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -222,48 +223,16 @@ def test_scores(docs):
     assert sorted(number(r.doc_id, r.held_out, r.n_tokens, r.n_known, r.train_tokens, r.base_score) for r in got) == sorted(number(r[0], *x) for r, x in zip(ROWS, want))
 
 
-@pytest.mark.parametrize("frequency", [1e-6, 1e-3])
-def test_rare_words_are_scored_alike(spark, frequency):
+def test_rare_words_are_counted_alike(spark):
     rows = [(i, prose(30) + " of the of the") for i in range(120)]
     frame = spark.createDataFrame(rows + rows[:3], "doc_id long, text string").repartition(4)
-    got = {r.doc_id: r for r in lm.score(frame, lm.TreeParams(frequency=frequency)).collect()}
+    got = {r.doc_id: r for r in lm.score(frame).collect()}
     want = {i: x for (i, _), x in zip(rows, brute.unigram(rows + rows[:3]))}
     assert all((got[i].n_known, got[i].n_tokens) == (x[2], x[1]) and abs(got[i].base_score - x[4]) < 1e-6 for i, x in want.items())
 
 
-def test_contexts_are_learnt_and_probabilities_add_up():
-    rng = random.Random(3)
-    text = []
-    for _ in range(4000):
-        text += ["a", rng.choice("bc")] if text[-1:] != ["b"] else ["d", "e"]
-    w = np.array([ord(c) for c in text], np.uint64)
-    before = np.minimum(np.arange(len(w)), 2).astype(np.int8)
-    found = collections.defaultdict(list)
-    for order in (1, 2, 3):
-        at, keys = lm._grams(w, before, np.ones(len(w), bool), order)
-        key, first, n = np.unique(keys, return_index=True, return_counts=True)
-        i = at[first]
-        zero = np.zeros(len(key), np.uint64)
-        parts = {1: (zero, zero, zero), 2: (w[i - 1], w[i], w[i]), 3: (lm.pair_key(w[i - 2], w[i - 1]), lm.pair_key(w[i - 1], w[i]), w[i])}[order]
-        for c, v in zip(("grams", "key", "context", "suffix", "next", "n"), (np.full(len(key), order), key, *parts, n)):
-            found[c].append(v)
-    table = {c: np.concatenate(v) for c, v in found.items()}
-    tree = lm.build_tree(table, table["n"].astype(float), len(w), lm.TreeParams())
-    assert len(tree.states[0][0]) >= 3
-    vocabulary = np.unique(w)
-    root = tree.word_count / (tree.total + 1)
-    assert abs(root.sum() + tree.rest - 1) < 1e-9
-    for a in vocabulary:
-        back = lm._lookup(*tree.states[0], np.array([a]), -1.0)[0]
-        if back < 0:
-            continue
-        own = lm._lookup(*tree.nexts[0], lm.pair_key(np.full(len(vocabulary), a), vocabulary))
-        assert abs((own + back * root).sum() + back * tree.rest - 1) < 1e-9
-
-
-@pytest.fixture(scope="module")
-def phrases(spark):
-    """Texts whose phrases recur in many contexts, a few of them once in each of many texts; and their scores by the plain tree."""
+def phrase_rows():
+    """Texts whose phrases recur in many contexts, a few of them once in each of many texts."""
     rng = random.Random(11)
     vocabulary = [prose(1) + str(i) for i in range(60)]
     fixed = [rng.choices(vocabulary, k=rng.randint(2, 6)) for _ in range(12)]
@@ -271,40 +240,30 @@ def phrases(spark):
     for i in range(150):
         parts = [rng.choice(fixed) if rng.random() < 0.4 else [rng.choice(vocabulary)] for _ in range(rng.randint(1, 20))]
         texts.append(" ".join([*sum(parts, []), *(["seldom", "seen", "phrase"] if i % 40 == 1 else []), f"only{i}"]))
-    rows = [*enumerate(texts), (3, texts[3]), (500, ""), (501, None), (None, texts[5])]
-    import pyarrow as pa
-
-    (t,) = lm.tokens(iter([pa.RecordBatch.from_pydict({"doc_id": pa.array([r[0] for r in rows], pa.int64()), "text": pa.array([r[1] for r in rows])})]))
-    w, train = t.token, np.array([not lm.held_out(i) for i in t.ids])[t.doc]
-    found = collections.defaultdict(list)
-    for order in (1, 2, 3):
-        at, keys = lm._grams(w, t.before, train, order)
-        key, first, n = np.unique(keys, return_index=True, return_counts=True)
-        i = at[first]
-        zero = np.zeros(len(key), np.uint64)
-        parts = {1: (zero, zero, zero), 2: (w[i - 1], w[i], w[i]), 3: (lm.pair_key(w[i - 2], w[i - 1]), lm.pair_key(w[i - 1], w[i]), w[i])}[order]
-        for c, v in zip(("grams", "key", "context", "suffix", "next", "n"), (np.full(len(key), order), key, *parts, n)):
-            found[c].append(v)
-    table = {c: np.concatenate(v) for c, v in found.items()}
-    tree = lm.build_tree(table, table["n"].astype(float), int(train.sum()), lm.TreeParams())
-    p = np.maximum(lm._lookup(tree.word, tree.word_count, w), 1) / (tree.total + 1)
-    for k, (state, nexts) in enumerate(zip(tree.states, tree.nexts)):
-        for i in np.flatnonzero(t.before > k):
-            at = slice(i, i + 1)
-            context, key = (w[i - 1 : i], lm.pair_key(w[i - 1 : i], w[at])) if k == 0 else (lm.pair_key(w[i - 2 : i - 1], w[i - 1 : i]), lm.triple_key(w[i - 2 : i - 1], w[i - 1 : i], w[at]))
-            back = lm._lookup(*state, context, -1.0)[0]
-            if back >= 0:
-                p[i] = lm._lookup(*nexts, key)[0] + back * p[i]
-    assert all(len(s[0]) > 20 for s in tree.states)
-    want = np.bincount(t.doc, np.log10(p), minlength=len(rows))
-    return spark.createDataFrame(rows, "doc_id long, text string"), sorted((str(i), round(float(x), 6)) for i, x in zip(t.ids, want))
-
-
-@pytest.mark.parametrize("frequency,parts,more", [(1e-6, 2, {}), (1e-3, 3, {}), (2e-4, 40, {}), (1.0, 3, {"stretch": 50}), (1.0, 3, {"bitmap": 10})])
-def test_all_that_comes_twice_is_in_the_tree_however_rare_or_split(phrases, frequency, parts, more):
-    docs, want = phrases
-    got = lm.score(docs.repartition(parts), lm.TreeParams(frequency=frequency, **more)).collect()
-    assert sorted((str(r.doc_id), round(r.score, 6)) for r in got) == want
+    return [*enumerate(texts), (3, texts[3]), (500, ""), (501, None), (None, texts[5]), (777, " \n".join(texts[:40]).upper()), (778, "none of these")]
+
+
+@pytest.mark.parametrize("parts,more", [(2, {}), (40, {"depth": 1, "rounds": 1}), (3, {"depth": 2, "bitmap": 10, "rounds": 1}), (3, {"depth": 5, "block_bytes": 600, "rounds": 1}), (3, {"least_count": 3, "block_bytes": 5000, "rounds": 2})])
+def test_scores_are_those_of_the_plain_tree(spark, parts, more):
+    rows, p = phrase_rows(), lm.TreeParams(**more)
+    want, states = brute.suffix_tree(rows, p)
+    assert states > 30
+    got = lm.score(spark.createDataFrame(rows, "doc_id long, text string").repartition(parts), p).collect()
+    found, want = (sorted(x, key=lambda r: (r[0], r[1])) for x in ([(str(r.doc_id), r.score) for r in got], [(str(i), x) for (i, _), x in zip(rows, want)]))
+    assert [i for i, _ in found] == [i for i, _ in want] and np.allclose([x for _, x in found], [x for _, x in want], rtol=1e-6, atol=1e-5)
+    base = sorted((str(i), *x[:-1], round(x[-1], 5)) for (i, _), x in zip(rows, brute.unigram(rows)))
+    assert sorted((str(r.doc_id), r.held_out, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 5)) for r in got) == base
+
+
+def test_probabilities_after_a_state_add_up():
+    rows = [r for r in phrase_rows() if r[0] is not None]
+    probability, contexts, vocabulary = brute.suffix_tree(rows, lm.TreeParams(), model=True)
+    assert max(map(len, contexts)) == 3
+    unseen = probability((), "never seen")
+    for context in contexts[:80]:
+        rest = probability(context, "never seen") / unseen  # what the state leaves to words that aren't listed
+        assert 0 < rest < 1
+        assert abs(sum(probability(context, w) for w in vocabulary) + rest * unseen - 1) < 1e-9
 
 
 def test_no_texts_to_learn_from(spark):
@@ -350,7 +309,7 @@ def test_recall_and_blocks(spark):
     v = rng.normal(size=(6000, 24))
     frame = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "vec_id long, embedding array<double>")
     want = exact_neighbours(np.arange(6000), v)
-    for p in (ann.ForestParams(), ann.ForestParams(block_rows=100, block_queries=20)):
+    for p in (ann.ForestParams(), ann.ForestParams(block_rows=100), ann.ForestParams(visit_rows=0, leaf_rows=60)):
         got = collections.defaultdict(set)
         for r in ann.search(frame, p=p).collect():
             got[r.query_id].add(r.vec_id)
@@ -598,3 +557,51 @@ def test_held_out_accuracy_on_documents(spark):
     found = langid.identify(docs).alias("p").join(docs.select("doc_id", "lang").where("lang is not null").alias("d"), "doc_id").where("held_out and lang_pred != 'und'")
     right, n = found.agg(F.sum((F.col("lang") == F.col("lang_pred")).cast("int")), F.count(F.lit(1))).first()
     assert n > 50 and right / n > 0.9
+
+
+def clustered(n, dims=32, centres=400, seed=8):
+    rng = np.random.default_rng(seed)
+    return rng.normal(size=(centres, dims))[rng.integers(0, centres, n)] * 2 + rng.normal(size=(n, dims)) * 0.35
+
+
+def test_clustered_vectors_take_few_products(spark):
+    """Some 100,000 vectors: the walk takes under 0.3 n products a query, deeper than one leaf, and finds over 0.9."""
+    n = 100_000
+    v = clustered(n).astype(np.float32)
+    frame = spark.createDataFrame(pd.DataFrame({"vec_id": np.arange(n), "embedding": v.tolist()}))
+    rows = ann.usable(frame, "vec_id", "embedding")
+    every = 500
+    walk = ann.fit(rows, 20, every, ann.ForestParams())
+    print(f"clustered: {len(walk.sizes)} trees of depth {walk.forest.depth}, {walk.products:.4f} n products, {walk.leaves:.1f} leaves a query")
+    assert walk.products < 0.3 and walk.forest.depth >= 5
+    got = collections.defaultdict(set)
+    for r in ann.search(frame, every=every).collect():
+        got[r.query_id].add(r.vec_id)
+    wide = v.astype(np.float64)
+    hits = []
+    for q in range(0, n, every):
+        s = wide @ wide[q]
+        s[q] = -np.inf
+        hits.append(len(got[q] & set(np.argpartition(-s, 20)[:20].tolist())) / 20)
+    print(f"recall {np.mean(hits):.3f}")
+    assert np.mean(hits) >= 0.9
+
+
+def test_no_walk_costs_more_than_exact_search(spark):
+    v = np.random.default_rng(9).normal(size=(8000, 48))
+    frame = spark.createDataFrame(pd.DataFrame({"vec_id": np.arange(8000), "embedding": v.tolist()}))
+    walk = ann.fit(ann.usable(frame, "vec_id", "embedding"), 20, 20, ann.ForestParams())
+    print(f"isotropic: {len(walk.sizes)} trees of depth {walk.forest.depth}, {walk.products:.3f} n products")
+    assert walk.products <= 1.0 and walk.found >= 0.95
+
+
+def test_the_queue_yields_leaves_by_distance():
+    v = clustered(3000, 16, 30)
+    forest = ann.fit_forest(v, 3000, ann.ForestParams(leaf_rows=100))
+    sizes = np.stack([np.bincount(x, minlength=2**forest.depth) for x in forest.leaves(v).T])
+    assert forest.depth == 5 and (sizes.sum(1) == 3000).all() and sizes.max() < 400
+    for q in v[:20]:
+        far = forest.distances(q[None])[0]
+        order = forest.visits(q, sizes / 3000, 99.0)
+        assert len(order) == (sizes > 0).sum() and (np.diff([far[t, x] for t, x in order]) >= -1e-9).all()
+        assert all(far[t, x] < 1e-12 for t, x in enumerate(forest.leaves(q[None])[0]))
