@@ -712,16 +712,34 @@ def contained_passages(spark, d):
     return _contained(texts(spark, d), table(spark, d, "benchmark"))
 
 
+#: Passages without a key that one pass over the documents looks for.
+PASSAGES_A_PASS = 1000
+
+
 def _contained(docs: DataFrame, items: DataFrame, width: int = 24) -> DataFrame:
     """Passages that documents hold word for word. Both sides meet at hashes of ``width`` characters: all of
-    a document's windows would be many, so those that begin a word are taken, and a passage's first one."""
+    a document's windows would be many, so those that begin a word are taken, and a passage's first one.
+    Passages that have none, as they are short or have no spaces, are looked for in each document, so many a pass."""
     begins = lambda t: F.regexp_extract_all(t, F.lit(rf"(?s)(?<![^\s])(?=(\S.{{{width - 1}}}))"), 1)
-    keyed = items.where(F.length("text") >= width).select("item_id", F.col("text").alias("passage"), F.instr("text", " ").alias("k"))
-    inner = F.expr("substring(passage, k + 1, length(passage))")
-    first = keyed.where("k > 0").select("item_id", "passage", F.element_at(begins(inner), 1).alias("key")).where("key is not null")
+    inner = F.when(F.instr("text", " ") > 0, F.expr("substring(text, instr(text, ' ') + 1)"))
+    keyed = items.where("text is not null").select("item_id", F.col("text").alias("passage"), F.try_element_at(begins(inner), F.lit(1)).alias("key"))
+    first = keyed.where("key is not null")
     windows = docs.select("doc_id", "text", F.explode(F.array_distinct(begins(F.col("text")))).alias("key"))
-    hits = windows.join(first, "key").where(F.contains("text", "passage"))
-    return hits.select("item_id", "doc_id").distinct().groupBy("item_id").agg(F.count(F.lit(1)).alias("documents"), F.min("doc_id").alias("first_id"))
+    hits = windows.join(first, "key").where(F.contains("text", "passage")).select("item_id", "doc_id").distinct()
+    held: list[tuple] = []
+
+    def looked_for() -> DataFrame:
+        passages = F.array(*[F.struct(F.lit(i).cast(items.schema["item_id"].dataType).alias("item_id"), F.lit(p).alias("passage")) for i, p in held])
+        found = docs.select("doc_id", F.explode(F.filter(passages, lambda x: F.contains("text", x["passage"]))).alias("x"))
+        return found.select("x.item_id", "doc_id")
+
+    for r in keyed.where("key is null").select("item_id", "passage").toLocalIterator():
+        held.append((r["item_id"], r["passage"]))
+        if len(held) == PASSAGES_A_PASS:
+            hits, held = hits.unionByName(looked_for()), []
+    if held:
+        hits = hits.unionByName(looked_for())
+    return hits.groupBy("item_id").agg(F.count_distinct("doc_id").alias("documents"), F.min("doc_id").alias("first_id"))
 
 
 # event windows: the streaming queries' batch results

@@ -12,11 +12,11 @@ import pytest
 from pyspark.sql import functions as F
 
 from lectern.functions import text as T
-from lectern.operators import alignment, entities, lexical, quantize, relational, requests, vectors
+from lectern.operators import alignment, entities, lexical, quantize, relational, requests
 from lectern.plans import baseline, jobs, migrations, projection, runlog
 from lectern.plans.curation import Conflict, Curation
 from lectern.plans.ledger import Archive, StaleInput
-from lectern.sources import markdown, tensors
+from lectern.sources import tensors
 
 # embedding files
 
@@ -422,4 +422,16 @@ def test_discovery_needs_a_query(spark):
         with pytest.raises(ValueError):
             entities.discover(names, groups, members, bad)
     assert [r.name for r in entities.discover(names, groups, members, "ana novik").collect()] == ["ana novak"]
-    assert vectors.normalize is not None and markdown.SIDECAR
+
+
+def test_short_passages_and_those_without_spaces_are_found(spark, monkeypatch):
+    from lectern.plans import catalogue
+
+    texts = ["a long enough passage of some words, told twice", "short", "nospacesatallinthisratherlongpassage", "日本語の文章です", "x y", "not there", "", None]
+    docs = [(0, f"Before {texts[0]}. {texts[1]}"), (1, f"in{texts[2]}side {texts[3]}"), (2, "axx yb short"), (3, None)]
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "item_id long, text string")
+    frame = spark.createDataFrame(docs, "doc_id long, text string")
+    want = sorted((i, sum(t in d for _, d in docs if d), min(k for k, d in docs if d and t in d)) for i, t in enumerate(texts) if t is not None and any(t in d for _, d in docs if d))
+    for some in (1000, 2):
+        monkeypatch.setattr(catalogue, "PASSAGES_A_PASS", some)
+        assert sorted(map(tuple, catalogue._contained(frame, rows).collect())) == want
