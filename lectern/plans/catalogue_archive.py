@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from lectern.functions.text import ascii_tokens
 from lectern.operators import chunking, entities, lexical, relational, snippets
 from lectern.plans import baseline, models
+from lectern.plans.curation import Curation
 from lectern.plans.engine import Engine
 from lectern.plans.ledger import Archive
 from lectern.plans.registry import once, query, table, texts
@@ -239,3 +240,57 @@ def stage_audits_of_changed_texts(spark, d):
     fewer = documents.join(ranked.select(F.col("text_id").alias("doc_id")), "doc_id", "left_anti")
     both = baseline.audit_mentions(mentions, done, changed).unionByName(baseline.audit_lexical(fewer, articles))
     return both.where(F.col("check").isin("completions of another text", "articles that aren't indexed")).select("check", "problems")
+
+
+def _curated(spark, d) -> Curation:
+    """Groups of nations by region and parity; those of a region united but in region 0; one retired, one pair told apart."""
+    store = Curation(":memory:")
+    change = lambda action, origin="reviewed", **p: store.mutate(action, p, operation_id=f"{action}-{store.revision}", actor="query", origin=origin)
+    nations = table(spark, d, "nation").orderBy("n_nationkey").collect()
+    for region in sorted({n.n_regionkey for n in nations}):
+        ids = []
+        for parity in (0, 1):
+            names = [n.n_name for n in nations if n.n_regionkey == region and n.n_nationkey % 2 == parity]
+            ids.append(change("create", origin="autonomous" if parity else "reviewed", group_id=f"g{region}{parity}", preferred=f"Region {region} {parity}", members=names)["group_id"])
+        if region:
+            change("union", group_ids=ids)
+    change("retire", group_id="g00", into="g10")
+    change("reject", pair=["nation_0", "nation_1"])
+    return store
+
+
+@query("""SELECT 'g' || r.g AS group_id, 'Region ' || n_regionkey || CASE WHEN n_regionkey = 0 THEN ' 1' ELSE ' 0' END AS preferred, lower(n_name) AS name, CASE n_nationkey % 2 WHEN 1 THEN 'autonomous' ELSE 'reviewed' END AS origin,
+CASE WHEN n_regionkey = 0 THEN 'autonomous' WHEN count(DISTINCT n_nationkey % 2) OVER (PARTITION BY n_regionkey) > 1 THEN 'mixed' WHEN n_nationkey % 2 = 1 THEN 'autonomous' ELSE 'reviewed' END AS provenance
+FROM nation, LATERAL (SELECT n_regionkey || CASE WHEN n_regionkey = 0 THEN '1' ELSE '0' END AS g) r WHERE n_regionkey > 0 OR n_nationkey % 2 = 1""")
+def curation_groups(spark, d):
+    store = _curated(spark, d)
+    tables = store.tables(spark)
+    kinds = spark.createDataFrame([(g["group_id"], g["provenance"]) for g in store.groups()], "group_id string, provenance string")
+    members = tables["members"].select("group_id", "name", "origin")
+    return members.join(tables["groups"].select("group_id", "preferred"), "group_id").join(kinds, "group_id")
+
+
+@query("SELECT 'g' || r || '1' AS old, 'g' || r || '0' AS new FROM (SELECT DISTINCT n_regionkey AS r FROM nation WHERE n_regionkey > 0) UNION ALL SELECT 'g00', 'g10'")
+def curation_redirects(spark, d):
+    return _curated(spark, d).tables(spark)["redirects"]
+
+
+@query("WITH m AS (SELECT p_partkey AS article_id, 0 AS entity_index, p_name AS text FROM part UNION ALL SELECT p_partkey, 1, p_brand || ' ' || p_type FROM part), n AS (SELECT lower(text) AS normalized_name, article_id FROM m GROUP BY 1, 2) SELECT normalized_name, count(*) AS article_count FROM n GROUP BY 1")
+def dictionary_merge(spark, d):
+    """A dictionary of two thirds of the articles, to which that of the others, and of some again, is added."""
+    parts = table(spark, d, "part")
+    one = lambda i, t: F.struct(F.lit(i).alias("entity_index"), t.alias("text"), F.lit(i).alias("char_start"))
+    mentions = parts.select(F.col("p_partkey").alias("article_id"), F.explode(F.array(one(0, F.col("p_name")), one(1, F.concat("p_brand", F.lit(" "), "p_type")))).alias("m")).select("article_id", "m.*")
+    done = parts.select(F.col("p_partkey").alias("article_id"), F.lit("x").alias("content_sha256"))
+    of = lambda condition: entities.dictionary(mentions.where(condition), done)
+    names, _ = entities.merge_dictionary(*of("article_id % 3 > 0"), *of("article_id % 3 = 0 or article_id % 5 = 0"))
+    return names.select("normalized_name", "article_count")
+
+
+@query(f"WITH {_MARKDOWN}, {_ARTICLES}, c AS (SELECT count(*) AS n FROM b) SELECT n AS valid_articles, n AS surface, 0::BIGINT AS lemma, (SELECT count(*) FROM embeddings) AS vectors, (SELECT count(DISTINCT p_name) FROM part) AS names FROM c")
+def index_readiness(spark, d):
+    archive, articles, _, _, documents, *_ = _stages(spark, d)
+    found = documents.agg(F.count(F.lit(1)), F.sum("size")).first()
+    names = table(spark, d, "part").select("p_name").distinct()
+    engine = Engine(archive.current_issues(), articles, lexical.Index(documents, found[0], found[1]), None, table(spark, d, "embeddings"), names=names)
+    return spark.createDataFrame([engine.status()], "valid_articles long, surface long, lemma long, vectors long, names long")
