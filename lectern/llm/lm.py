@@ -59,8 +59,9 @@ class TreeParams:
     block_bytes: int = 4 << 20
     #: Most bits, as a power of two, of the bitmaps that every task holds.
     bitmap: int = 28
-    #: Rounds in which n-grams are counted and asked for, each for a range of keys, and texts scored, so that what is
-    #: sent at once takes so much less of the disks.
+    #: Rounds in which n-grams are counted, and in which they are asked for and texts scored, each for a range of keys,
+    #: so that what is sent at once takes so much less of the disks. Later ones find more on the disks already.
+    count_rounds: int = 2
     rounds: int = 3
 
 
@@ -531,7 +532,7 @@ def fit(blocks: DataFrame, p: TreeParams = TreeParams()) -> Model:
     bits, known, total, types, folders = None, None, 0, 0, []
     tables: list[list[tuple[DataFrame, str]]] = [[] for _ in range(p.depth + 1)]
     for order in range(2, p.depth + 2):
-        sent = ((blocks.mapInArrow(_counts(order, parts, bits, cut), _SENT), cut) for cut in _cuts(parts, p))
+        sent = ((blocks.mapInArrow(_counts(order, parts, bits, cut), _SENT), cut) for cut in _cuts(parts, p.count_rounds))
         counted, counted_in = _table((_parted(*x).mapInArrow(_adder(p, parts), _SENT) for x in sent), f"lm-counts-{order}")
         if order == 2:
             sums = counted.where(F.col("kind") == _TOTAL).agg(F.sum("block"), F.sum("n")).first()
@@ -554,9 +555,9 @@ def fit(blocks: DataFrame, p: TreeParams = TreeParams()) -> Model:
     return Model(total, types, tables, _bitmap(_union([t for t, _ in sum(tables, [])[1:]]), p), folders)
 
 
-def _cuts(parts: int, p: TreeParams) -> list[tuple[int, int]]:
+def _cuts(parts: int, rounds: int) -> list[tuple[int, int]]:
     """The parts of each round."""
-    edges = [parts * k // p.rounds for k in range(p.rounds + 1)]
+    edges = [parts * k // rounds for k in range(rounds + 1)]
     return [(a, b) for a, b in zip(edges, edges[1:]) if a < b]
 
 
@@ -707,7 +708,7 @@ def score(docs: DataFrame, p: TreeParams = TreeParams(), id_col: str = "doc_id",
     parts = _parts(docs)
     several = []
     for order, tables in enumerate(model.tables, 1):
-        for cut in _cuts(parts, p) if order > 1 else [(0, parts)]:
+        for cut in _cuts(parts, p.rounds if 1 < order <= p.depth else 1):  # words and the longest n-grams are fewer
             asks = blocks.mapInArrow(_asks(order, parts, model.bitmap, cut), _SENT)
             own = [t.where(F.col("part").between(cut[0], cut[1] - 1)) for t, _ in tables]
             several.append(materialize(_parted(_union([asks, *own]), cut).mapInArrow(_answers, _SENT), "lm-answers"))
