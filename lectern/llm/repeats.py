@@ -28,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lectern.llm._common import SLICE_BYTES, drop_table, materialize, prefix_hash, substring_hash, text_slices
+from lectern.llm._common import SLICE_BYTES, drop_table, give_back, materialize, prefix_hash, substring_hash, text_slices
 
 LENGTH = 200
 GRAM = 64
@@ -210,6 +210,8 @@ def _open(row: dict) -> tuple[np.ndarray, np.ndarray]:
 def _rows(batch: pa.RecordBatch, *columns: str):
     cols = [batch.column(batch.schema.get_field_index(c)) for c in columns]
     for i in range(batch.num_rows):
+        if i:
+            give_back()
         yield {c: v[i].values if c == "ids" else v[i].values.to_numpy(zero_copy_only=False) if pa.types.is_list(v.type) and v[i].is_valid else v[i].as_py() for c, v in zip(columns, cols)}
 
 
