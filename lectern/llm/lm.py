@@ -233,24 +233,31 @@ def _planes(x: np.ndarray) -> bytes:
     return np.ascontiguousarray(x).view(np.uint8).reshape(len(x), -1).T.tobytes()
 
 
+_RAW = (np.uint64, np.float32)
+
+
 def _pack(columns: list[np.ndarray]) -> bytes:
-    """The first column, keys in about their order, as differences; whole numbers by planes; others as they are."""
+    """The first column, keys in about their order, as differences, and whole numbers by planes, compressed; hashes and
+    weights, which can't be, as they are behind them."""
     first = columns[0].copy()
     first[1:] -= columns[0][:-1]
-    rest = [x.tobytes() if x.dtype in (np.uint64, np.float64, np.float32) else _planes(x) for x in columns[1:]]
-    return zstandard.ZstdCompressor(level=1).compress(b"".join([_planes(first), *rest]))
+    packed = zstandard.ZstdCompressor(level=1).compress(b"".join(map(_planes, [first, *[x for x in columns[1:] if x.dtype not in _RAW]])))
+    return b"".join([len(packed).to_bytes(8, "little"), packed, *[x.tobytes() for x in columns[1:] if x.dtype in _RAW]])
 
 
 def _unpack(data: bytes, n: int, *types) -> list[np.ndarray]:
-    raw = zstandard.ZstdDecompressor().decompress(data, max_output_size=n * sum(np.dtype(t).itemsize for t in types))
+    raw = [False, *[t in _RAW for t in types[1:]]]
+    size = 8 + int.from_bytes(data[:8], "little")
+    plain = zstandard.ZstdDecompressor().decompress(data[8:size], max_output_size=n * sum(np.dtype(t).itemsize for t, r in zip(types, raw) if not r))
     out, at = [], 0
-    for i, t in enumerate(types):
-        size = np.dtype(t).itemsize
-        if i and t in (np.uint64, np.float64, np.float32):
-            out.append(np.frombuffer(raw, t, n, at))
+    for t, r in zip(types, raw):
+        width = np.dtype(t).itemsize
+        if r:
+            out.append(np.frombuffer(data, t, n, size))
+            size += n * width
         else:
-            out.append(np.ascontiguousarray(np.frombuffer(raw, np.uint8, n * size, at).reshape(size, n).T).view(t).reshape(-1))
-        at += n * size
+            out.append(np.ascontiguousarray(np.frombuffer(plain, np.uint8, n * width, at).reshape(width, n).T).view(t).reshape(-1))
+            at += n * width
     out[0] = np.cumsum(out[0], dtype=np.uint64)
     return out
 
