@@ -25,7 +25,7 @@ from __future__ import annotations
 import math
 import zlib
 from collections.abc import Iterable, Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from functools import reduce
 from itertools import groupby
 
@@ -63,6 +63,8 @@ class TreeParams:
     #: so that what is sent at once takes so much less of the disks. Later ones find more on the disks already.
     count_rounds: int = 2
     rounds: int = 3
+    #: Blocks of this size in all need no more rounds than one; results are the same.
+    round_bytes: int = 16 << 20
 
 
 def held_out(doc_id: int | None, modulus: int = 7, remainder: int = 2) -> bool:
@@ -711,6 +713,9 @@ def score(docs: DataFrame, p: TreeParams = TreeParams(), id_col: str = "doc_id",
     """
     docs = docs.select(named(id_col).cast("long").alias("doc_id"), named(text_col).cast("string").alias("text"))
     blocks = materialize(docs.mapInArrow(_blocks(p), _BLOCK), "lm-blocks")
+    size = blocks.agg(F.sum(F.octet_length("words") + F.octet_length("tokens"))).first()[0] or 0
+    if size < p.round_bytes:
+        p = replace(p, count_rounds=1, rounds=1)
     model = fit(blocks, p)
     parts = _parts(docs)
     several = []

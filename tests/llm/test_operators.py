@@ -243,7 +243,7 @@ def phrase_rows():
     return [*enumerate(texts), (3, texts[3]), (500, ""), (501, None), (None, texts[5]), (777, " \n".join(texts[:40]).upper()), (778, "none of these")]
 
 
-@pytest.mark.parametrize("parts,more", [(2, {}), (40, {"depth": 1, "rounds": 1}), (3, {"depth": 2, "bitmap": 10, "rounds": 1}), (3, {"depth": 5, "block_bytes": 600, "rounds": 1}), (3, {"least_count": 3, "block_bytes": 5000, "rounds": 2})])
+@pytest.mark.parametrize("parts,more", [(2, {"round_bytes": 0}), (40, {"depth": 1}), (3, {"depth": 2, "bitmap": 10}), (3, {"depth": 5, "block_bytes": 600}), (3, {"least_count": 3, "block_bytes": 5000, "rounds": 2, "round_bytes": 0})])
 def test_scores_are_those_of_the_plain_tree(spark, parts, more):
     rows, p = phrase_rows(), lm.TreeParams(**more)
     want, states = brute.suffix_tree(rows, p)
