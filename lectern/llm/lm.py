@@ -25,6 +25,7 @@ from __future__ import annotations
 import math
 import zlib
 from collections.abc import Iterable, Iterator
+from contextlib import contextmanager
 from dataclasses import dataclass, replace
 from functools import reduce
 from itertools import groupby
@@ -33,15 +34,20 @@ import numpy as np
 import pyarrow as pa
 import zstandard
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lectern.llm import _common
 from lectern.llm._common import LOWER, binary_texts, drop_folder, drop_table, free_shuffles, give_back, materialize, mix, named, prefix_hash, read_array, scratch_dir, substring_hash, words, write_array
 
 END = np.uint64(0xE4D)
 _C1, _C2 = np.uint64(0x9FB21C651E98DF25), np.uint64(0xD6E8FEB86659FD93)
 _HIGH = np.uint64(0xFFFFFFFF00000000)
 _HALF = np.uint64(32)
+#: Bytes of text that are hashed at once; sums over them take some forty times as much.
+HASHED_BYTES = 1 << 19
+#: Bytes that an executor and its Python workers exchange at once, or one larger row.
+BATCH_BYTES = 4 << 20
 
 
 @dataclass(frozen=True)
@@ -126,12 +132,31 @@ class _Held:
         return pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), *lists, pa.array([known[order].tobytes()], pa.binary()), pa.array([zstandard.ZstdCompressor(level=1).compress(planes)], pa.binary())], _BLOCK_NAMES)
 
 
+def _slices(data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """Runs of whole texts of ``HASHED_BYTES`` at most, or pieces of a longer text: the first text, bytes and offsets."""
+    first, n = 0, len(offsets) - 1
+    while first < n:
+        last = int(np.searchsorted(offsets, offsets[first] + HASHED_BYTES, "right")) - 1
+        last = min(max(last, first + 1), n)
+        own = data[int(offsets[first]) : int(offsets[last])]
+        if len(own) > HASHED_BYTES:
+            for x, y in _cut(own, HASHED_BYTES):
+                yield first, own[x:y], np.array([0, y - x])
+        else:
+            yield first, own, offsets[first : last + 1] - offsets[first]
+        first = last
+
+
 def _hashes(data: np.ndarray, offsets: np.ndarray, end: bool) -> tuple[np.ndarray, np.ndarray]:
     """The tokens of texts side by side and how many each has, with its end if asked for."""
-    data = LOWER[data]
-    start, stop, doc = words(data, offsets)
     n = len(offsets) - 1
-    h = substring_hash(prefix_hash(data), start, stop)
+    found, docs = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+    for first, piece, own in _slices(data, offsets):
+        piece = LOWER[piece]
+        start, stop, doc = words(piece, own)
+        found.append(substring_hash(prefix_hash(piece), start, stop))
+        docs.append(doc + first)
+    h, doc = np.concatenate(found), np.concatenate(docs)
     sizes = np.bincount(doc, minlength=n)
     if not end:
         return h, sizes
@@ -183,6 +208,8 @@ def _blocks(p: TreeParams):
                     block, held, size = block + 1, _Held([], [], [], [], [], []), 0
         if held.rows:
             yield held.packed(block)
+        _common._tables.clear()  # the worker, which later steps use again, would keep them
+        give_back()
 
     return run
 
@@ -208,16 +235,21 @@ def _open(row: dict) -> Block:
     n = int(size.sum())
     known = np.frombuffer(row["words"], np.uint64)
     planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(row["tokens"], max_output_size=4 * n + 1), np.uint8) if n else np.zeros(0, np.uint8)
-    number = np.ascontiguousarray(planes.reshape(4, -1).T).view(np.uint32).reshape(-1)
+    planes = planes.reshape(4, -1)
+    number = planes[0].astype(np.uint32)
+    for k in range(1, 4):
+        if planes[k].any():
+            number |= planes[k].astype(np.uint32) << np.uint32(8 * k)
     doc = np.repeat(np.arange(len(size), dtype=np.int32), size)
     before = np.arange(n, dtype=np.int32) - np.repeat((np.cumsum(size) - size).astype(np.int32), size)
-    return Block(np.asarray(row["rows"], np.int64), list(row["ids"]), np.asarray(row["whole"], bool), known[number], doc, before >= np.asarray(row["lead"])[doc], before, known, number)
+    lead = np.asarray(row["lead"], np.int32)
+    own = before >= lead[doc] if lead.any() else np.ones(n, bool)
+    return Block(np.asarray(row["rows"], np.int64), list(row["ids"]), np.asarray(row["whole"], bool), known[number], doc, own, before, known, number)
 
 
 def _rows(batch: pa.RecordBatch, names=_BLOCK_NAMES) -> Iterator[dict]:
     for i in range(batch.num_rows):
-        yield {c: batch.column(c)[i].as_py() for c in names}
-    give_back()
+        yield {c: batch.column(c)[i].as_buffer() if c in ("words", "tokens") else batch.column(c)[i].as_py() for c in names}
 
 
 # packed arrays by part
@@ -326,8 +358,10 @@ def _exact(first: np.ndarray, second: np.ndarray, n: np.ndarray) -> tuple[np.nda
     order = np.argsort(keys)
     keys = keys[order]
     new = np.flatnonzero(np.append(True, keys[1:] != keys[:-1])) if len(keys) else order
-    n = np.add.reduceat(n[order], new, dtype=n.dtype) if len(new) else n
+    del keys
+    n = np.add.reduceat(n[order], new, dtype=np.int64) if len(new) else n.astype(np.int64)
     at = order[new]
+    del order, new
     by_first = np.argsort(first[at])
     at = at[by_first]
     return first[at], second[at], n[by_first]
@@ -370,6 +404,7 @@ def _counts(order: int, parts: int, bitmap: str | None, cut: tuple[int, int]):
                 context, suffix, n = _sum(context, suffix, np.ones(len(context), np.uint32))
                 if (sent := _split(context, [context, suffix, n], parts, order)) is not None:
                     yield sent
+        give_back()  # not between blocks, which take as much again
 
     return run
 
@@ -378,6 +413,13 @@ def _counts(order: int, parts: int, bitmap: str | None, cut: tuple[int, int]):
 _WORDS, _ASK, _KNOWN, _WEIGHT, _STATE, _TOTAL = 1, 2, 0, 5, 6, 9
 
 
+def _columns(held: list[tuple[np.ndarray, ...]]) -> list[np.ndarray]:
+    """The columns of several tables, which are let go of one by one; ``held`` is empty then."""
+    columns = [list(x) for x in zip(*held)]
+    held.clear()
+    return [np.concatenate(columns.pop(0)) for _ in range(len(columns))]
+
+
 def _adder(p: TreeParams, parts: int, most: int = 1 << 22):
     def run(batches):
         for _, rows in _by_part(batches):
@@ -386,25 +428,28 @@ def _adder(p: TreeParams, parts: int, most: int = 1 << 22):
                 for _, _, n, data in own:
                     if kind == _WORDS:
                         word, count = _unpack(data, n, np.uint64, np.uint32)
-                        held.append((word, word, count.astype(np.int64)))
+                        held.append((word, word, count))
+                        del word, count
                     else:
-                        context, suffix, count = _unpack(data, n, np.uint64, np.uint64, np.uint32)
-                        held.append((context, suffix, count.astype(np.int64)))
+                        held.append(tuple(_unpack(data, n, np.uint64, np.uint64, np.uint32)))
                     waiting += n
                     if waiting > most:
-                        held, waiting = [_exact(*map(np.concatenate, zip(*held)))], 0
-                context, suffix, n = _exact(*map(np.concatenate, zip(*held)))
-                held.clear()
+                        held, waiting = [_exact(*_columns(held))], 0
+                context, suffix, n = _exact(*_columns(held))
                 if kind == _WORDS:
                     yield _split(context, [context, n], parts, _WORDS)
                     yield pa.RecordBatch.from_pylist([{"part": 0, "kind": _TOTAL, "block": int(n.sum()), "n": len(n), "data": b""}], schema=_SENT_ARROW)
+                    del context, suffix, n
                     continue
                 first = np.flatnonzero(np.append(True, context[1:] != context[:-1]))
                 total = np.repeat(np.add.reduceat(n, first), np.diff(np.append(first, len(context))))
                 keep = np.flatnonzero((n >= p.least_count) & (suffix != 0))
                 keep = keep[np.argsort(suffix[keep])]
-                if (sent := _split(suffix[keep], [x[keep] for x in (suffix, context, n, total)], parts, _ASK)) is not None:
+                kept = [x[keep] for x in (suffix, context, n, total)]
+                del context, suffix, n, total, first, keep  # else they stay until the next part's take their place
+                if (sent := _split(kept[0], kept, parts, _ASK)) is not None:
                     yield sent
+                del kept, sent
 
     return run
 
@@ -610,6 +655,7 @@ def _asks(order: int, parts: int, bitmap: str, cut: tuple[int, int]):
                     asked = _asked(b, order, keys, bits, inside)[1]
                 if (sent := _split(asked, [asked], parts, 10 + order, row["block"])) is not None:
                     yield sent
+        give_back()
 
     return run
 
@@ -703,15 +749,21 @@ def _scorer(p: TreeParams, bitmap: str):
     return run
 
 
-def score(docs: DataFrame, p: TreeParams = TreeParams(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per row of ``docs``: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score.
+@contextmanager
+def _small_batches(spark: SparkSession) -> Iterator[None]:
+    """Limits what goes between an executor and its Python workers at once, of which both hold copies."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(name)
+    size = spark.sparkContext._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(before)
+    spark.conf.set(name, min(size, BATCH_BYTES))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
 
-    The words ``[^\\x20\\x09-\\x0D]+`` of a text, A-Z lower-cased, and one end are its tokens. A null or
-    empty text is its end alone. Repeated rows count as often as they come, and each gets its row. With no
-    training text every token is unknown; no rows give none. Long texts are read in pieces, each with the
-    words before it as contexts. Other columns aren't read. Words are told apart by 64-bit hashes.
-    """
-    docs = docs.select(named(id_col).cast("long").alias("doc_id"), named(text_col).cast("string").alias("text"))
+
+def _sums(docs: DataFrame, p: TreeParams) -> tuple[DataFrame, Model]:
+    """The sums of each text, or piece of a long one, and what they were found with."""
     blocks = materialize(docs.mapInArrow(_blocks(p), _BLOCK), "lm-blocks")
     size = blocks.agg(F.sum(F.octet_length("words") + F.octet_length("tokens"))).first()[0] or 0
     if size < p.round_bytes:
@@ -739,6 +791,20 @@ def score(docs: DataFrame, p: TreeParams = TreeParams(), id_col: str = "doc_id",
     found = docs.sparkSession.read.schema(_SUMS).parquet(path)
     for table in (*several, blocks):
         drop_table(table)
+    return found, model
+
+
+def score(docs: DataFrame, p: TreeParams = TreeParams(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per row of ``docs``: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score.
+
+    The words ``[^\\x20\\x09-\\x0D]+`` of a text, A-Z lower-cased, and one end are its tokens. A null or
+    empty text is its end alone. Repeated rows count as often as they come, and each gets its row. With no
+    training text every token is unknown; no rows give none. Long texts are read in pieces, each with the
+    words before it as contexts. Other columns aren't read. Words are told apart by 64-bit hashes.
+    """
+    docs = docs.select(named(id_col).cast("long").alias("doc_id"), named(text_col).cast("string").alias("text"))
+    with _small_batches(docs.sparkSession):
+        found, model = _sums(docs, p)
     pieces = found.where("not whole").groupBy("row").agg(F.first("doc_id").alias("doc_id"), *[F.sum(c).alias(c) for c in _SUMS_NAMES[3:]]).drop("row")
     per_row = found.where("whole").drop("row", "whole").unionByName(pieces)
     held = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % 7 == 2

@@ -6,6 +6,7 @@ import hashlib
 import io
 import json
 import random
+import tracemalloc
 import zlib
 
 import brute
@@ -15,6 +16,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lectern.llm import ann, exact_dedup, langid, lm, mixing, packing, queries, repeats, secrets, warc
+from lectern.llm._common import prefix_hash
 
 RNG = random.Random(5)
 LETTERS = [chr(c) for c in range(97, 123)] + list("éßñ")
@@ -273,6 +275,45 @@ def test_no_texts_to_learn_from(spark):
     assert lm.score(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
+def test_texts_are_hashed_in_slices(monkeypatch):
+    """Sums over a text's bytes take forty times as much memory, so no more than a slice is summed up at once."""
+    texts = [f"Some words, the {i}th time ".encode() * 60 for i in range(40)] + [b"", b" \t", b"x" * 9_000, "wörter und mehr ".encode() * 2_000, b"last"]
+    data, offsets = np.frombuffer(b"".join(texts), np.uint8), np.cumsum([0, *map(len, texts)])
+    monkeypatch.setattr(lm, "HASHED_BYTES", 1 << 30)
+    whole = [lm._hashes(data, offsets, end) for end in (True, False)]
+    took = []
+    monkeypatch.setattr(lm, "prefix_hash", lambda x: took.append(len(x)) or prefix_hash(x))
+    monkeypatch.setattr(lm, "HASHED_BYTES", 5_000)
+    for (token, sizes), end in zip(whole, (True, False)):
+        again, sizes_again = lm._hashes(data, offsets, end)
+        assert (again == token).all() and (sizes_again == sizes).all()
+    assert len(took) > 20 and sorted(took)[-2:] == [9_000, 9_000] and sorted(took)[-3] <= 5_010  # but for a long word
+
+
+def test_a_part_is_added_up_in_little_memory():
+    rng = np.random.default_rng(1)
+    rows = []
+    for k in range(20):
+        context = np.sort(rng.integers(0, 1 << 64, 20_000, dtype=np.uint64))
+        rows.append(lm._split(context, [context, rng.integers(1, 1 << 64, 20_000, dtype=np.uint64), np.ones(20_000, np.uint32)], 1, 2))
+    rows.append(rows[0])  # so that these came twice
+    tracemalloc.start()
+    found = list(lm._adder(lm.TreeParams(), 1)(iter(rows)))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert sum(sum(b.column("n").to_pylist()) for b in found) == 20_000
+    assert peak < 420_000 * 80
+
+
+def test_executors_and_workers_exchange_little_at_once(spark, docs, monkeypatch):
+    name, seen = "spark.sql.execution.arrow.maxBytesPerBatch", []
+    before = spark.conf.get(name)
+    materialize = lm.materialize
+    monkeypatch.setattr(lm, "materialize", lambda *x: seen.append(spark.conf.get(name)) or materialize(*x))
+    assert lm.score(docs).count() == docs.count()
+    assert seen and {int(x.rstrip("b")) for x in seen} == {lm.BATCH_BYTES} and spark.conf.get(name) == before
+
+
 # 9: neighbours
 
 
