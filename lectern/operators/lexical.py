@@ -9,9 +9,13 @@ from __future__ import annotations
 
 import math
 import re
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -201,16 +205,73 @@ def tokenized(docs: DataFrame, id_col: str = "doc_id", title_col: str | None = "
     return docs.select(F.col(id_col).alias("doc_id"), title.alias("title_tokens"), tokens(F.coalesce(F.col(text_col), F.lit(""))).alias("text_tokens"))
 
 
+#: Tokens that are inverted at once, a document more at most; this bounds what a task holds.
+RUN_TOKENS = 1 << 20
+
+
 def postings(tokens: DataFrame) -> DataFrame:
-    """One row per (term, document) with the term's places, from 1, in title and text."""
-    both = [tokens.select("doc_id", (F.size("title_tokens") + F.size("text_tokens")).alias("size"), F.lit(k).alias("part"), F.posexplode(c).alias("at", "term")) for k, c in enumerate(("title_tokens", "text_tokens"))]
-    rows = both[0].unionByName(both[1])
-    at = lambda k: F.sort_array(F.collect_list(F.when(F.col("part") == k, F.col("at") + 1)))
-    return rows.groupBy("term", "doc_id", "size").agg(at(0).alias("title_at"), at(1).alias("text_at"))
+    """One row per (term, document) with the term's places, from 1, in title and text. A document's postings are made
+    where it is read, so nothing is shuffled; within a run of documents they are sorted by term."""
+    kind = tokens.schema["doc_id"].dataType.simpleString()
+    return tokens.select("doc_id", "title_tokens", "text_tokens").mapInArrow(_inverted, f"term string, doc_id {kind}, size int, title_at array<int>, text_at array<int>")
+
+
+def _inverted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    held, count = [], 0
+    for batch in batches:
+        sizes = sum(pc.fill_null(pc.list_value_length(batch.column(c)), 0).to_numpy(zero_copy_only=False).astype(np.int64) for c in (1, 2))
+        upto, begin = np.cumsum(sizes), 0
+        while begin < len(sizes):
+            before = upto[begin - 1] if begin else 0
+            stop = min(len(sizes), int(np.searchsorted(upto, before + RUN_TOKENS - count)) + 1)
+            held.append(batch.slice(begin, stop - begin))
+            count += int(upto[stop - 1] - before)
+            begin = stop
+            if count >= RUN_TOKENS:
+                yield from _run(held)
+                held, count = [], 0
+    if held:
+        yield from _run(held)
+
+
+def _run(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The postings of some whole documents, by term, then in the documents' order."""
+    rows = pa.Table.from_batches(held)
+    docs, places, words = [], [], []
+    for column in ("title_tokens", "text_tokens"):
+        lists = rows[column].combine_chunks()
+        n = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+        doc = np.repeat(np.arange(len(n), dtype=np.int64), n)
+        docs.append(doc)
+        places.append(np.arange(len(doc), dtype=np.int64) - np.repeat(np.cumsum(n) - n, n) + 1)
+        words.append(lists.flatten())
+    size = np.bincount(docs[0], minlength=len(rows)) + np.bincount(docs[1], minlength=len(rows))
+    in_title = len(docs[0])
+    coded = pa.concat_arrays(words).dictionary_encode()
+    names = coded.dictionary
+    rank = np.empty(len(names), np.int64)
+    rank[pc.array_sort_indices(names).to_numpy()] = np.arange(len(names))
+    key = rank[coded.indices.to_numpy()] * len(rows) + np.concatenate(docs)
+    # Stable, so that a key's places stay in order, those in the title in front.
+    order = np.argsort(key, kind="stable")
+    key, at = key[order], np.concatenate(places)[order].astype(np.int32)
+    first = np.flatnonzero(np.diff(key, prepend=-1))
+    title = order < in_title
+    doc = key[first] % max(1, len(rows))
+    lists = []
+    for own in (title, ~title):
+        ends = np.concatenate(([0], np.cumsum(own)))
+        lists.append(pa.ListArray.from_arrays(pa.array(np.append(ends[first], ends[-1]), pa.int32()), pa.array(at[own])))
+    terms = names.take(pa.array(np.argsort(rank)[key[first] // max(1, len(rows))]))
+    ids = rows["doc_id"].combine_chunks().take(pa.array(doc))
+    out = pa.RecordBatch.from_arrays([terms, ids, pa.array(size[doc].astype(np.int32)), *lists], names=["term", "doc_id", "size", "title_at", "text_at"])
+    for a in range(0, len(out), 100_000):
+        yield out.slice(a, 100_000)
 
 
 def build_index(docs: DataFrame, path: str, id_col: str = "doc_id", title_col: str | None = "title", text_col: str = "text", buckets: int = 64, tokens=search_tokens_col) -> Index:
-    """Writes postings sorted by term, so that a query's files are few, and reads them back."""
+    """Writes postings in runs sorted by term, of which a query reads the pages that hold its terms, and reads them
+    back. There are ``buckets`` files at most, or one a core."""
     spark = docs.sparkSession
     docs.limit(0).select(F.col(id_col).alias("doc_id"), F.lit(0).alias("segment")).write.mode("overwrite").parquet(f"{path}/dropped")
     _write_segment(docs, path, 0, id_col, title_col, text_col, tokens, buckets, "overwrite")
@@ -220,8 +281,9 @@ def build_index(docs: DataFrame, path: str, id_col: str = "doc_id", title_col: s
 def _write_segment(docs: DataFrame, path: str, segment: int, id_col: str, title_col: str | None, text_col: str, tokens, buckets: int, mode: str) -> None:
     split = tokenized(docs, id_col, title_col, text_col, tokens)
     # Documents first: postings whose documents aren't listed belong to a run that was cut off, and don't count.
+    files = max(buckets, docs.sparkSession.sparkContext.defaultParallelism)
     rows = postings(split).select("term", "doc_id", "size", "title_at", "text_at", F.lit(segment).alias("segment"))
-    rows.repartitionByRange(buckets, "term", "doc_id").sortWithinPartitions("term", "doc_id").write.mode(mode).parquet(f"{path}/postings")
+    rows.coalesce(files).write.mode(mode).parquet(f"{path}/postings")
     split.select("doc_id", (F.size("title_tokens") + F.size("text_tokens")).alias("size"), F.lit(segment).alias("segment")).write.mode(mode).parquet(f"{path}/documents")
 
 

@@ -1,5 +1,6 @@
 import sqlite3
 
+import pyarrow as pa
 import pytest
 
 from lectern.operators import lexical
@@ -62,3 +63,24 @@ def test_a_scan_scores_like_an_index(spark, index, query):
     found = lexical.scan(spark.createDataFrame(DOCS, "doc_id long, title string, text string"), title_col="title")
     rounded = lambda rows: sorted((r.doc_id, round(r.score, 9)) for r in rows.collect())
     assert rounded(lexical.bm25(found, query)) == rounded(lexical.bm25(index, query))
+
+
+def test_postings_are_made_without_a_shuffle_in_bounded_runs(spark, monkeypatch):
+    docs = spark.createDataFrame(DOCS + [(80, None, None), (81, "x", ""), (82, "nova", "nova é nova")], "doc_id long, title string, text string")
+    tokens = lexical.tokenized(docs)
+    made = lexical.postings(tokens)
+    assert "Exchange" not in made._jdf.queryExecution().executedPlan().toString()
+    want = {}
+    for i, title, text in tokens.collect():
+        for k, words in enumerate((title, text)):
+            for at, term in enumerate(words, 1):
+                want.setdefault((term, i, len(title) + len(text)), ([], []))[k].append(at)
+    got = {(r.term, r.doc_id, r.size): (r.title_at, r.text_at) for r in made.collect()}
+    assert got == want
+    monkeypatch.setattr(lexical, "RUN_TOKENS", 7)
+    rows = pa.RecordBatch.from_pylist([r.asDict() for r in tokens.collect()], pa.schema([("doc_id", pa.int64()), ("title_tokens", pa.list_(pa.string())), ("text_tokens", pa.list_(pa.string()))]))
+    runs = [b.to_pylist() for b in lexical._inverted(iter([rows.slice(0, 50), rows.slice(50)]))]
+    assert {(p["term"], p["doc_id"], p["size"]): (p["title_at"], p["text_at"]) for run in runs for p in run} == want
+    assert sum(map(len, runs)) == len(want) and len(runs) > 30
+    assert all(run == sorted(run, key=lambda p: (p["term"], p["doc_id"])) for run in runs)
+    assert all(len({p["doc_id"] for p in run}) <= 7 for run in runs)
