@@ -107,3 +107,21 @@ def test_chunk_names(spark):
     assert names.parse_chunk_name("a/b###c###4")["path"] == "a/b###c" and names.parse_chunk_name("zzz")["chunk"] == "0"
     rows = spark.createDataFrame([(value,), ("a/b###c###4",), ("zzz",)], "v string").select(names.chunk_path(F.col("v")).alias("p")).collect()
     assert [r.p for r in rows] == ["a/b.md", "a/b###c", "zzz"]
+
+
+def test_a_udf_holds_few_values_of_a_batch_at_once():
+    import tracemalloc
+
+    import pyarrow as pa
+
+    pages = pa.array([f"{i}<table>{'x' * 10_000}</table>" for i in range(3000)] + [None])
+    tracemalloc.start()
+    masked = text.sliced(text.masked_tables, (pages,), pa.string())
+    _, peak = tracemalloc.get_traced_memory()
+    tracemalloc.stop()
+    assert peak < 6_000_000
+    assert len(masked) == 3001 and masked[3000].as_py() is None
+    assert masked[2999].as_py() == "2999" + " " * (10_000 + len("<table></table>"))
+    two = pa.struct([("a", pa.int32()), ("b", pa.string())])
+    assert text.sliced(lambda n, t: (n, t) if n else {"a": 5, "b": t}, (pa.array([0, 7, None]), pa.array(["x", "y", "z"])), two).to_pylist() == [{"a": 5, "b": "x"}, {"a": 7, "b": "y"}, {"a": None, "b": None}]
+    assert text.sliced(str, (pa.array([], pa.int64()),), pa.string()).to_pylist() == []
