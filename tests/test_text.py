@@ -125,3 +125,12 @@ def test_a_udf_holds_few_values_of_a_batch_at_once():
     two = pa.struct([("a", pa.int32()), ("b", pa.string())])
     assert text.sliced(lambda n, t: (n, t) if n else {"a": 5, "b": t}, (pa.array([0, 7, None]), pa.array(["x", "y", "z"])), two).to_pylist() == [{"a": 5, "b": "x"}, {"a": 7, "b": "y"}, {"a": None, "b": None}]
     assert text.sliced(str, (pa.array([], pa.int64()),), pa.string()).to_pylist() == []
+
+
+def test_a_character_is_looked_up_once(monkeypatch):
+    import unicodedata
+
+    seen = []
+    monkeypatch.setattr(text.unicodedata, "category", lambda c, f=unicodedata.category: seen.append(c) or f(c))
+    assert text.search_tokens("Ča\u0301s, \u0301x\u20ddy " * 500) == ["cas", "xy"] * 500
+    assert len(seen) == len(set(seen))
